@@ -48,7 +48,7 @@ CANDIDATES, ENTRIES = 20_000, 2_000
 #: An entry's documents: so many toxic ones at least, and this share of toxic ones.
 LEAST_DOCUMENTS, LEAST_RATE = 3, 0.6
 #: An entry that explains no further document: so many different words before it, and this share.
-LEAST_CONTEXTS, SURE_RATE = 10, 0.95
+LEAST_CONTEXTS, SURE_RATE = 10, 0.98
 PREFIXES = (4, 5, 6)
 BASE_SCORE, THRESHOLD = 0.02, 0.3
 #: Copies of a lexicon word in the language model, for each document that has it.
