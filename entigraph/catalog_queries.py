@@ -6,7 +6,7 @@ import math
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entigraph.functions import text
@@ -414,15 +414,20 @@ def _patch(spark: SparkSession) -> DataFrame:
     return spark.range(90, 110).select(F.col("id").alias("c_custkey"), F.lit("MOVED").alias("c_mktsegment"))
 
 
-_NOW = F.lit(7).cast("long")
+
+
+def _now() -> Column:
+    return F.lit(7).cast("long")
+
+
 _PATCH = "(SELECT range AS c_custkey, 'MOVED' AS c_mktsegment FROM range(90, 110))"
 _STAMP = "CAST(7 AS BIGINT) AS version_ts"
-_add("apply_inserts", lambda spark, d: store.inserted(_view(spark, d), _NOW), f"SELECT *, {_STAMP}, false AS deleted FROM {_VIEW}")
-_add("apply_updates", lambda spark, d: store.updated(_view(spark, d), _patch(spark), ("c_custkey",), _NOW), f"SELECT c_custkey, p.c_mktsegment, c_acctbal, {_STAMP}, false AS deleted FROM {_VIEW} JOIN {_PATCH} p USING (c_custkey)")
-_add("apply_deletes", lambda spark, d: store.deleted(_view(spark, d), _patch(spark), ("c_custkey",), _NOW), f"SELECT *, {_STAMP}, true AS deleted FROM {_VIEW} WHERE c_custkey IN (SELECT c_custkey FROM {_PATCH})")
-_add("apply_upserts", lambda spark, d: store.upserted(_view(spark, d), _patch(spark), ("c_custkey",), _NOW), f"SELECT c_custkey, p.c_mktsegment, c_acctbal, {_STAMP}, false AS deleted FROM {_PATCH} p LEFT JOIN {_VIEW} USING (c_custkey)")
-_add("update_where", lambda spark, d: store.updated_where(_view(spark, d), lt("c_acctbal", 0), {"c_acctbal": F.lit(0.0)}, _NOW), f"SELECT c_custkey, c_mktsegment, CAST(0 AS DOUBLE) AS c_acctbal, {_STAMP}, false AS deleted FROM {_VIEW} WHERE c_acctbal < 0")
-_add("delete_where", lambda spark, d: store.deleted_where(_view(spark, d), eq("c_mktsegment", "BUILDING"), _NOW), f"SELECT *, {_STAMP}, true AS deleted FROM {_VIEW} WHERE c_mktsegment = 'BUILDING'")
+_add("apply_inserts", lambda spark, d: store.inserted(_view(spark, d), _now()), f"SELECT *, {_STAMP}, false AS deleted FROM {_VIEW}")
+_add("apply_updates", lambda spark, d: store.updated(_view(spark, d), _patch(spark), ("c_custkey",), _now()), f"SELECT c_custkey, p.c_mktsegment, c_acctbal, {_STAMP}, false AS deleted FROM {_VIEW} JOIN {_PATCH} p USING (c_custkey)")
+_add("apply_deletes", lambda spark, d: store.deleted(_view(spark, d), _patch(spark), ("c_custkey",), _now()), f"SELECT *, {_STAMP}, true AS deleted FROM {_VIEW} WHERE c_custkey IN (SELECT c_custkey FROM {_PATCH})")
+_add("apply_upserts", lambda spark, d: store.upserted(_view(spark, d), _patch(spark), ("c_custkey",), _now()), f"SELECT c_custkey, p.c_mktsegment, c_acctbal, {_STAMP}, false AS deleted FROM {_PATCH} p LEFT JOIN {_VIEW} USING (c_custkey)")
+_add("update_where", lambda spark, d: store.updated_where(_view(spark, d), lt("c_acctbal", 0), {"c_acctbal": F.lit(0.0)}, _now()), f"SELECT c_custkey, c_mktsegment, CAST(0 AS DOUBLE) AS c_acctbal, {_STAMP}, false AS deleted FROM {_VIEW} WHERE c_acctbal < 0")
+_add("delete_where", lambda spark, d: store.deleted_where(_view(spark, d), eq("c_mktsegment", "BUILDING"), _now()), f"SELECT *, {_STAMP}, true AS deleted FROM {_VIEW} WHERE c_mktsegment = 'BUILDING'")
 _add("changed_fields", lambda spark, d: store.changed_fields(_view(spark, d), _patch(spark), ("c_custkey",)).select("c_custkey", F.array_join("changed", ",").alias("changed")), f"SELECT c_custkey, CASE WHEN c_mktsegment = 'MOVED' THEN '' ELSE 'c_mktsegment' END AS changed FROM {_VIEW} WHERE c_custkey >= 90")
 _add("check_unique", lambda spark, d: constraints.unique_violations(load(spark, d, "lineitem"), ("l_orderkey", "l_linenumber")), "SELECT l_orderkey, l_linenumber, count(*) AS rows FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 _add("check_foreign_key", lambda spark, d: constraints.foreign_key_violations(load(spark, d, "orders").select("o_orderkey", "o_custkey"), ("o_custkey",), load(spark, d, "customer").where("c_custkey >= 10"), ("c_custkey",)), "SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey >= 10)")

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from entigraph.functions.stemmer import stem
 
@@ -49,7 +50,7 @@ def token_list(text: str) -> list[str]:
     return [t for t in re.split(r"[\W_]+", text.lower()) if len(t.encode()) >= 2]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _stemmed(words: pd.Series) -> pd.Series:
     known = functools.cache(stem)
     return words.map(lambda own: None if own is None else [known(w) for w in own])

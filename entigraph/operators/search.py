@@ -83,9 +83,13 @@ def _count(terms: Column, term: str) -> Column:
 
 
 def _phrase_count(terms: Column, phrase: list[str]) -> Column:
-    places = F.sequence(F.lit(0), F.greatest(F.size(terms) - len(phrase), F.lit(0)))
-    at = lambda i: functools.reduce(operator.and_, [F.coalesce(F.get(terms, i + k) == F.lit(t), F.lit(False)) for k, t in enumerate(phrase)])
-    return F.size(F.filter(places, at))
+    def count(own: Column) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.size(own) - len(phrase), F.lit(0)))
+        at = lambda i: functools.reduce(operator.and_, [F.coalesce(F.get(own, i + k) == F.lit(t), F.lit(False)) for k, t in enumerate(phrase)])
+        return F.size(F.filter(places, at))
+
+    # Bound to a variable: the optimizer may put the analysis in place of its column, and then it would run once per place.
+    return F.transform(F.array(terms), count)[0]
 
 
 def text_search(rows: DataFrame, what: ir.TextMatch | ir.TextPhrase | ir.TextBoolean) -> DataFrame:
