@@ -1,22 +1,21 @@
 """Toxicity by noisy-channel deobfuscation.
 
-A lexicon of words and word beginnings is learned from labelled documents.  A
-text is scored by the lexicon entries that it holds, in plain sight or after
+A classifier over words and word beginnings is learned from labelled documents.
+A text is scored by the features that it holds, in plain sight or after
 restoration: spans that look disguised (digits and signs among letters, letters
 set apart, letters repeated) become lattices in which a character may stand for
 itself or for the letters that it is commonly written for, a separator may be
 nothing, and a repetition may be one letter.  Viterbi decoding finds the most
 likely letters under a character trigram model with a cost for each disguise.
 
-The language model counts the trigrams of all documents, plus the lexicon's own
-words, since the channel hides those.  The lexicon is fitted on at most
-``SAMPLE`` labelled rows, those with the smallest hash of their id: words of
-toxic documents that clean ones lack, first chosen greedily by the documents
-that they explain, so that a rare word that only stands beside one doesn't
-count, then those that are seen after many different words, as words of copied
-texts are not.
+The language model counts the trigrams of all documents, plus the words of the
+strong features, since the channel hides those.  The classifier is a logistic
+regression fitted on at most ``SAMPLE`` labelled rows, those with the smallest
+hash of their id.  Its features are words and beginnings that toxic documents
+hold more often than others do, seen after several different words (words of
+copied texts aren't), and beginnings that two different words share.
 
-Defined results: null and empty texts get the base score; a document labelled
+Defined results: null and empty texts have no features; a document labelled
 twice is toxic if any label is; labels without a document, null labels and null
 ids teach nothing; without toxic labels every text gets the base score; an empty
 table gives an empty result.
@@ -40,18 +39,21 @@ from pyspark.sql import functions as F
 from entigraph.llm.common import map_batches, text_chunks
 from entigraph.llm.language_id import remainder
 from entigraph.llm.pretokenize import LETTER, class_table
+from entigraph.plans.workspace import saved
 
 #: Bound of the labelled rows that the lexicon is fitted on.
 SAMPLE = 20_000
-#: Candidates that are considered, and entries of a lexicon, at most.
-CANDIDATES, ENTRIES = 20_000, 2_000
-#: An entry's documents: so many toxic ones at least, and this share of toxic ones.
-LEAST_DOCUMENTS, LEAST_RATE = 3, 0.6
-#: An entry that explains no further document: so many different words before it, and this share.
-LEAST_CONTEXTS, SURE_RATE = 10, 0.98
-PREFIXES = (4, 5, 6)
+#: Features, at most, and what each needs: toxic documents, share of toxic ones, different words before it.
+FEATURES, LEAST_DOCUMENTS, LEAST_RATE, LEAST_CONTEXTS = 4_000, 3, 0.3, 3
+PREFIXES = (4, 5, 6, 7, 8)
 BASE_SCORE, THRESHOLD = 0.02, 0.3
-#: Copies of a lexicon word in the language model, for each document that has it.
+#: Strength of the regression's penalty, and its rounds.
+PENALTY, ROUNDS = 0.2, 800
+#: A feature is sure by itself with this share of toxic documents and so many different words before it.
+SURE_RATE, SURE_CONTEXTS = 0.98, 10
+#: A feature of this weight, or a sure one, is strong: restoration looks for it.
+STRONG = 1.0
+#: Copies of a strong feature in the language model, for each document that has it.
 LEXICON_WEIGHT = 20.0
 
 _EDGES = "".join(c for c in map(chr, range(33, 0x2100)) if unicodedata.category(c)[0] == "P" and c not in "@$")
@@ -62,6 +64,7 @@ LOOKS_LIKE = {
 }
 _SEPARATORS = frozenset(" .-_*/,'~:;·")
 _COST = {"plain": 0.0, "sign": 1.0, "separator": 0.3, "repeat": 0.3}
+_NOISE = re.compile(r"^([$@|+])\1+|([$@|+])\2+$")
 _REPEATED = re.compile(r"(\w)\1\1")
 _DISGUISED = re.compile(r"(?=.*[^\W\d_])(?=.*[0-9@$!|+(€£¡.\-_*/'~:;·])", re.DOTALL)
 _LONGEST_SPAN = 60
@@ -89,9 +92,10 @@ def words_of(text: str) -> list[str]:
 
 
 def features(words: list[str]) -> set[str]:
-    """Words and, marked, their beginnings."""
+    """Words; their beginnings, marked; and, marked twice, beginnings that different words share."""
     own = {w for w in words if w}
-    return own | {f"{w[:n]}*" for w in own for n in PREFIXES if len(w) > n}
+    starts = Counter(w[:n] for w in own for n in PREFIXES if len(w) > n)
+    return own | {f"{p}*" for p in starts} | {f"{p}**" for p, n in starts.items() if n > 1}
 
 
 def trigram_counts(texts: list[str | None]) -> np.ndarray:
@@ -103,16 +107,24 @@ def trigram_counts(texts: list[str | None]) -> np.ndarray:
     return out
 
 
+def strong_features(weights: dict[str, float], sure: dict[str, float]) -> list[str]:
+    return [f for f, w in weights.items() if (w >= STRONG or f in sure) and not f.endswith("**")]
+
+
 @dataclass
 class Model:
-    rates: dict[str, float]  # lexicon: share of toxic documents among those with the entry
+    weights: dict[str, float]
+    sure: dict[str, float]  # share of toxic documents
+    bias: float
     costs: np.ndarray  # -log P(third symbol | first two), flat
 
     def __post_init__(self) -> None:
-        self.plain = {f for f in self.rates if not f.endswith("*")}
-        self.starts = {f[:-1]: r for f, r in self.rates.items() if f.endswith("*")}
-        self.folded = {fold(f): r for f, r in self.rates.items() if not f.endswith("*")}
-        self.folded_starts = {fold(f[:-1]): r for f, r in self.rates.items() if f.endswith("*")}
+        self.plain = {f for f in self.weights if not f.endswith("*")}
+        starts = {f.rstrip("*") for f in self.weights if f.endswith("*")}
+        self.starts = {n: {p for p in starts if len(p) == n} for n in PREFIXES}
+        strong = strong_features(self.weights, self.sure)
+        self.folded = {fold(f): f for f in strong if not f.endswith("*")}
+        self.folded_starts = {fold(f[:-1]): f for f in strong if f.endswith("*")}
         self.known: dict[str, str] = {}
 
     def restore(self, span: str) -> str:
@@ -148,6 +160,7 @@ class Model:
     def spans(self, text: str, words: list[str]) -> Iterator[str]:
         """Spans that look disguised: single words, and runs of single letters."""
         for w in set(words):
+            w = w if w.isalpha() else _NOISE.sub("", w)  # signs in a row at an end disguise nothing
             if 3 <= len(w) <= _LONGEST_SPAN and ((not w.isalpha() and _DISGUISED.match(w)) or _REPEATED.search(w)):
                 yield w
         single = "".join("1" if len(w) == 1 else "0" for w in words)
@@ -155,19 +168,31 @@ class Model:
             for m in re.finditer("1{3,}", single):
                 yield " ".join(words[m.start() : m.end()])
 
+    def found(self, own: set[str]) -> set[str]:
+        """The model's features among some words."""
+        out = self.plain & own
+        for n, known in self.starts.items():
+            counts = Counter(w[:n] for w in own if w[:n] in known and len(w) > n) if known else {}
+            out |= {f for p, k in counts.items() for f in ((f"{p}*", f"{p}**") if k > 1 else (f"{p}*",)) if f in self.weights}
+        return out
+
+    def probability(self, found: set[str]) -> float:
+        """One minus the chance that neither the regression nor any sure feature speaks for toxicity."""
+        clean = 1 / (1 + math.exp(self.bias + math.fsum(self.weights[f] for f in found)))
+        return 1 - clean * math.prod(1 - self.sure[f] for f in found if f in self.sure)
+
     def score(self, text: str | None) -> float:
         words = words_of(text or "")
-        own = set(words)
-        found = [self.rates[w] for w in self.plain & own]
-        starts = {w[:n] for n in PREFIXES for w in own if len(w) > n}
-        found += [r for f, r in self.starts.items() if f in starts]
-        if not found:
+        found = self.found(set(words))
+        score = self.probability(found)
+        if score < THRESHOLD and self.folded | self.folded_starts:
             for span in self.spans(text or "", words):
                 letters = self.restore(span)
                 if letters in self.folded:
-                    found.append(self.folded[letters])
-                found += [self.folded_starts[letters[:n]] for n in PREFIXES if len(letters) > n and letters[:n] in self.folded_starts]
-        return 1 - (1 - BASE_SCORE) * math.prod(1 - r for r in found)
+                    found.add(self.folded[letters])
+                found |= {self.folded_starts[letters[:n]] for n in range(2, len(letters)) if letters[:n] in self.folded_starts}
+            score = self.probability(found)
+        return score
 
 
 def language_model(trigrams: np.ndarray, lexicon: dict[str, int]) -> np.ndarray:
@@ -190,12 +215,33 @@ def _conditional(trigrams: np.ndarray) -> np.ndarray:
     return (t + 5 * p2[None]) / (t.sum(2, keepdims=True) + 5)
 
 
-def _rate(toxic: int, every: int) -> float:
-    return (toxic + 0.3) / (every + 1)
-
-
-def lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, int]]:
-    """Entries with their share of toxic documents, and their toxic documents; sample: text, toxic (a bounded table)."""
+def regression(rows: list[list[int]], toxic: np.ndarray, n_features: int) -> tuple[np.ndarray, float]:
+    """Logistic regression with a quadratic penalty over rows of feature numbers, by accelerated gradient steps."""
+    which = np.array([f for own in rows for f in own], np.int64)
+    of = np.repeat(np.arange(len(rows)), [len(own) for own in rows])
+    base = max(1e-4, min(0.5, toxic.mean()))
+    w, bias = np.zeros(n_features), math.log(base / (1 - base))
+    look, look_bias = w.copy(), bias
+    # The curvature is at most a quarter of the largest eigenvalue of the features' products.
+    v, largest = np.ones(n_features), 1.0
+    for _ in range(30):
+        v = np.bincount(which, np.bincount(of, v[which], len(rows))[of], n_features)
+        largest = max(1.0, float(np.sqrt((v * v).sum())))
+        v = v / largest
+    step, step_bias = 1 / (largest / 2 + PENALTY), 2.0 / len(rows)
+    for k in range(ROUNDS):
+        z = look_bias + np.bincount(of, look[which], len(rows))
+        error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic
+        new = look - step * (np.bincount(which, error[of], n_features) + PENALTY * look)
+        new_bias = look_bias - step_bias * error.sum()
+        speed = k / (k + 3)
+        look, look_bias = new + speed * (new - w), new_bias + speed * (new_bias - bias)
+        w, bias = new, new_bias
+    return w, bias
+
+
+def learned(sample: DataFrame) -> tuple[dict[str, float], dict[str, float], float, dict[str, int]]:
+    """Weights, sure features, bias, and toxic documents of each feature; sample: text, toxic (a bounded table)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every, toxic = Counter(), Counter()
@@ -217,45 +263,39 @@ def lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, int]]:
         yield flush()
 
     per = map_batches(sample, count, "f string, t long, n long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
-    good = per.where((F.col("t") >= LEAST_DOCUMENTS) & (F.col("t") >= LEAST_RATE * F.col("n"))).orderBy(F.desc("t"), "n", "f").limit(CANDIDATES)
-    numbers = {r["f"]: (r["t"], r["n"]) for r in good.collect()}  # at most CANDIDATES rows
+    # Twice as many as are used: contexts decide between them.
+    good = per.where((F.col("t") >= LEAST_DOCUMENTS) & (F.col("t") >= LEAST_RATE * F.col("n"))).orderBy(F.desc(F.col("t") * F.col("t") / F.col("n")), "f").limit(2 * FEATURES)
+    numbers = {r["f"]: (r["t"], r["n"]) for r in good.collect()}  # at most 2 * FEATURES rows
     if not numbers:
-        return {}, {}
+        return {}, {}, math.log(BASE_SCORE / (1 - BASE_SCORE)), {}
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own, before = [], []
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if label:
-                    words = words_of(text or "")
-                    first = {f: b for b, w in reversed([*zip(["", *words], words)]) for f in features([w]) & numbers.keys()}
-                    own.append(list(first))
-                    before.append(list(first.values()))
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.string())), pa.array(before, pa.list_(pa.string()))], ["own", "before"])
-
-    left, contexts = [], {f: set() for f in numbers}
-    for r in map_batches(sample, members, "own array<string>, before array<string>").collect():  # toxic rows of the sample
-        left.append(set(r["own"]))
+                words = words_of(text or "")
+                held = features(words) & numbers.keys()
+                first = {}
+                if label and held:
+                    for b, w in zip(["", *words], words):
+                        for f in (w, *(f"{w[:n]}*" for n in PREFIXES if len(w) > n)):
+                            first.setdefault(f, b)
+                own.append(list(held))
+                before.append([first.get(f.replace("**", "*"), "") for f in held] if label else [])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(own, pa.list_(pa.string())), pa.array(before, pa.list_(pa.string()))], ["toxic", "own", "before"])
+
+    rows, toxic, contexts = [], [], {f: set() for f in numbers}
+    kind = dict(sample.dtypes)["toxic"]
+    for r in map_batches(sample, members, f"toxic {kind}, own array<string>, before array<string>").toLocalIterator():  # at most SAMPLE rows
+        rows.append(r["own"])
+        toxic.append(bool(r["toxic"]))
         for f, b in zip(r["own"], r["before"]):
             contexts[f].add(b)
-    rates: dict[str, float] = {}
-    counts = Counter(f for own in left for f in own)
-    while counts and len(rates) < ENTRIES:
-        best = max(counts, key=lambda f: (min(counts[f], len(contexts[f])) * numbers[f][0] / numbers[f][1], numbers[f][0], -len(f), f))
-        if counts[best] < LEAST_DOCUMENTS:
-            break
-        rates[best] = _rate(*numbers[best])
-        stay = []
-        for own in left:
-            if best in own:
-                counts.subtract(own)
-            else:
-                stay.append(own)
-        left, counts = stay, +counts
-    for f in sorted(numbers, key=lambda f: (-len(contexts[f]), f)):
-        if len(contexts[f]) >= LEAST_CONTEXTS and numbers[f][0] >= SURE_RATE * numbers[f][1] and len(rates) < ENTRIES:
-            rates.setdefault(f, _rate(*numbers[f]))
-    return rates, {f: numbers[f][0] for f in rates}
+    names = [f for f in numbers if len(contexts[f]) >= LEAST_CONTEXTS][:FEATURES]
+    place = {f: k for k, f in enumerate(names)}
+    w, bias = regression([[place[f] for f in own if f in place] for own in rows], np.array(toxic, float), len(names))
+    sure = {f: (numbers[f][0] + 0.3) / (numbers[f][1] + 1) for f in names if len(contexts[f]) >= SURE_CONTEXTS and numbers[f][0] >= SURE_RATE * numbers[f][1]}
+    return {f: float(x) for f, x in zip(names, w) if abs(x) > 0.02 or f in sure}, sure, min(bias, math.log(BASE_SCORE / (1 - BASE_SCORE))), {f: numbers[f][0] for f in names}
 
 
 def fit(docs: DataFrame, labels: DataFrame, trains: Column, key: str = "doc_id", text: str = "text") -> Model:
@@ -265,7 +305,8 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column, key: str = "doc_id",
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(F.broadcast(sampled), "_key")  # at most SAMPLE rows
     # Copies of a text teach once.
     rows = rows.groupBy("text").agg(F.max("_toxic").alias("toxic"))
-    rates, numbers = lexicon(rows.select("text", "toxic"))
+    weights, sure, bias, numbers = learned(saved(rows.select("text", "toxic"), "labelled"))
+    strong = {f: numbers[f] for f in strong_features(weights, sure)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_SYMBOLS**3, np.int64)
@@ -277,7 +318,7 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column, key: str = "doc_id",
     trigrams = np.zeros(_SYMBOLS**3, np.int64)
     for r in map_batches(docs.select(text), count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # at most 28 ** 3 rows
         trigrams[r["at"]] = r["n"]
-    return Model(rates, language_model(trigrams, numbers))
+    return Model(weights, sure, bias, language_model(trigrams, strong))
 
 
 def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
