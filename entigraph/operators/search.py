@@ -83,50 +83,53 @@ def _count(terms: Column, term: str) -> Column:
 
 
 def _phrase_count(terms: Column, phrase: list[str]) -> Column:
-    def count(own: Column) -> Column:
-        places = F.sequence(F.lit(0), F.greatest(F.size(own) - len(phrase), F.lit(0)))
-        at = lambda i: functools.reduce(operator.and_, [F.coalesce(F.get(own, i + k) == F.lit(t), F.lit(False)) for k, t in enumerate(phrase)])
-        return F.size(F.filter(places, at))
-
-    # Bound to a variable: the optimizer may put the analysis in place of its column, and then it would run once per place.
-    return F.transform(F.array(terms), count)[0]
+    places = F.sequence(F.lit(0), F.greatest(F.size(terms) - len(phrase), F.lit(0)))
+    at = lambda i: functools.reduce(operator.and_, [F.coalesce(F.get(terms, i + k) == F.lit(t), F.lit(False)) for k, t in enumerate(phrase)])
+    return F.size(F.filter(places, at))
 
 
 def text_search(rows: DataFrame, what: ir.TextMatch | ir.TextPhrase | ir.TextBoolean) -> DataFrame:
     """Rows that match, with ``_score``; statistics are over all rows given."""
     config = text.CONFIGS[what.config]
+    must, should, never, phrase = [], [], [], []
     if isinstance(what, ir.TextBoolean):
         must, should, never = ([t for q in part for t in text.analyzed_list(q, config)] for part in (what.must, what.should, what.must_not))
-        scored = [*must, *should]
     elif isinstance(what, ir.TextPhrase):
-        scored = text.analyzed_list(what.phrase, config)
+        phrase = text.analyzed_list(what.phrase, config)
     else:
-        scored = text.analyzed_list(what.query, config)  # a repeated term counts twice
+        should = text.analyzed_list(what.query, config)  # a repeated term counts twice
+    scored = must + should + phrase
     if not scored:
         return rows.where(F.lit(False)).withColumn("_score", F.lit(0.0))
-    own = rows.withColumn("_terms", text.analyzed(F.col(what.field), config))
-    names = list(dict.fromkeys(scored))
-    held = [F.count(F.when(F.array_contains("_terms", t), 1)).cast("double").alias(f"_df{k}") for k, t in enumerate(names)]
+    names = list(dict.fromkeys(scored + never))
+
+    def measured(terms: Column) -> Column:
+        tf = [_count(terms, t).alias(f"tf{k}") for k, t in enumerate(names)]
+        return F.struct(F.size(terms).alias("length"), *tf, _phrase_count(terms, phrase or [""]).alias("phrase"))
+
+    # All that is needed of a text in one expression over a bound variable, so that its analysis runs once.
+    own = rows.withColumn("_m", F.transform(F.array(text.analyzed(F.col(what.field), config)), measured)[0])
+    tf = {t: F.col(f"_m.tf{k}") for k, t in enumerate(names)}
+    held = [F.count(F.when(tf[t] > 0, 1)).cast("double").alias(f"_df{k}") for k, t in enumerate(names)]
     # One row of statistics, joined by broadcast so that the plan stays lazy.
-    stats = own.agg(F.count(F.lit(1)).cast("double").alias("_n"), F.avg(F.size("_terms")).alias("_mean"), *held)
+    stats = own.agg(F.count(F.lit(1)).cast("double").alias("_n"), F.avg("_m.length").alias("_mean"), *held)
     joined = own.join(F.broadcast(stats), F.lit(True))
-    length = F.size("_terms") / F.when(F.col("_mean") > 0, F.col("_mean")).otherwise(1.0)
+    length = F.col("_m.length") / F.when(F.col("_mean") > 0, F.col("_mean")).otherwise(1.0)
     weight = {t: idf(F.col(f"_df{k}"), F.col("_n")) for k, t in enumerate(names)}
 
-    def bm25(tf: Column, weighs: Column) -> Column:
-        return weighs * tf * (config.k1 + 1) / (tf + config.k1 * (1 - config.b + config.b * length))
+    def bm25(count: Column, weighs: Column) -> Column:
+        return weighs * count * (config.k1 + 1) / (count + config.k1 * (1 - config.b + config.b * length))
 
-    if isinstance(what, ir.TextPhrase):
-        tf = _phrase_count(F.col("_terms"), scored)
-        average = functools.reduce(operator.add, [weight[t] for t in scored]) / len(scored)
-        joined = joined.withColumn("_tf", tf).where("_tf > 0").withColumn("_score", bm25(F.col("_tf"), average * len(scored)))
+    if phrase:
+        hit = F.col("_m.phrase") > 0
+        score = bm25(F.col("_m.phrase"), functools.reduce(operator.add, [weight[t] for t in phrase]))
     else:
-        joined = joined.withColumn("_score", functools.reduce(operator.add, [bm25(_count(F.col("_terms"), t), weight[t]) for t in scored]))
-        has = lambda t: F.array_contains("_terms", t)
-        if isinstance(what, ir.TextBoolean):
-            hit = functools.reduce(operator.and_, map(has, must)) if must else functools.reduce(operator.or_, map(has, should))
-            out = functools.reduce(operator.or_, map(has, never)) if never else F.lit(False)
-            joined = joined.where(hit & ~out)
-        else:
-            joined = joined.where(functools.reduce(operator.or_, map(has, names)) & (F.col("_score") >= float(what.min_score)))
-    return joined.select(*rows.columns, "_score")
+        hit = functools.reduce(operator.and_, [tf[t] > 0 for t in must]) if must else functools.reduce(operator.or_, [tf[t] > 0 for t in should])
+        for t in never:
+            hit &= tf[t] == 0
+        score = functools.reduce(operator.add, [bm25(tf[t], weight[t]) for t in scored])
+    # Told by the statistics too, the condition stays above the join instead of running the analysis once more below it.
+    found = joined.withColumn("_score", score).where(F.when(F.col("_n") > 0, hit))
+    if isinstance(what, ir.TextMatch) and what.min_score > 0:
+        found = found.where(F.col("_score") >= float(what.min_score))
+    return found.select(*rows.columns, "_score")
