@@ -163,6 +163,9 @@ class Model:
             w = w if w.isalpha() else _NOISE.sub("", w)  # signs in a row at an end disguise nothing
             if 3 <= len(w) <= _LONGEST_SPAN and ((not w.isalpha() and _DISGUISED.match(w)) or _REPEATED.search(w)):
                 yield w
+        for w in {w for w in text.lower().split() if w[0] in "!¡(" and len(w) > 2}:  # a sign in place of the first letter
+            if w[1].isalnum():
+                yield w[0] + w[1:].strip(_EDGES)
         single = "".join("1" if len(w) == 1 else "0" for w in words)
         if "111" in single:
             for m in re.finditer("1{3,}", single):
