@@ -21,6 +21,7 @@ empty table gives an archive without files.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -39,6 +40,8 @@ SHARD_BYTES = 64 << 20
 ROLL_BYTES = 256 << 20
 #: No more shards than this many, and so many ranges at first: both are lists on the driver.
 MOST_SHARDS, RANGES, REFINED, LEVELS = 20_000, 4096, 64, 10
+#: Parts that pages without an id are dealt to.
+LOOSE_PARTS = 64
 DATE = "2020-01-01T00:00:00Z"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public name space of URLs
 _READ = 1 << 20
@@ -169,7 +172,11 @@ def write(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES, roll_byte
     meta = saved(rows.drop("html", "url"), "payloads")
     repeated = meta.where(F.col("payload_bytes") >= dedup_from).groupBy("payload_digest").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("n")).where("n > 1 and _first is not null").drop("n")
     ranges, first, width = id_ranges(meta, shard_bytes)
-    shards = spark.createDataFrame(shard_table(ranges, shard_bytes), "_coarse long, _low long, _high long, shard int, _parts int")
+    dealt_to, slots, loose = shard_table(ranges, shard_bytes), {}, 0 if meta.where("page_id is null").isEmpty() else LOOSE_PARTS
+    for _, _, _, shard, parts in dealt_to:
+        slots[shard] = max(slots.get(shard, 0), parts)
+    first_slot = dict(zip(slots, itertools.accumulate(slots.values(), initial=0)))
+    shards = spark.createDataFrame([(*r, first_slot[r[3]]) for r in dealt_to], "_coarse long, _low long, _high long, shard int, _parts int, _slot int")
     rows = looked_up(rows, saved(repeated, "repeated"), "payload_digest", F.col("page_id"))
     revisits = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
     rows = rows.withColumn("refers_to", F.when(revisits, F.col("_first"))).withColumn("html", F.when(~revisits, F.col("html")))
@@ -177,9 +184,12 @@ def write(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES, roll_byte
     here = (F.col("_own") == F.col("_coarse")) & F.col("page_id").between(F.col("_low"), F.col("_high"))
     rows = rows.withColumn("_own", coarse).join(F.broadcast(shards), here, "left")
     spread = F.xxhash64("url", "payload_digest")
-    parts = F.when(F.col("page_id").isNull(), F.lit(64)).otherwise(F.coalesce("_parts", F.lit(1)))
-    rows = rows.select("page_id", "url", "html", "payload_bytes", "payload_digest", "refers_to", F.coalesce("shard", F.lit(-1)).alias("shard"), F.pmod(spread, parts).cast("int").alias("part"))
-    dealt = rows.repartition("shard", "part").sortWithinPartitions("shard", "part", "page_id", "payload_digest", "url")
+    parts = F.when(F.col("page_id").isNull(), F.lit(LOOSE_PARTS)).otherwise(F.coalesce("_parts", F.lit(1)))
+    part = F.pmod(spread, parts).cast("int")
+    total = sum(slots.values())
+    rows = rows.select("page_id", "url", "html", "payload_bytes", "payload_digest", "refers_to", F.coalesce("shard", F.lit(-1)).alias("shard"), part.alias("part"), (F.coalesce("_slot", F.lit(total)) + part).alias("slot"))
+    # Each part of a shard is a partition of its own: no task gets two of them, and none is joined to another.
+    dealt = rows.repartitionById(max(1, total + loose), "slot").drop("slot").sortWithinPartitions("shard", "part", "page_id", "payload_digest", "url")
     system, base = fs.FileSystem.from_uri(root)
     system.create_dir(base, recursive=True)
 
@@ -264,7 +274,7 @@ def read(spark: SparkSession, root: str, payloads: bool = True) -> DataFrame:
 
     kinds = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
     manifest = spark.read.schema("file string, records long, bytes long, sha256 string").parquet(f"{root}/manifest")
-    return map_batches(manifest.repartition("file"), work, ", ".join(f"{n} {kinds[t]}" for n, t in columns))
+    return map_batches(manifest.repartition(max(1, manifest.count()), "file"), work, ", ".join(f"{n} {kinds[t]}" for n, t in columns))
 
 
 def _batch(rows: list[tuple], columns: list[tuple]) -> pa.RecordBatch:
