@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from entigraph.functions import geo, text, vector
 from entigraph.plans import ir
 from entigraph.plans.model import Entity
+from entigraph.plans.workspace import worker_path
 
 #: Results of a text search without a limit of its own.
 TEXT_LIMIT = 1000
@@ -61,6 +62,7 @@ def nearest_vectors_lsh(rows: DataFrame, what: ir.VectorNear, identity: tuple[st
 
 def postings(rows: DataFrame, field: str, identity: tuple[str, ...], config: str = "default") -> DataFrame:
     """The inverted index as a table: term, identity, tf, first position and length of the row's text."""
+    worker_path(rows.sparkSession)
     own = rows.select(*identity, text.analyzed(F.col(field), text.CONFIGS[config]).alias("_terms"))
     placed = own.select(*identity, F.size("_terms").alias("length"), F.posexplode("_terms").alias("position", "term"))
     return placed.groupBy("term", *identity, "length").agg(F.count(F.lit(1)).alias("tf"), F.min("position").alias("first_position"))
@@ -72,6 +74,7 @@ def idf(df: Column, n: Column) -> Column:
 
 def term_idf(rows: DataFrame, field: str, config: str = "default") -> DataFrame:
     """Document frequency and idf of every term; texts without terms count as documents."""
+    worker_path(rows.sparkSession)
     own = rows.select(F.array_distinct(text.analyzed(F.col(field), text.CONFIGS[config])).alias("_terms"))
     df = own.select(F.explode("_terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n = own.agg(F.count(F.lit(1)).alias("_n"))  # one row
@@ -90,6 +93,7 @@ def _phrase_count(terms: Column, phrase: list[str]) -> Column:
 
 def text_search(rows: DataFrame, what: ir.TextMatch | ir.TextPhrase | ir.TextBoolean) -> DataFrame:
     """Rows that match, with ``_score``; statistics are over all rows given."""
+    worker_path(rows.sparkSession)
     config = text.CONFIGS[what.config]
     must, should, never, phrase = [], [], [], []
     if isinstance(what, ir.TextBoolean):
