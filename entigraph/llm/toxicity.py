@@ -5,7 +5,7 @@ A text is scored by the features that it holds, in plain sight or after
 restoration: spans that look disguised (digits and signs among letters, letters
 set apart, letters repeated) become lattices in which a character may stand for
 itself or for the letters that it is commonly written for, a separator may be
-nothing, and a repetition may be one letter.  Viterbi decoding finds the most
+nothing or a word's end, and a repetition may be one letter.  Viterbi decoding finds the most
 likely letters under a character trigram model with a cost for each disguise.
 
 The language model counts the trigrams of all documents, plus the words of the
@@ -67,9 +67,9 @@ _COST = {"plain": 0.0, "sign": 1.0, "separator": 0.3, "repeat": 0.3}
 _NOISE = re.compile(r"^([$@|+])\1+|([$@|+])\2+$")
 _REPEATED = re.compile(r"(\w)\1\1")
 _DISGUISED = re.compile(r"(?=.*[^\W\d_])(?=.*[0-9@$!|+(€£¡.\-_*/'~:;·])", re.DOTALL)
-_LONGEST_SPAN = 60
 _SYMBOLS = 28  # 0: outside a word; 1 to 26: letters; 27: other letters
-_CACHE = 20_000
+#: Restored spans that a worker remembers, and the longest of them; longer ones are decoded anew.
+_CACHE, _LONGEST_CACHED = 20_000, 60
 
 
 @functools.cache
@@ -125,43 +125,52 @@ class Model:
         strong = strong_features(self.weights, self.sure)
         self.folded = {fold(f): f for f in strong if not f.endswith("*")}
         self.folded_starts = {fold(f[:-1]): f for f in strong if f.endswith("*")}
+        self.longest_start = max(map(len, self.folded_starts), default=0)
         self.known: dict[str, str] = {}
 
     def restore(self, span: str) -> str:
-        """The most likely letters behind a span."""
-        span = span[:_LONGEST_SPAN]
+        """The most likely letters behind a span, its words set apart by spaces."""
         if span in self.known:
             return self.known[span]
         symbols = _folded()[np.frombuffer(span.encode("utf-32-le"), np.uint32)].tolist()
-        # State: the last two symbols; value: cost and letters.  Every path through the lattice is considered.
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        # State: the last two symbols; value: cost and letters, linked backwards.  Every path through the lattice is considered.
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for c, s in zip(span, symbols):
             arcs = [(s, _COST["plain"])] if s else [(ord(x) - 96, _COST["sign"]) for x in LOOKS_LIKE.get(c, "")]
-            after: dict[tuple[int, int], tuple[float, str]] = {}
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
 
-            def reach(state: tuple[int, int], cost: float, letters: str) -> None:
+            def reach(state: tuple[int, int], cost: float, letters: tuple | None) -> None:
                 if state not in after or cost < after[state][0]:
                     after[state] = cost, letters
 
             for (a, b), (cost, letters) in states.items():
+                at = (a * _SYMBOLS + b) * _SYMBOLS
                 for x, more in arcs:
-                    reach((b, x), cost + more + float(self.costs[(a * _SYMBOLS + b) * _SYMBOLS + x]), letters + ("?" if x == 27 else chr(96 + x)))
+                    reach((b, x), cost + more + float(self.costs[at + x]), ("?" if x == 27 else chr(96 + x), letters))
                     if x == b:
                         reach((a, b), cost + _COST["repeat"], letters)
                 if not s and (c in _SEPARATORS or not arcs):
                     reach((a, b), cost + _COST["separator"], letters)
+                    if b and c in _SEPARATORS:  # or it does end a word
+                        reach((0, 0), cost + float(self.costs[at]), (" ", letters))
             states = after
         ends = [(cost + float(self.costs[(a * _SYMBOLS + b) * _SYMBOLS]), letters) for (a, b), (cost, letters) in states.items()]
-        if len(self.known) > _CACHE:
-            self.known.clear()
-        self.known[span] = min(ends)[1] if ends else ""
-        return self.known[span]
+        node, found = min(ends, key=lambda e: e[0])[1] if ends else None, []
+        while node:
+            found.append(node[0])
+            node = node[1]
+        restored = "".join(reversed(found))
+        if len(span) <= _LONGEST_CACHED:
+            if len(self.known) > _CACHE:
+                self.known.clear()
+            self.known[span] = restored
+        return restored
 
     def spans(self, text: str, words: list[str]) -> Iterator[str]:
         """Spans that look disguised: single words, and runs of single letters."""
         for w in set(words):
             w = w if w.isalpha() else _NOISE.sub("", w)  # signs in a row at an end disguise nothing
-            if 3 <= len(w) <= _LONGEST_SPAN and ((not w.isalpha() and _DISGUISED.match(w)) or _REPEATED.search(w)):
+            if len(w) >= 3 and ((not w.isalpha() and _DISGUISED.match(w)) or _REPEATED.search(w)):
                 yield w
         for w in {w for w in text.lower().split() if w[0] in "!¡(" and len(w) > 2}:  # a sign in place of the first letter
             if w[1].isalnum():
@@ -169,7 +178,9 @@ class Model:
         single = "".join("1" if len(w) == 1 else "0" for w in words)
         if "111" in single:
             for m in re.finditer("1{3,}", single):
-                yield " ".join(words[m.start() : m.end()])
+                # The run may begin or end with a word of one letter.
+                for a, b in ((0, 0), (1, 0), (0, 1)):
+                    yield " ".join(words[m.start() + a : m.end() - b])
 
     def found(self, own: set[str]) -> set[str]:
         """The model's features among some words."""
@@ -190,10 +201,10 @@ class Model:
         score = self.probability(found)
         if score < THRESHOLD and self.folded | self.folded_starts:
             for span in self.spans(text or "", words):
-                letters = self.restore(span)
-                if letters in self.folded:
-                    found.add(self.folded[letters])
-                found |= {self.folded_starts[letters[:n]] for n in range(2, len(letters)) if letters[:n] in self.folded_starts}
+                for letters in self.restore(span).split():
+                    if letters in self.folded:
+                        found.add(self.folded[letters])
+                    found |= {self.folded_starts[letters[:n]] for n in range(2, min(len(letters), self.longest_start + 1)) if letters[:n] in self.folded_starts}
             score = self.probability(found)
         return score
 

@@ -170,7 +170,7 @@ def test_deobfuscation(spark, small_model):
     docs, labels = small_model
     model = toxicity.fit(docs, labels, F.lit(True))
     assert model.weights["idiot"] > 0
-    for disguise in ("idiot", "IDIOT!", "1d10t", "i d i o t", "i.d.i.o.t", "idiooooot", "!di0t", "i-d-i-o-t", "I D 1 O T"):
+    for disguise in ("idiot", "IDIOT!", "1d10t", "i d i o t", "i.d.i.o.t", "idiooooot", "!di0t", "i-d-i-o-t", "I D 1 O T", "a i d i o t", "i d i o t a", "mill.idiot", "t h e o l d " * 9 + "1 d i o t", "-.".join("theoldmill" * 9) + ".i-d-i-o-t"):
         assert model.score(f"the old {disguise} runs") >= 0.3, disguise
     for clean in ("", "the old river runs", "a b c d e f", "call 1-800-555 at 10:30", "looooong river", "x = 1d10", "mail me@home.example 12"):
         assert model.score(clean) < 0.3, clean
