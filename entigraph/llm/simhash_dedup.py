@@ -19,7 +19,8 @@ Two modes:
   differs in a known share of bits, too many for a guaranteed radius; the same
   programme then chooses thresholds so that such a pair is missed with at most
   ``miss`` probability, over several words, and each forest link is verified
-  on the exact shingle sets.
+  on the exact shingle sets.  Groups that a failed link parts are probed once
+  more for the pairs between them that the forest left out.
 
 Defined results: a null text is an empty one; texts without words have the
 fingerprint 0 and are copies of each other; fewer words than a shingle make one
@@ -46,6 +47,9 @@ from entigraph.plans.workspace import saved
 SEED = 42
 #: Rows of a run that one task holds (8 to 48 bytes each); a longer run is dealt anew by all pairs of left-out bits.
 MAX_RUN = 2_000_000
+#: Fingerprint words that pairs left out by thinning are compared by, and rows of a block when they are many.
+WIDE = 16
+BLOCK_ROWS = 20_000
 _TILE = 1024
 _SMALL = 256
 _BLOCK = 1 << 16
@@ -208,6 +212,12 @@ def differing_share(similarity: float) -> float:
     return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
 
 
+def _most_bits(words: int, similarity: float) -> int:
+    """Differing bits of a pair at the similarity, and four and a half standard deviations more."""
+    share = differing_share(similarity)
+    return round(64 * words * share + 4.5 * math.sqrt(64 * words * share * (1 - share)))
+
+
 def words_for(n: int, similarity: float, miss: float) -> tuple[int, int]:
     """Fingerprint words, and parts of each word, of least estimated cost for ``n`` fingerprints of unrelated bits."""
     p, best = differing_share(similarity), None
@@ -370,6 +380,90 @@ def probed_links(nodes: DataFrame, probes: list[Probe], words: int, most: int, m
     return found.where("probe < 0").select("a", "b").unionByName(_overflow_links(found.where("probe >= 0"), probes, words, most, max_run))
 
 
+def _cross_pairs(run: np.ndarray, sigs: np.ndarray, size: np.ndarray, group: np.ndarray, block: np.ndarray, most: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows of complete runs within ``most`` bits, of different groups and blocks, whose set sizes allow the similarity."""
+
+    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        low, high = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
+        keep = (group[x] != group[y]) & (low + 2 >= similarity * high) & ((block[x] < 0) | (block[x] != block[y]))
+        x, y = x[keep], y[keep]
+        keep = np.bitwise_count(sigs[x] ^ sigs[y]).sum(1, dtype=np.int64) <= most
+        return np.stack([x[keep], y[keep]])
+
+    begins = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+    sizes = np.diff(np.append(begins, len(run)))
+    left = np.repeat(begins + sizes, sizes) - np.arange(len(run))  # rows up to the end of the run, its own included
+    found = [np.zeros((2, 0), np.int64)]
+    for d in range(1, min(_SMALL, int(sizes.max(initial=1)))):
+        x = np.flatnonzero((left > d) & (np.repeat(sizes, sizes) <= _SMALL))
+        if not len(x):
+            break
+        found.append(near(x, x + d))
+    for k in np.flatnonzero(sizes > _SMALL):
+        for a in range(begins[k], begins[k] + sizes[k]):  # a row against all later ones
+            y = np.arange(a + 1, begins[k] + sizes[k])
+            found.append(near(np.full(len(y), a), y))
+    x, y = np.concatenate(found, axis=1)
+    return x, y
+
+
+def pairs_left_out(nodes: DataFrame, probes: list[Probe], words: int, most: int, similarity: float, block: int = BLOCK_ROWS) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of nodes of different groups that meet under a probe and are within ``most`` bits.
+
+    Columns of nodes: id, sig, size (of the shingle set), group (long).  A run
+    of more than ``block`` rows is cut into blocks by the hash of the id, and
+    every two blocks meet in a cell of their own, so that no task holds or
+    compares more than two blocks at once.
+    """
+    parts = [F.struct(F.lit(k).alias("probe"), _key(p).alias("key")) for k, p in enumerate(probes)]
+    rows = nodes.select("id", "sig", "size", "group", F.explode(F.array(*parts)).alias("p")).select("p.probe", "p.key", "id", "sig", "size", "group")
+    runs = rows.groupBy("probe", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    runs = saved(runs.select("probe", "key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "runs")
+    rows = rows.join(F.broadcast(runs) if runs.count() <= BROADCAST_ROWS else runs, ["probe", "key"])
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")
+    # Rows of a cell on the diagonal are compared with each other, elsewhere only with the other block.
+    rows = rows.select("probe", "key", cell.alias("cell"), "id", "sig", "size", "group", F.when(F.col("blocks") == 1, -1).otherwise(F.col("own")).alias("own"))
+    dealt = rows.repartition("probe", "key", "cell").sortWithinPartitions("probe", "key", "cell")
+    kind = dict(nodes.dtypes)["id"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n, limit = 0, _BLOCK
+
+        def pairs(table: pa.Table, run: np.ndarray) -> pa.RecordBatch:
+            size, group, block = (np.asarray(table.column(c).combine_chunks()) for c in ("size", "group", "own"))
+            ends = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+            whole = np.repeat(np.minimum.reduceat(block, ends) == np.maximum.reduceat(block, ends), np.diff(np.append(ends, len(run))))
+            x, y = _cross_pairs(run, _signatures(table.column("sig").combine_chunks(), words), size, group, np.where(whole, -1, block), most, similarity)
+            ids = table.column("id").combine_chunks()
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(x)), ids.take(pa.array(y))], ["a", "b"])
+
+        def numbered(table: pa.Table) -> np.ndarray:
+            columns = [np.asarray(table.column(c).combine_chunks()) for c in ("probe", "key", "cell")]
+            return np.cumsum(np.concatenate([[False], np.any([c[1:] != c[:-1] for c in columns], axis=0)]))
+
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n < limit:
+                continue
+            table = pa.Table.from_batches(held)
+            run = numbered(table)
+            last = int(np.searchsorted(run, run[-1]))
+            if last:
+                yield pairs(table.slice(0, last), run[:last])
+            held, n = table.slice(last).to_batches(), len(table) - last
+            limit = max(_BLOCK, 2 * n)
+        if n:
+            table = pa.Table.from_batches(held)
+            yield pairs(table, numbered(table))
+
+    found = map_batches(dealt, work, f"a {kind}, b {kind}")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _key(probe: Probe) -> Column:
     masked = [F.col("sig")[m.word].bitwiseAND(F.lit(_signed(m.bits))) for m in probe]
     return masked[0] if len(masked) == 1 else F.xxhash64(*masked)
@@ -460,56 +554,88 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, m
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, sig = [], []
+            node, sig, size = [], [], []
             for t in batch.column(1).to_pylist():
                 own = words_of(t)
+                shingles = np.unique(shingle_hashes(own, shingle))
                 node.append(_node_of(own))
-                sig.append(fingerprint(np.unique(shingle_hashes(own, shingle)), words).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.binary()), pa.array(sig, pa.list_(pa.int64()))], [key, "node", "sig"])
+                sig.append(fingerprint(shingles, words).view(np.int64))
+                size.append(len(shingles))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.binary()), pa.array(sig, pa.list_(pa.int64())), pa.array(size, pa.int64())], [key, "node", "sig", "size"])
 
     kind = dict(docs.dtypes)[key]
-    rows = saved(map_batches(rows_in, work, f"`{key}` {kind}, node binary, sig array<bigint>"), "signatures")
-    nodes = saved(rows.groupBy("node").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n"), F.first("sig").alias("sig")), "signature-nodes")
+    rows = saved(map_batches(rows_in, work, f"`{key}` {kind}, node binary, sig array<bigint>, size long"), "signatures")
+    nodes = saved(rows.groupBy("node").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n"), F.first("sig").alias("sig"), F.first("size").alias("size")), "signature-nodes")
     ids = nodes.select(F.col("node").alias("id"), "sig")
     n = nodes.count()
     probes = recall_plan(joint_bits(ids, words), n, parts, similarity, miss)
-    share = differing_share(similarity)
-    most = round(64 * words * share + 4.5 * math.sqrt(64 * words * share * (1 - share)))
-    links = saved(probed_links(ids, probes, words, most, max_run).distinct(), "candidates")
-    groups = connected_components(_verified(docs, rows, links, shingle, similarity, key, text))
+    links = saved(probed_links(ids, probes, words, _most_bits(words, similarity), max_run).distinct(), "candidates")
+    ends = saved(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "link-ends")
+    similar = _verified(links, _shingle_sets(docs, rows, ends, shingle, key, text), similarity)
+    groups = saved(connected_components(similar), "groups")
+    parted = _parted(nodes, links, similar, groups)
+    if not parted.isEmpty():
+        sets = _shingle_sets(docs, rows, parted.select(F.col("id").alias("node")), shingle, key, text, WIDE)
+        wide = parted.join(sets.select(F.col("node").alias("id"), "sig"), "id")
+        more = pairs_left_out(wide, probes, WIDE, _most_bits(WIDE, similarity), similarity)
+        tested = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        more = saved(more.join(tested, ["a", "b"], "left_anti"), "left-out")
+        groups = connected_components(similar.unionByName(_verified(more, sets, similarity)))
     linked = nodes.join(groups, "node", "left").where("n > 1 or component is not null").select("node", "first", F.coalesce("component", "node").alias("_root"))
     linked = saved(linked, "linked-nodes")
     best = linked.groupBy("_root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("best"))
     table = saved(linked.join(best, "_root").select("node", F.col("best.first").alias("_least"), F.col("best.node").alias("_best")), "linked-names")
-    done = looked_up(rows.drop("sig"), table, "node", F.col(key))
+    done = looked_up(rows.drop("sig", "size"), table, "node", F.col(key))
     kept = F.col("_best").isNull() | ((F.col("node") == F.col("_best")) & F.col(key).eqNullSafe(F.col("_least")))
     component = F.when(F.col("_best").isNull(), F.col(key)).otherwise(F.col("_least"))
     return done.select(key, "node", component.alias("component_id"), kept.alias("kept"))
 
 
-def _verified(docs: DataFrame, rows: DataFrame, links: DataFrame, shingle: int, similarity: float, key: str, text: str) -> DataFrame:
-    """The links whose exact shingle sets (32-bit hashes) are similar enough; texts are read again only for linked nodes."""
-    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
-    ends = saved(ends, "link-ends")
-    small = ends.count() <= BROADCAST_ROWS
-    wanted = rows.join(F.broadcast(ends) if small else ends, "node", "left_semi").groupBy("node").agg(F.min(F.struct(key)).alias("k")).select(F.col(f"k.{key}").alias("_key")).distinct()
-    wanted = F.broadcast(wanted) if small else wanted
-    texts = docs.select(key, text).join(wanted, docs[key].eqNullSafe(F.col("_key")), "left_semi")
+def _parted(nodes: DataFrame, links: DataFrame, similar: DataFrame, groups: DataFrame) -> DataFrame:
+    """Nodes, with ``group``, of all groups that a link which isn't similar enough would have joined.
+
+    A run's links are thinned to a forest before they are verified.  A pair
+    that was left out for a path of links is in one group if all of them are
+    similar; else the path leaves the groups of both ends by a link that isn't,
+    so both are groups of this kind.
+    """
+    failed = links.join(similar, ["a", "b"], "left_anti")
+    for end in ("a", "b"):
+        of = groups.select(F.col("node").alias(end), F.col("component").alias(f"_{end}"))
+        failed = failed.join(of, end, "left").withColumn(f"_{end}", F.coalesce(f"_{end}", end))
+    failed = failed.where("_a <> _b")
+    wanted = failed.select(F.explode(F.array("_a", "_b")).alias("_group")).distinct()
+    mine = nodes.join(groups, "node", "left").select(F.col("node").alias("id"), "size", F.coalesce("component", "node").alias("_group"))
+    return saved(mine.join(wanted, "_group", "left_semi").select("id", "size", F.xxhash64("_group").alias("group")), "parted")
+
+
+def _shingle_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, shingle: int, key: str, text: str, words: int = 0) -> DataFrame:
+    """Written table: node, its shingles (32-bit hashes) and a fingerprint ``sig`` of ``words`` words; texts are read again only for wanted nodes."""
+    small = wanted.count() <= BROADCAST_ROWS
+    keys = rows.join(F.broadcast(wanted) if small else wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct(key)).alias("k")).select(F.col(f"k.{key}").alias("_key")).distinct()
+    keys = F.broadcast(keys) if small else keys
+    texts = docs.select(key, text).join(keys, docs[key].eqNullSafe(F.col("_key")), "left_semi")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, sets = [], []
+            node, sets, sig = [], [], []
             for t in batch.column(1).to_pylist():
                 own = words_of(t)
+                hashes = np.unique(shingle_hashes(own, shingle))
                 node.append(_node_of(own))
-                sets.append(np.unique((shingle_hashes(own, shingle) >> np.uint64(32)).astype(np.uint32)).view(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(sets, pa.list_(pa.int32()))], ["node", "shingles"])
+                sets.append(np.unique((hashes >> np.uint64(32)).astype(np.uint32)).view(np.int32))
+                sig.append(fingerprint(hashes, words).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(sets, pa.list_(pa.int32())), pa.array(sig, pa.list_(pa.int64()))], ["node", "shingles", "sig"])
+
+    sets = map_batches(texts, work, "node binary, shingles array<int>, sig array<bigint>")
+    return saved(sets.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("sig").alias("sig")), "shingle-sets")
+
 
-    sets = map_batches(texts, work, "node binary, shingles array<int>").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    sets = saved(sets, "shingle-sets")
+def _verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Written table: the links whose exact shingle sets are similar enough."""
     pairs = links.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return pairs.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    return saved(pairs.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"), "similar")
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -111,6 +111,25 @@ def test_similar_groups(spark, small):
     assert left.columns == table.columns and sorted(r.doc_id for r in left.collect()) == sorted(set(want))
 
 
+@pytest.mark.parametrize("block", [simhash_dedup.BLOCK_ROWS, 40])
+def test_links_that_a_forest_leaves_out(spark, monkeypatch, block):
+    """Variants of one text around the limit: forests by fingerprints hold few of their links."""
+    monkeypatch.setattr(simhash_dedup.pairs_left_out, "__defaults__", (block,))
+    rng = np.random.default_rng(3)
+    docs = []
+    for k in range(200):
+        words = [f"w{i}" for i in range(250)]
+        for i in rng.choice(250, 4, replace=False):
+            words[i] = f"x{k}"
+        docs.append((k, " ".join(words)))
+    sets = [set(shingles(t, 5)) for _, t in docs]
+    pairs = [(i, j) for i in range(len(docs)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = labels(len(docs), pairs, [k for k, _ in docs])
+    assert 20 < len(set(want)) < 180
+    decided = simhash_dedup.similar_groups(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in decided.collect()} == dict(zip((k for k, _ in docs), want))
+
+
 def test_deduplicated_edges(spark):
     table = spark.createDataFrame([(*d, k) for k, d in enumerate(EDGES)], "doc_id long, text string, _node int")
     left = simhash_dedup.deduplicated(table)
