@@ -49,7 +49,7 @@ SEED = 42
 MAX_RUN = 2_000_000
 #: Fingerprint words that pairs left out by thinning are compared by, and rows of a block when they are many.
 WIDE = 16
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 4_000
 _TILE = 1024
 _SMALL = 256
 _BLOCK = 1 << 16
@@ -408,15 +408,18 @@ def _cross_pairs(run: np.ndarray, sigs: np.ndarray, size: np.ndarray, group: np.
 
 
 def pairs_left_out(nodes: DataFrame, probes: list[Probe], words: int, most: int, similarity: float, block: int = BLOCK_ROWS) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of nodes of different groups that meet under a probe and are within ``most`` bits.
+    """Links (a, b) between nodes of different groups that meet under a probe, are within ``most`` bits and similar by their sets.
 
-    Columns of nodes: id, sig, size (of the shingle set), group (long).  A run
+    Columns of nodes: id, sig, shingles, size (of the set), group (long).  Pairs
+    are verified where they meet, under the first probe that joins them, and
+    only a forest of the links of each run leaves it.  A run
     of more than ``block`` rows is cut into blocks by the hash of the id, and
     every two blocks meet in a cell of their own, so that no task holds or
     compares more than two blocks at once.
     """
     parts = [F.struct(F.lit(k).alias("probe"), _key(p).alias("key")) for k, p in enumerate(probes)]
-    rows = nodes.select("id", "sig", "size", "group", F.explode(F.array(*parts)).alias("p")).select("p.probe", "p.key", "id", "sig", "size", "group")
+    columns = ["id", "sig", "size", "group", "shingles"]
+    rows = nodes.select(*columns, F.explode(F.array(*parts)).alias("p")).select("p.probe", "p.key", *columns)
     runs = rows.groupBy("probe", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     runs = saved(runs.select("probe", "key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "runs")
     rows = rows.join(F.broadcast(runs) if runs.count() <= BROADCAST_ROWS else runs, ["probe", "key"])
@@ -424,19 +427,38 @@ def pairs_left_out(nodes: DataFrame, probes: list[Probe], words: int, most: int,
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cell = F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")
     # Rows of a cell on the diagonal are compared with each other, elsewhere only with the other block.
-    rows = rows.select("probe", "key", cell.alias("cell"), "id", "sig", "size", "group", F.when(F.col("blocks") == 1, -1).otherwise(F.col("own")).alias("own"))
+    rows = rows.select("probe", "key", cell.alias("cell"), *columns, F.when(F.col("blocks") == 1, -1).otherwise(F.col("own")).alias("own"))
     dealt = rows.repartition("probe", "key", "cell").sortWithinPartitions("probe", "key", "cell")
     kind = dict(nodes.dtypes)["id"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        n, limit = 0, _BLOCK
+        n, limit = 0, 2 * block
 
         def pairs(table: pa.Table, run: np.ndarray) -> pa.RecordBatch:
             size, group, block = (np.asarray(table.column(c).combine_chunks()) for c in ("size", "group", "own"))
             ends = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
             whole = np.repeat(np.minimum.reduceat(block, ends) == np.maximum.reduceat(block, ends), np.diff(np.append(ends, len(run))))
-            x, y = _cross_pairs(run, _signatures(table.column("sig").combine_chunks(), words), size, group, np.where(whole, -1, block), most, similarity)
+            sigs, probe = _signatures(table.column("sig").combine_chunks(), words), np.asarray(table.column("probe").combine_chunks())
+            x, y = _cross_pairs(run, sigs, size, group, np.where(whole, -1, block), most, similarity)
+            first = np.ones(len(x), bool)
+            for k, masks in enumerate(probes):  # an earlier probe joins them too
+                met = np.ones(len(x), bool)
+                for m in masks:
+                    met &= (sigs[x, m.word] ^ sigs[y, m.word]) & np.uint64(m.bits) == 0
+                first &= ~(met & (probe[x] > k))
+            x, y = x[first], y[first]
+            sets = table.column("shingles").combine_chunks()
+            values, ends = np.asarray(sets.flatten()), np.concatenate([[0], np.cumsum(np.asarray(sets.value_lengths()))])
+            alike = np.zeros(len(x), bool)
+            for k, (a, b) in enumerate(zip(x.tolist(), y.tolist())):
+                both = np.concatenate([values[ends[a] : ends[a + 1]], values[ends[b] : ends[b + 1]]])
+                both.sort()
+                shared = int(np.count_nonzero(both[1:] == both[:-1]))
+                alike[k] = shared >= similarity * (len(both) - shared)
+            x, y = x[alike], y[alike]
+            keep = minimum_forest(len(run), x, y, np.zeros(len(x), np.int64))
+            x, y = x[keep], y[keep]
             ids = table.column("id").combine_chunks()
             return pa.RecordBatch.from_arrays([ids.take(pa.array(x)), ids.take(pa.array(y))], ["a", "b"])
 
@@ -455,7 +477,7 @@ def pairs_left_out(nodes: DataFrame, probes: list[Probe], words: int, most: int,
             if last:
                 yield pairs(table.slice(0, last), run[:last])
             held, n = table.slice(last).to_batches(), len(table) - last
-            limit = max(_BLOCK, 2 * n)
+            limit = max(2 * block, 2 * n)
         if n:
             table = pa.Table.from_batches(held)
             yield pairs(table, numbered(table))
@@ -576,11 +598,9 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, m
     parted = _parted(nodes, links, similar, groups)
     if not parted.isEmpty():
         sets = _shingle_sets(docs, rows, parted.select(F.col("id").alias("node")), shingle, key, text, WIDE)
-        wide = parted.join(sets.select(F.col("node").alias("id"), "sig"), "id")
+        wide = parted.join(sets.withColumnRenamed("node", "id"), "id")
         more = pairs_left_out(wide, probes, WIDE, _most_bits(WIDE, similarity), similarity)
-        tested = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = saved(more.join(tested, ["a", "b"], "left_anti"), "left-out")
-        groups = connected_components(similar.unionByName(_verified(more, sets, similarity)))
+        groups = connected_components(similar.unionByName(saved(more, "left-out")))
     linked = nodes.join(groups, "node", "left").where("n > 1 or component is not null").select("node", "first", F.coalesce("component", "node").alias("_root"))
     linked = saved(linked, "linked-nodes")
     best = linked.groupBy("_root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("best"))
