@@ -45,8 +45,10 @@ from entigraph.llm.components import connected_components, minimum_forest
 from entigraph.plans.workspace import saved
 
 SEED = 42
-#: Rows of a run that one task holds (8 to 48 bytes each); a longer run is dealt anew by all pairs of left-out bits.
+#: Rows of a run that one task holds (8 bytes a word each); a longer run is dealt anew: by all pairs of left-out bits (one word), or in pairs of blocks.
 MAX_RUN = 2_000_000
+#: Blocks that would hold MAX_RUN rows, when a longer run is dealt in pairs of blocks.
+_RUN_BLOCKS = 8
 #: Fingerprint words that pairs left out by thinning are compared by, and rows of a block when they are many.
 WIDE = 16
 BLOCK_ROWS = 4_000
@@ -267,15 +269,19 @@ def _signatures(column: pa.Array, words: int) -> np.ndarray:
     return np.asarray(column.flatten()).view(np.uint64).reshape(-1, words)
 
 
-def _forest(sigs: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Minimum spanning forest of the links within ``most`` bits among the rows of one run, tile by tile."""
+def _forest(sigs: np.ndarray, most: int, first: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Minimum spanning forest of the links within ``most`` bits among the rows of one run, tile by tile.
+
+    With ``first`` only the links between the first so many rows and the others count.
+    """
     n = len(sigs)
+    end = n if first is None else first
     u = v = w = np.zeros(0, np.int64)
-    for a in range(0, n, _TILE):
-        for b in range(a, n, _TILE):
-            distance = np.zeros((min(_TILE, n - a), min(_TILE, n - b)), np.uint16)
+    for a in range(0, end, _TILE):
+        for b in range(a if first is None else first, n, _TILE):
+            distance = np.zeros((min(_TILE, end - a), min(_TILE, n - b)), np.uint16)
             for k in range(sigs.shape[1]):
-                distance += np.bitwise_count(sigs[a : a + _TILE, k, None] ^ sigs[None, b : b + _TILE, k])
+                distance += np.bitwise_count(sigs[a : min(a + _TILE, end), k, None] ^ sigs[None, b : b + _TILE, k])
             near = distance <= most
             if a == b:
                 near &= np.tri(len(near), k=-1, dtype=bool).T
@@ -319,7 +325,7 @@ def probed_links(nodes: DataFrame, probes: list[Probe], words: int, most: int, m
 
     Columns of nodes: id, sig (array of ``words`` longs).  A run of more than
     ``max_run`` rows isn't held: its rows come back as members of an overflow
-    and are dealt anew by what remains after leaving out ``most`` bits.
+    and are dealt anew, so that none of its links is lost.
     """
     parts = [F.struct(F.lit(k).alias("probe"), _key(p).alias("key")) for k, p in enumerate(probes)]
     rows = nodes.select("id", "sig", F.explode(F.array(*parts)).alias("p")).select("p.probe", "p.key", "id", "sig")
@@ -330,6 +336,7 @@ def probed_links(nodes: DataFrame, probes: list[Probe], words: int, most: int, m
         held: list[pa.RecordBatch] = []
         over: tuple | None = None  # the run that is being passed on
         n, limit = 0, _BLOCK
+        names = ["a", "b", "probe", "key", "sig"]
 
         def links(table: pa.Table) -> pa.RecordBatch | None:
             if not len(table):
@@ -338,11 +345,12 @@ def probed_links(nodes: DataFrame, probes: list[Probe], words: int, most: int, m
             run = np.cumsum(np.concatenate([[False], (probe[1:] != probe[:-1]) | (key[1:] != key[:-1])]))
             u, v = _links(run, _signatures(table.column("sig").combine_chunks(), words), most)
             ids = table.column("id").combine_chunks()
-            return _out(ids.take(pa.array(u)), ids.take(pa.array(v)), np.full(len(u), -1), None)
+            nothing = pa.nulls(len(u), pa.int64()), pa.nulls(len(u), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(u)), ids.take(pa.array(v)), pa.array(np.full(len(u), -1), pa.int32()), *nothing], names)
 
-        def _out(a: pa.Array, b: pa.Array, probe: np.ndarray, sig: pa.Array | None) -> pa.RecordBatch:
-            sig = pa.nulls(len(a), pa.list_(pa.int64())) if sig is None else sig
-            return pa.RecordBatch.from_arrays([a, b, pa.array(probe, pa.int32()), sig], ["a", "b", "probe", "sig"])
+        def passed_on(part: pa.RecordBatch) -> pa.RecordBatch:
+            probe, key, ids, sig = part.columns
+            return pa.RecordBatch.from_arrays([ids, ids, probe, key, sig], names)
 
         for batch in batches:
             while batch is not None and batch.num_rows:
@@ -352,7 +360,7 @@ def probed_links(nodes: DataFrame, probes: list[Probe], words: int, most: int, m
                     same = batch.num_rows if as_over.all() else int(as_over.argmin())
                     if same:
                         part = batch.slice(0, same)
-                        yield _out(part.column(2), part.column(2), np.asarray(part.column(0)), part.column(3))
+                        yield passed_on(part)
                     if same == batch.num_rows:
                         break
                     over, batch = None, batch.slice(same)
@@ -371,13 +379,16 @@ def probed_links(nodes: DataFrame, probes: list[Probe], words: int, most: int, m
                     if n > max_run:
                         over = (probe[-1], key[-1])
                         for part in held:
-                            yield _out(part.column(2), part.column(2), np.asarray(part.column(0)), part.column(3))
+                            yield passed_on(part)
                         held, n = [], 0
         if held and (done := links(pa.Table.from_batches(held))) is not None:
             yield done
 
-    found = saved(map_batches(dealt, work, f"a {kind}, b {kind}, probe int, sig array<bigint>"), "links")
-    return found.where("probe < 0").select("a", "b").unionByName(_overflow_links(found.where("probe >= 0"), probes, words, most, max_run))
+    found = saved(map_batches(dealt, work, f"a {kind}, b {kind}, probe int, key bigint, sig array<bigint>"), "links")
+    over = found.where("probe >= 0")
+    if over.isEmpty():
+        return found.select("a", "b")
+    return found.where("probe < 0").select("a", "b").unionByName(_overflow_links(over, words, most, max_run))
 
 
 def _cross_pairs(run: np.ndarray, sigs: np.ndarray, size: np.ndarray, group: np.ndarray, block: np.ndarray, most: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -491,28 +502,80 @@ def _key(probe: Probe) -> Column:
     return masked[0] if len(masked) == 1 else F.xxhash64(*masked)
 
 
-def _overflow_links(rows: DataFrame, probes: list[Probe], words: int, most: int, max_run: int) -> DataFrame:
-    """Links of runs too long to hold.
+def _overflow_links(rows: DataFrame, words: int, most: int, max_run: int) -> DataFrame:
+    """Links of runs too long to hold; columns of rows: a, probe, key, sig.
 
     One word: rows that agree after leaving out ``most`` bits are all within
     ``most``, so each links to the smallest of them, by an aggregate.  Several
-    words: the rows are probed again by two masks at a time, which parts the
-    runs; rows that still agree in everything link to the smallest of them.
+    words: rows of the same fingerprint link to the smallest of them, and the
+    different fingerprints of a run are compared block by block.
     """
-    if rows.isEmpty():
-        return rows.select("a", "b")
     every = (1 << 64) - 1
     if words == 1:
         exact = [(Mask(0, every & ~sum(1 << b for b in out)),) for out in itertools.combinations(range(64), most)]
-    elif sum(bin(m.bits).count("1") for m in probes[0]) < 32 * words:
-        narrower = [p + q for p, q in zip(probes, probes[1:] + probes[:1])]
-        again = rows.groupBy(F.col("a").alias("id")).agg(F.first("sig").alias("sig"))
-        return probed_links(again, narrower, words, most, max_run)
-    else:
-        exact = [tuple(Mask(w, every) for w in range(words))]
-    dealt = rows.select("a", F.posexplode(F.array(*map(_key, exact))).alias("which", "key"))
-    low = dealt.groupBy("which", "key").agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return dealt.join(low, ["which", "key"]).where("a <> b").select("a", "b").distinct()
+        dealt = rows.select("a", F.posexplode(F.array(*map(_key, exact))).alias("which", "key"))
+        low = dealt.groupBy("which", "key").agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        return dealt.join(low, ["which", "key"]).where("a <> b").select("a", "b").distinct()
+    low = rows.groupBy("sig").agg(F.min("a").alias("b"))
+    same = rows.select("a", "sig").distinct().join(low, "sig").where("a <> b").select("a", "b")
+    return same.unionByName(_block_links(rows, words, most, max(1, max_run // _RUN_BLOCKS)))
+
+
+def _block_links(rows: DataFrame, words: int, most: int, block: int) -> DataFrame:
+    """Links within ``most`` bits of the different fingerprints of each run, the smallest ``a`` standing for those of one.
+
+    A run is cut into blocks of about ``block`` rows, and every two of them
+    meet in a cell of their own: no task holds more than two blocks, and the
+    forests of all cells join what the forest of the whole run would.
+    """
+    kind = dict(rows.dtypes)["a"]
+    nodes = saved(rows.groupBy("probe", "key", "sig").agg(F.min("a").alias("id")), "long-runs")
+    runs = nodes.groupBy("probe", "key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    nodes = nodes.join(F.broadcast(runs), ["probe", "key"])  # a row for each of the few runs too long to hold
+    nodes = nodes.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = F.least("own", "other").cast("long") * F.col("blocks") + F.greatest("own", "other")
+    nodes = nodes.select("probe", "key", cell.alias("cell"), "own", (F.col("own") == F.col("other")).alias("same"), "id", "sig")
+    dealt = nodes.repartition("probe", "key", "cell").sortWithinPartitions("probe", "key", "cell", "own")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n, limit = 0, _BLOCK
+
+        def numbered(table: pa.Table) -> np.ndarray:
+            columns = [np.asarray(table.column(c).combine_chunks()) for c in ("probe", "key", "cell")]
+            return np.cumsum(np.concatenate([[False], np.any([c[1:] != c[:-1] for c in columns], axis=0)]))
+
+        def links(table: pa.Table, run: np.ndarray) -> pa.RecordBatch:
+            sigs, own = _signatures(table.column("sig").combine_chunks(), words), np.asarray(table.column("own").combine_chunks())
+            diagonal, begins = np.asarray(table.column("same").combine_chunks()), np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+            us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for a, b in zip(begins, np.append(begins[1:], len(run))):
+                first = int(np.searchsorted(own[a:b], own[b - 1]))
+                if first == 0 and not diagonal[a]:
+                    continue  # one of the two blocks is empty
+                u, v, _ = _forest(sigs[a:b], most, first or None)
+                us.append(u + a)
+                vs.append(v + a)
+            ids = table.column("id").combine_chunks()
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(x))) for x in (us, vs)], ["a", "b"])
+
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n < limit:
+                continue
+            table = pa.Table.from_batches(held)
+            run = numbered(table)
+            last = int(np.searchsorted(run, run[-1]))
+            if last:
+                yield links(table.slice(0, last), run[:last])
+            held, n = table.slice(last).to_batches(), len(table) - last
+            limit = max(_BLOCK, 2 * n)
+        if n:
+            table = pa.Table.from_batches(held)
+            yield links(table, numbered(table))
+
+    return map_batches(dealt, work, f"a {kind}, b {kind}").distinct()
 
 
 def _signed(mask: int) -> int:

@@ -6,7 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import harness
-from entigraph.llm import components, embedding_dedup, queries, simhash_dedup
+from entigraph.llm import common, components, embedding_dedup, queries, simhash_dedup
 
 
 def labels(n, pairs, names):
@@ -130,6 +130,42 @@ def test_links_that_a_forest_leaves_out(spark, monkeypatch, block):
     assert {r.doc_id: r.component_id for r in decided.collect()} == dict(zip((k for k, _ in docs), want))
 
 
+def test_similar_pairs_in_runs_too_long_to_hold(spark, monkeypatch):
+    """Pairs near the limit, each run of two already too long: all are still found."""
+    monkeypatch.setattr(common, "ROWS_PER_BATCH", 1)
+    rng = np.random.default_rng(8)
+    docs = []
+    for k in range(60):
+        words = [f"w{k}_{i}" for i in range(250)]
+        other = list(words)
+        for i in rng.choice(250, 4, replace=False):
+            other[i] = "x"
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    sets = [set(shingles(t, 5)) for _, t in docs]
+    pairs = [(i, j) for i in range(len(docs)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = labels(len(docs), pairs, [k for k, _ in docs])
+    assert len(pairs) > 40
+    decided = simhash_dedup.similar_groups(spark.createDataFrame(docs, "doc_id long, text string"), max_run=1)
+    assert {r.doc_id: r.component_id for r in decided.collect()} == dict(zip((k for k, _ in docs), want))
+
+
+@pytest.mark.parametrize("max_run", [1, 50])
+def test_a_long_run_of_several_words_is_linked_whole(spark, max_run):
+    rng = np.random.default_rng(4)
+    flips = np.packbits(rng.random((300, 192)) < 0.05, axis=1).view(np.int64).reshape(-1, 3)
+    sigs = flips ^ rng.integers(0, 1 << 62, 3)
+    sigs[:, 0] = 5  # one run, and copies in it
+    sigs[200:] = sigs[:100]
+    distance = np.bitwise_count((sigs[:, None] ^ sigs[None]).view(np.uint64)).sum(2)
+    pairs = [(i, int(j)) for i in range(300) for j in np.flatnonzero(distance[i] <= 7) if j > i]
+    want = labels(300, pairs, list(range(300)))
+    assert 20 < len(set(want)) < 180
+    nodes = spark.createDataFrame([(k, s) for k, s in enumerate(sigs.tolist())], "id long, sig array<long>")
+    probes = [(simhash_dedup.Mask(0, 0xFFFF),), (simhash_dedup.Mask(0, 0xFF0000),)]
+    got = {r.node: r.component for r in components.connected_components(simhash_dedup.probed_links(nodes, probes, 3, 7, max_run)).collect()}
+    assert [got.get(k, k) for k in range(300)] == want
+
+
 def test_deduplicated_edges(spark):
     table = spark.createDataFrame([(*d, k) for k, d in enumerate(EDGES)], "doc_id long, text string, _node int")
     left = simhash_dedup.deduplicated(table)
