@@ -49,7 +49,7 @@ SEED = 42
 MAX_RUN = 2_000_000
 #: Blocks that would hold MAX_RUN rows, when a longer run is dealt in pairs of blocks.
 _RUN_BLOCKS = 8
-#: Fingerprint words that pairs left out by thinning are compared by, and rows of a block when they are many.
+#: Least fingerprint words that pairs left out by thinning are compared by, and rows of a block when they are many.
 WIDE = 16
 BLOCK_ROWS = 4_000
 _TILE = 1024
@@ -660,9 +660,10 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, m
     groups = saved(connected_components(similar), "groups")
     parted = _parted(nodes, links, similar, groups)
     if not parted.isEmpty():
-        sets = _shingle_sets(docs, rows, parted.select(F.col("id").alias("node")), shingle, key, text, WIDE)
-        wide = parted.join(sets.withColumnRenamed("node", "id"), "id")
-        more = pairs_left_out(wide, probes, WIDE, _most_bits(WIDE, similarity), similarity)
+        wide = max(WIDE, words)  # the probes name all words of the plan
+        sets = _shingle_sets(docs, rows, parted.select(F.col("id").alias("node")), shingle, key, text, wide)
+        found = parted.join(sets.withColumnRenamed("node", "id"), "id")
+        more = pairs_left_out(found, probes, wide, _most_bits(wide, similarity), similarity)
         groups = connected_components(similar.unionByName(saved(more, "left-out")))
     linked = nodes.join(groups, "node", "left").where("n > 1 or component is not null").select("node", "first", F.coalesce("component", "node").alias("_root"))
     linked = saved(linked, "linked-nodes")

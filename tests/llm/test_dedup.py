@@ -166,6 +166,26 @@ def test_a_long_run_of_several_words_is_linked_whole(spark, max_run):
     assert [got.get(k, k) for k in range(300)] == want
 
 
+def test_left_out_pairs_under_a_plan_of_many_words(spark, monkeypatch):
+    """As for millions of documents: masks name words beyond the usual wide fingerprint."""
+    wide = simhash_dedup.WIDE + 5
+    monkeypatch.setattr(simhash_dedup, "words_for", lambda *_: (wide, 4))
+    monkeypatch.setattr(simhash_dedup, "recall_plan", lambda *_: [(simhash_dedup.Mask(w, 0xFF << 8 * k),) for w in range(wide) for k in (0, 3)])
+    rng = np.random.default_rng(3)
+    docs = []
+    for k in range(60):
+        words = [f"w{i}" for i in range(250)]
+        for i in rng.choice(250, 4, replace=False):
+            words[i] = f"x{k}"
+        docs.append((k, " ".join(words)))
+    sets = [set(shingles(t, 5)) for _, t in docs]
+    pairs = [(i, j) for i in range(len(docs)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = labels(len(docs), pairs, [k for k, _ in docs])
+    assert 1 < len(set(want)) < 60
+    decided = simhash_dedup.similar_groups(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in decided.collect()} == dict(zip((k for k, _ in docs), want))
+
+
 def test_deduplicated_edges(spark):
     table = spark.createDataFrame([(*d, k) for k, d in enumerate(EDGES)], "doc_id long, text string, _node int")
     left = simhash_dedup.deduplicated(table)
