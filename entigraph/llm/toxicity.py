@@ -2,11 +2,13 @@
 
 A classifier over words and word beginnings is learned from labelled documents.
 A text is scored by the features that it holds, in plain sight or after
-restoration: spans that look disguised (digits and signs among letters, letters
-set apart, letters repeated) become lattices in which a character may stand for
+restoration: spans that look disguised (anything but letters among letters, words
+of one or two letters in a row, signs between them or not, letters repeated)
+become lattices in which a character may stand for
 itself or for the letters that it is commonly written for, a separator may be
 nothing or a word's end, and a repetition may be one letter.  Viterbi decoding finds the most
 likely letters under a character trigram model with a cost for each disguise.
+A span whose lattice has no path through any strong feature isn't decoded.
 
 The language model counts the trigrams of all documents, plus the words of the
 strong features, since the channel hides those.  The classifier is a logistic
@@ -65,8 +67,11 @@ LOOKS_LIKE = {
 _SEPARATORS = frozenset(" .-_*/,'~:;·")
 _COST = {"plain": 0.0, "sign": 1.0, "separator": 0.3, "repeat": 0.3}
 _NOISE = re.compile(r"^([$@|+])\1+|([$@|+])\2+$")
-_REPEATED = re.compile(r"(\w)\1\1")
-_DISGUISED = re.compile(r"(?=.*[^\W\d_])(?=.*[0-9@$!|+(€£¡.\-_*/'~:;·])", re.DOTALL)
+_REPEATED = re.compile(r"(\w)\1")
+_DISGUISED = re.compile(r"(?=.*[^\W\d_])(?=.*[\W\d_])|.*(\w)\1\1", re.DOTALL)
+_SIGNS = re.compile(r"[\W_]*\Z")
+#: Words of at most two characters in a row, with signs between them; and signs at the ends that may be letters.
+_PIECES = re.compile(r"\+*1(?:[-+]*1)+\+*")
 _SYMBOLS = 28  # 0: outside a word; 1 to 26: letters; 27: other letters
 #: Restored spans that a worker remembers, and the longest of them; longer ones are decoded anew.
 _CACHE, _LONGEST_CACHED = 20_000, 60
@@ -107,6 +112,10 @@ def trigram_counts(texts: list[str | None]) -> np.ndarray:
     return out
 
 
+def _squeezed(letters: str) -> str:
+    return re.sub(r"(.)\1+", r"\1", letters)
+
+
 def strong_features(weights: dict[str, float], sure: dict[str, float]) -> list[str]:
     return [f for f, w in weights.items() if (w >= STRONG or f in sure) and not f.endswith("**")]
 
@@ -126,7 +135,10 @@ class Model:
         self.folded = {fold(f): f for f in strong if not f.endswith("*")}
         self.folded_starts = {fold(f[:-1]): f for f in strong if f.endswith("*")}
         self.longest_start = max(map(len, self.folded_starts), default=0)
+        self.squeezed = {_squeezed(f) for f in [*self.folded, *self.folded_starts] if f}
+        self.beginnings = {f[:n] for f in self.squeezed for n in range(1, len(f) + 1)}
         self.known: dict[str, str] = {}
+        self.letters: dict[str, tuple[str, bool]] = {}
 
     def restore(self, span: str) -> str:
         """The most likely letters behind a span, its words set apart by spaces."""
@@ -149,10 +161,11 @@ class Model:
                     reach((b, x), cost + more + float(self.costs[at + x]), ("?" if x == 27 else chr(96 + x), letters))
                     if x == b:
                         reach((a, b), cost + _COST["repeat"], letters)
-                if not s and (c in _SEPARATORS or not arcs):
-                    reach((a, b), cost + _COST["separator"], letters)
-                    if b and c in _SEPARATORS:  # or it does end a word
-                        reach((0, 0), cost + float(self.costs[at]), (" ", letters))
+                if not s and (not arcs or not c.isalnum()):
+                    usual = c in _SEPARATORS or not arcs
+                    reach((a, b), cost + _COST["separator" if usual else "sign"], letters)
+                    if b:  # or it does end a word
+                        reach((0, 0), cost + _COST["plain" if usual else "sign"] + float(self.costs[at]), (" ", letters))
             states = after
         ends = [(cost + float(self.costs[(a * _SYMBOLS + b) * _SYMBOLS]), letters) for (a, b), (cost, letters) in states.items()]
         node, found = min(ends, key=lambda e: e[0])[1] if ends else None, []
@@ -166,21 +179,49 @@ class Model:
             self.known[span] = restored
         return restored
 
+    def paths(self, span: str) -> Iterator[tuple[int, int]]:
+        """Ranges of a span through which its lattice has a path of a strong feature's letters, repeated ones as one."""
+        active: dict[str, int] = {}  # letters so far -> where they start
+        for k, c in enumerate(span):
+            if c not in self.letters:
+                s = int(_folded()[ord(c)])
+                self.letters[c] = (("?" if s == 27 else chr(96 + s)) if s else LOOKS_LIKE.get(c, "")), not s
+            letters, may_go = self.letters[c]
+            if not letters:
+                continue
+            after = dict(active) if may_go else {}
+            for x in letters:
+                for p, start in (*active.items(), ("", k)):
+                    if p and p[-1] == x:
+                        after[p] = max(start, after.get(p, 0))
+                    if p + x in self.beginnings:
+                        after[p + x] = max(start, after.get(p + x, 0))
+                        if p + x in self.squeezed:
+                            yield start, k + 1
+            active = after
+
     def spans(self, text: str, words: list[str]) -> Iterator[str]:
-        """Spans that look disguised: single words, and runs of single letters."""
+        """Spans that look disguised: single words, and runs of words of one or two letters."""
         for w in set(words):
-            w = w if w.isalpha() else _NOISE.sub("", w)  # signs in a row at an end disguise nothing
-            if len(w) >= 3 and ((not w.isalpha() and _DISGUISED.match(w)) or _REPEATED.search(w)):
+            if not w.isalpha():
+                w = _NOISE.sub("", w)  # signs in a row at an end disguise nothing
+            if len(w) >= 3 and (_REPEATED.search(w) if w.isalpha() else _DISGUISED.match(w)) and any(self.paths(w)):
                 yield w
-        for w in {w for w in text.lower().split() if w[0] in "!¡(" and len(w) > 2}:  # a sign in place of the first letter
+        tokens = text.lower().split()
+        for w in {w for w in tokens if w[0] in "!¡(" and len(w) > 2}:  # a sign in place of the first letter
             if w[1].isalnum():
                 yield w[0] + w[1:].strip(_EDGES)
-        single = "".join("1" if len(w) == 1 else "0" for w in words)
-        if "111" in single:
-            for m in re.finditer("1{3,}", single):
-                # The run may begin or end with a word of one letter.
-                for a, b in ((0, 0), (1, 0), (0, 1)):
-                    yield " ".join(words[m.start() + a : m.end() - b])
+        kinds = "".join("1" if 0 < len(w) <= 2 and not _SIGNS.match(w) else "0" if not _SIGNS.match(w) else "+" if any(c in LOOKS_LIKE for c in t) else "-" for w, t in zip(words, tokens))
+        for m in _PIECES.finditer(kinds):
+            pieces = [w or t for w, t in zip(words[m.start() : m.end()], tokens[m.start() : m.end()])]
+            run = " ".join(pieces)
+            near = list(self.paths(run))
+            if near:
+                # The run may begin or end with other short words, which belong to no disguise.
+                yield run
+                yield " ".join(pieces[1:])
+                yield " ".join(pieces[:-1])
+                yield from {run[run.rfind(" ", 0, a + 1) + 1 : (run + " ").find(" ", b)] for a, b in near}
 
     def found(self, own: set[str]) -> set[str]:
         """The model's features among some words."""
@@ -201,10 +242,11 @@ class Model:
         score = self.probability(found)
         if score < THRESHOLD and self.folded | self.folded_starts:
             for span in self.spans(text or "", words):
+                own = fold(span) if span.isalpha() else ""  # what such a word begins with in plain sight isn't restored
                 for letters in self.restore(span).split():
-                    if letters in self.folded:
+                    if letters in self.folded and letters != own:
                         found.add(self.folded[letters])
-                    found |= {self.folded_starts[letters[:n]] for n in range(2, min(len(letters), self.longest_start + 1)) if letters[:n] in self.folded_starts}
+                    found |= {self.folded_starts[letters[:n]] for n in range(2, min(len(letters), self.longest_start + 1)) if letters[:n] in self.folded_starts and letters[:n] != own[:n]}
             score = self.probability(found)
         return score
 

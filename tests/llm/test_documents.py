@@ -176,6 +176,17 @@ def test_deobfuscation(spark, small_model):
         assert model.score(clean) < 0.3, clean
 
 
+def test_deobfuscation_of_any_separator_or_repetition(spark, small_model):
+    docs, labels = small_model
+    model = toxicity.fit(docs, labels, F.lit(True))
+    disguises = ["iidiioott", "idioot", "i - d - i - o - t", "i . d . i . o . t", "i#d#i#o#t", "i=d=i=o=t", "id io t", "i di ot", "is on a id io t", "i ! d ! i ! o ! t", "i|d|i|o|t", "mill#idiot", "1d = 10 = t", "i == d == i == o == t"]
+    disguises += [z.join("idiot") for z in ("\u200b", "\u200d", "\u00ad", "\ufeff")]
+    for disguise in disguises:
+        assert model.score(f"the old {disguise} runs") >= 0.3, disguise
+    for clean in ("book mill rabbit", "he is at it on a lake", "a = b = c", "a - b - c - d - e - f", "the#old#river", "th\u200be ri\u00adver", "is it 10 or 11", "a | b | c | d"):
+        assert model.score(clean) < 0.3, clean
+
+
 def test_toxicity_edges(spark, small_model):
     docs, labels = small_model
     more = spark.createDataFrame([(9000, None), (9001, ""), (None, "idiot"), (9002, "old " * 50_000 + "1d10t"), (3, "idiot")], docs.schema)
