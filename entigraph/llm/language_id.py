@@ -5,7 +5,9 @@ are word ends), hashed into a fixed number of features, damped, weighted by
 inverse document frequency and normalised.  Each language has several
 centroids, found by spherical k-means on its own texts; a text gets the language
 of the centroid with the largest cosine.  Distance-based rejection: a text whose
-cosine is below what its language's own texts reach is marked as rejected.
+cosine is below what its language's own texts reach is marked as rejected.  The
+cosine of a short text grows with the root of its number of different features,
+so cosines are compared for a text of ``WHOLE`` of them.
 
 The classifier (document frequencies, centroids, rejection limits) is fitted on
 at most ``sample`` labelled rows in all, the same number per language, those
@@ -34,8 +36,11 @@ FEATURES = 4096
 #: Bound of the fitted sample: rows in all, and rows of one language.
 SAMPLE, PER_LANGUAGE = 3000, 300
 CENTROIDS = 4
-#: A text is rejected below this share of the cosine that all but a few of its language's texts reach.
-REJECT_SHARE, REJECT_QUANTILE = 0.25, 0.01
+#: A text is rejected below this share of the cosine that all but a few of its language's texts reach: between the
+#: least share of clean texts (0.42, sf0.1) and those of foreign sentences and letter junk (0.12 to 0.4).
+REJECT_SHARE, REJECT_QUANTILE = 0.41, 0.01
+#: Different features from which on a text's cosine no longer grows with its length.
+WHOLE = 300
 _GROUP = 64
 _LONGEST = 1 << 20
 
@@ -101,18 +106,26 @@ def clustered(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centroids
 
 
+def length_share(raw: np.ndarray) -> np.ndarray:
+    """The share of the cosine of a long text that a text of so many different features may reach."""
+    return np.sqrt(np.clip((raw > 0).sum(1), 1, WHOLE) / WHOLE)
+
+
 @dataclass(frozen=True)
 class Model:
     languages: list[str]
     weights: np.ndarray  # of features
     centroids: np.ndarray
     owner: np.ndarray  # language of each centroid
-    least: np.ndarray  # rejection limit of each language
+    least: np.ndarray  # rejection limit of each language, for texts of WHOLE features
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, list[bool]]:
         if not len(self.centroids):
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), [True] * len(texts)
-        cosine = np.concatenate([np.zeros((0, len(self.owner)), np.float32), *(vectors(counts(texts[a : a + _GROUP]), self.weights) @ self.centroids.T for a in range(0, len(texts), _GROUP))])
+        cosine, share = np.zeros((len(texts), len(self.owner)), np.float32), np.zeros(len(texts))
+        for a in range(0, len(texts), _GROUP):
+            raw = counts(texts[a : a + _GROUP])
+            cosine[a : a + _GROUP], share[a : a + _GROUP] = vectors(raw, self.weights) @ self.centroids.T, length_share(raw)
         best = cosine.argmax(1)
         score = np.clip(cosine[np.arange(len(texts)), best].astype(np.float64), 0, 1)
         languages, rejected = [], []
@@ -120,7 +133,7 @@ class Model:
             known = has_letter(text)
             own = self.owner[best[k]]
             languages.append(self.languages[own] if known else UNKNOWN)
-            rejected.append(not known or score[k] < self.least[own])
+            rejected.append(not known or score[k] < self.least[own] * share[k])
             score[k] *= known
         return languages, score, rejected
 
@@ -157,7 +170,7 @@ def fit(docs: DataFrame, trains: Column, key: str = "doc_id", text: str = "text"
             c = clustered(mine, CENTROIDS)
             centroids.append(c)
             owner += [k] * len(c)
-            least[k] = REJECT_SHARE * np.quantile((mine @ c.T).max(1), REJECT_QUANTILE)
+            least[k] = REJECT_SHARE * np.quantile((mine @ c.T).max(1) / length_share(raw[(own == k) & useful]), REJECT_QUANTILE)
     stacked = np.concatenate(centroids) if centroids else np.zeros((0, FEATURES))
     return Model(languages, weights, stacked.astype(np.float32), np.array(owner, np.int64), least)
 

@@ -1,8 +1,10 @@
 """HTML, languages, archives, quality, toxicity and the pipeline."""
 
+import base64
 import hashlib
 import html
 import os
+import random
 import re
 import zlib
 
@@ -69,6 +71,28 @@ def test_languages(spark, small):
     assert all(0 <= r.score <= 1 for r in rows) and sum(r.rejected for r in rows) <= 0.002 * len(rows)
 
 
+FOREIGN = {
+    "pl": "Wczoraj po południu poszliśmy z dziećmi do parku, gdzie rosną stare drzewa. Później wróciliśmy do domu i przygotowaliśmy wspólnie kolację. ",
+    "fi": "Eilen iltapäivällä menimme lasten kanssa puistoon, jossa kasvaa vanhoja puita. Myöhemmin palasimme kotiin ja valmistimme yhdessä illallisen. ",
+    "tr": "Dün öğleden sonra çocuklarla birlikte yaşlı ağaçların büyüdüğü parka gittik. Daha sonra eve döndük ve birlikte akşam yemeği hazırladık. ",
+    "nl": "Gistermiddag gingen wij met de kinderen naar het park waar oude bomen groeien. Later keerden we terug naar huis en maakten samen het avondeten klaar. ",
+    "hu": "Tegnap délután elmentünk a gyerekekkel a parkba, ahol öreg fák nőnek. Később hazatértünk, és közösen elkészítettük a vacsorát. ",
+    "it": "Ieri pomeriggio siamo andati con i bambini al parco dove crescono vecchi alberi. Più tardi siamo tornati a casa e abbiamo preparato insieme la cena. ",
+}
+
+
+def test_foreign_and_random_letters_are_rejected(spark, small):
+    sf = small.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(1)
+    junk = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(80))
+    coded = base64.b64encode(bytes(rng.randrange(256) for _ in range(900))).decode()
+    more = [*FOREIGN.values(), *(t * 8 for t in FOREIGN.values()), junk, junk * 5, coded]
+    table = docs.unionByName(spark.createDataFrame([(10**6 + k, t, None) for k, t in enumerate(more)], "doc_id long, text string, lang string"))
+    kept = {r.doc_id for r in language_id.accepted(table).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in docs.collect()}
+
+
 def test_language_edges(spark):
     rows = [(k, w * 20, lang) for k in range(30) for w, lang in (("the house of ", "en"), ("das haus und der ", "de"))]
     rows += [(900, None, "en"), (901, "", None), (902, "123 !?", "de"), (None, "the house", None), (903, "the house of the " * 9000, None), (904, "жжжщщщ ъъъ ыыы", None)]
