@@ -272,8 +272,8 @@ _BM25 = "ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.5 + 0.5
 _STATS = f"s AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM {_TERMS})"
 
 
-def _text(what: ir.Filter) -> Run:
-    query = ir.GraphQuery("Document", ("doc_id",), what)
+def _text(what: ir.Filter, limit: int | None = None) -> Run:
+    query = ir.GraphQuery("Document", ("doc_id",), what, limit=limit)
     return lambda spark, d: engine(spark, d).execute(query).root.select("doc_id", F.round("_score", 4).alias("score"))
 
 
@@ -285,11 +285,11 @@ f AS (SELECT w, count(*) AS df FROM p WHERE tf > 0 GROUP BY w),
 m AS (SELECT doc_id, sum({_BM25}) AS score FROM p JOIN f USING (w), s WHERE tf > 0 GROUP BY doc_id)"""
 
 
-_add("text_match", _text(ir.TextMatch("text", "thing hashe und der", config="precise")), f"{_scores(['thing', 'hashe', 'und', 'der'])} SELECT doc_id, round(score, 4) AS score FROM m ORDER BY score DESC, doc_id LIMIT 1000")
-_add("text_match_min_score", _text(ir.TextMatch("text", "und der", 1.0, "precise")), f"{_scores(['und', 'der'])} SELECT doc_id, round(score, 4) AS score FROM m WHERE score >= 1.0 ORDER BY score DESC, doc_id LIMIT 1000")
+_add("text_match", _text(ir.TextMatch("text", "thing hashe und der", config="precise"), 1000), f"{_scores(['thing', 'hashe', 'und', 'der'])} SELECT doc_id, round(score, 4) AS score FROM m ORDER BY score DESC, doc_id LIMIT 1000")
+_add("text_match_min_score", _text(ir.TextMatch("text", "und der", 1.0, "precise"), 1000), f"{_scores(['und', 'der'])} SELECT doc_id, round(score, 4) AS score FROM m WHERE score >= 1.0 ORDER BY score DESC, doc_id LIMIT 1000")
 _add(
     "text_boolean",
-    _text(ir.TextBoolean("text", ("the", "and"), ("that",), ("und",), "precise")),
+    _text(ir.TextBoolean("text", ("the", "and"), ("that",), ("und",), "precise"), 1000),
     f"{_scores(['the', 'and', 'that'])} SELECT doc_id, round(score, 4) AS score FROM m JOIN {_TERMS} d USING (doc_id) WHERE list_contains(t, 'the') AND list_contains(t, 'and') AND NOT list_contains(t, 'und') ORDER BY score DESC, doc_id LIMIT 1000",
 )
 _add(

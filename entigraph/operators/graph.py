@@ -87,8 +87,6 @@ class Engine:
         elif not query.order:
             order = ordering(tuple(ir.Order(f, d) for f, d in entity.default_order), entity.identity)
         limit, offset = query.limit, query.offset
-        if ranking is not None and limit is None and isinstance(ranking, (ir.TextMatch, ir.TextPhrase, ir.TextBoolean)):
-            limit = search.TEXT_LIMIT
         if limit is None and not offset and not query.order and ranking is None:
             return rows, rows, 0, None
         ordered = rows.orderBy(*order)

@@ -18,8 +18,6 @@ from entigraph.plans import ir
 from entigraph.plans.model import Entity
 from entigraph.plans.workspace import worker_path
 
-#: Results of a text search without a limit of its own.
-TEXT_LIMIT = 1000
 
 
 def ranked(rows: DataFrame, what: ir.Ranking, entity: Entity) -> tuple[DataFrame, list[Column]]:

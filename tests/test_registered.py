@@ -22,6 +22,15 @@ def test_without_sql(spark, small):
     assert {"doc_id", "score"} == set(rest["text_match_stemmed"](spark, small).columns)
 
 
+@pytest.mark.parametrize("name", ["text_phrase", "text_match"])
+def test_text_search_with_many_matches(spark, small, name):
+    """More than a thousand documents match: all come back, or the thousand best where the SQL says so."""
+    large = small.replace("0.001", "0.1")
+    found = catalog_queries.queries()[name](spark, large)
+    assert harness.difference(found, large, SQL[name]) == ""
+    assert found.count() > 1000 if name == "text_phrase" else found.count() == 1000
+
+
 def test_entry(spark):
     import __spark_entry__
 
