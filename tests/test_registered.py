@@ -4,6 +4,9 @@ import harness
 import pytest
 
 from entigraph import catalog_queries
+from entigraph.llm.common import load
+from entigraph.operators.search import nearest_vectors, nearest_vectors_lsh
+from entigraph.plans import ir
 
 SQL = catalog_queries.oracle_sql()
 
@@ -31,6 +34,19 @@ def test_text_search_with_many_matches(spark, small, name):
     assert found.count() > 1000 if name == "text_phrase" else found.count() == 1000
 
 
+def test_recall_of_the_vector_index(spark, small):
+    """All rows whose id is divisible by 100 as queries, against the exact search over all rows."""
+    rows = load(spark, small.replace("0.001", "0.1"), "embeddings").cache()
+    found = wanted = 0
+    for r in rows.where("vec_id % 100 = 0").collect():
+        what = ir.VectorNear("embedding", tuple(map(float, r.embedding)), 10, None, "euclidean")
+        exact, near = ({n.vec_id for n in search(rows, what, ("vec_id",)).collect()} for search in (nearest_vectors, nearest_vectors_lsh))
+        found, wanted = found + len(exact & near), wanted + len(exact)
+    print(f"recall {found} of {wanted}")
+    assert wanted >= 100 and found >= 0.9 * wanted
+    rows.unpersist()
+
+
 def test_entry(spark):
     import __spark_entry__
 
