@@ -58,7 +58,8 @@ _TOKEN = re.compile(
     r"|<[!?/][^>]*(?:>|\Z)",
     re.DOTALL,
 )
-_ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+#: A whole attribute: names within other names or within values tell nothing.
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea xmp iframe noembed noframes".split())
 _BLOCK = frozenset(
@@ -110,7 +111,7 @@ def _described(tag: str, attributes: str) -> tuple[str, bool, bool]:
                 main |= value in ("main", "article")
             elif name == "itemprop":
                 main |= value == "articlebody"
-            elif name == "hidden" or value == "true":
+            elif name == "hidden" or name == "aria-hidden" and value == "true":
                 out = True
     return label, out, main and not out
 
@@ -197,8 +198,8 @@ def host_of(url: Column) -> Column:
 
 
 def _statistics(pages: DataFrame) -> DataFrame:
-    """Written token statistics of hosts and of all pages: hash, pages, occurrences, vector, position, characters, and the path of starts."""
-    schema = "host string, token long, kind string, pages long, n long, vector long, place long, chars long, path string"
+    """Written token statistics of hosts and of all pages: hash, pages, occurrences, vector, position, characters outside of links, all kept ones, and the path of starts."""
+    schema = "host string, token long, kind string, pages long, n long, vector long, place long, chars long, kept long, path string"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[str, str], list[int]] = {}
@@ -206,22 +207,25 @@ def _statistics(pages: DataFrame) -> DataFrame:
         def flush() -> pa.RecordBatch:
             rows = [(h, _hash(t), t[0], *v, t[1:] if t[0] == "<" else None) for (h, t), v in sums.items()]
             sums.clear()
-            kinds = [pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 5, pa.string()]
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["host", "token", "kind", "pages", "n", "vector", "place", "chars", "path"])
+            kinds = [pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 6, pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["host", "token", "kind", "pages", "n", "vector", "place", "chars", "kept", "path"])
 
         for batch in batches:
             for host, page_id, html in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                counts, first, chars = Counter(), {}, Counter()
+                counts, first, chars, kept = Counter(), {}, Counter(), Counter()
                 page = list(steps(html))
                 for k, (token, s) in enumerate(_tokens(page)):
                     counts[token] += 1
                     first.setdefault(token, k)
-                    if s.kind == "text" and not s.out and not s.link:
+                    if s.kind == "text" and not s.out:
                         size, path = len(s.text), s.path
-                        while path:
-                            chars[f"<{path}"] += size
+                        while True:
+                            kept[f"<{path}"] += size
+                            if not s.link:
+                                chars[f"<{path}"] += size
+                            if not path:
+                                break
                             path = path.rpartition("/")[0]
-                        chars["<"] += size
                 counts["<"] = 1
                 key = f"{page_id} {_hash(html or '')}"
                 for token, n in counts.items():
@@ -229,18 +233,19 @@ def _statistics(pages: DataFrame) -> DataFrame:
                     for h in (host, EVERY) if token[0] != "=" else (host,):
                         v = sums.get((h, token))
                         if v is None:
-                            v = sums[(h, token)] = [0, 0, 0, 0, 0]
+                            v = sums[(h, token)] = [0, 0, 0, 0, 0, 0]
                         v[0] += 1
                         v[1] += n
                         v[2] ^= own
                         v[3] += first.get(token, 0)
                         v[4] += chars[token]
+                        v[5] += kept[token]
                 if len(sums) > _FLUSH:
                     yield flush()
         yield flush()
 
     parts = map_batches(pages.select("_host", "page_id", "html"), work, schema)
-    total = [F.sum(c).alias(c) for c in ("pages", "n", "place", "chars")]
+    total = [F.sum(c).alias(c) for c in ("pages", "n", "place", "chars", "kept")]
     return saved(parts.groupBy("host", "token", "kind").agg(*total, F.bit_xor("vector").alias("vector"), F.first("path", ignorenulls=True).alias("path")).where("pages > 1 or path = ''"), "tokens")
 
 
@@ -265,12 +270,15 @@ def _classes(statistics: DataFrame) -> DataFrame:
 def _templates(classes: DataFrame, only: DataFrame | None) -> DataFrame:
     """host, tokens (hashes of its template in order), token classes and the main region's path."""
     valid = classes if only is None else classes.join(only, ["host", "class"], "left_anti")
-    meaning = F.when(F.col("path").rlike(rf"/(article|main)[^/]*$|/[^/]*[.#]([^/]*[^a-z])?({'|'.join(sorted(_MAIN_WORDS))})([^a-z][^/]*)?$"), 1).otherwise(0)
+    named = ~F.col("path").rlike(r"/(html|body)([.#][^/]*)?$") & F.col("path").rlike(rf"/(article|main)[^/]*$|/[^/]*[.#]([^/]*[^a-z])?({'|'.join(sorted(_MAIN_WORDS))})([^a-z][^/]*)?$")
+    meaning = F.when(named, 1).otherwise(0)
     depth = F.size(F.split("path", "/"))
     share = F.col("chars") / F.greatest(F.col("host_chars"), F.lit(1))
     inside = F.col("path").isNotNull() & (F.col("path") != "") & (F.col("n") == F.col("pages"))
     fits = inside & (share >= F.when(meaning == 1, NAMED_SHARE).otherwise(SHARE))
-    region = F.max(F.when(fits, F.struct(meaning.alias("m"), F.round(share, 1).alias("s"), depth.alias("d"), "path")))
+    # Of telling names the one with most text, deeper only if it holds the same; of others a tenth more or less tells nothing.
+    most = F.when(meaning == 1, F.col("kept").cast("double")).otherwise(F.round(share, 1))
+    region = F.max(F.when(fits, F.struct(meaning.alias("m"), most.alias("s"), depth.alias("d"), "path")))
     # At most twice the tokens of a page: each is on at least half of the host's pages.
     tokens = F.sort_array(F.collect_list(F.struct((F.col("place") / F.col("pages")).alias("at"), "token", "class")))
     return valid.groupBy("host").agg(tokens.alias("t"), region["path"].alias("region")).select("host", F.col("t.token").alias("tokens"), F.col("t.class").alias("classes"), "region")
@@ -318,25 +326,26 @@ def _disordered(pages: DataFrame, templates: DataFrame) -> DataFrame:
 
 
 def _own_region(page: list[Step]) -> str | None:
-    """The region of a page by its own elements: the first of the best meaning and share."""
-    chars, starts, total = Counter(), {}, 0
+    """The region of a page by its own elements: the first of the best meaning and share; of named ones the deepest that holds most text."""
+    chars, kept, starts, total = Counter(), Counter(), {}, 0
     for k, s in enumerate(page):
         if s.kind == "start" and not s.out:
             starts.setdefault(s.path, k)
-        elif s.kind == "text" and not s.out and not s.link:
-            total += len(s.text)
-            path = s.path
+        elif s.kind == "text" and not s.out and not s.text.isspace():
+            size, path = len(s.text), s.path
+            total += 0 if s.link else size
             while path:
-                chars[path] += len(s.text)
+                kept[path] += size
+                chars[path] += 0 if s.link else size
                 path = path.rpartition("/")[0]
     best = None
     for path in starts:
         label = path.rpartition("/")[2]
         tag, _, names = re.match(r"([a-z0-9]+)([.#])?(.*)", label).groups() if re.match(r"[a-z0-9]+", label) else ("", "", "")
-        named = tag in ("article", "main") or bool(set(_WORDS.findall(names)) & _MAIN_WORDS)
+        named = tag in ("article", "main") or tag not in ("html", "body") and bool(set(_WORDS.findall(names)) & _MAIN_WORDS)
         share = chars[path] / max(1, total)
         if share >= (NAMED_SHARE if named else SHARE):
-            rank = (named, round(share, 1), path.count("/"))
+            rank = (named, kept[path] if named else round(share, 1), path.count("/"))
             best = max(best, (rank, path)) if best else (rank, path)
     return best[1] if best else None
 

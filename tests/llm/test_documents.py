@@ -53,6 +53,23 @@ def test_template_without_telling_names(spark):
     assert html_extract.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_nothing_of_the_article_is_left_out(spark):
+    words = "<p>Story {0} tells of {0} boats with many more words to read on</p>" * 60
+    page = "<html><body class='single-post'><p>Above</p><article><h1><a href='/'>Title {0}</a></h1><p>Lead {0}</p><div class='entry-content'>" + words + "</div><p>Last {0}</p></article><p>Below</p></body></html>"
+    want = "Title {0}\nLead {0}\n" + "\n".join(["Story {0} tells of {0} boats with many more words to read on"] * 60) + "\nLast {0}"
+    assert html_extract.extract(page.format(7)) == want.format(7)
+    rows = [(k, "http://a.example/", page.format(k)) for k in range(8)] + [(50, "http://b.example/", page.format(50))]
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: want.format(k) for k in got} and len(got) == 9
+
+
+def test_attributes_count_by_their_whole_names():
+    for attribute in ('style="overflow:hidden"', 'href="/hidden-valley"', "data-hidden", "data-role='navigation'", 'title="class=\'menu\'"', "data-id=sidebar"):
+        assert html_extract.extract(f"<article><div {attribute}><p>Kept</p></div></article>") == "Kept", attribute
+    for attribute in ("hidden", 'HIDDEN=""', "aria-hidden='true'", "x=1 class='menu'", "role=navigation", 'alt="a b"hidden'):
+        assert html_extract.extract(f"<article><p>Kept</p><div {attribute}><p>Out</p></div></article>") == "Kept", attribute
+
+
 def test_copies_are_no_template(spark):
     page = "<html><body><nav>menu</nav><article><p>The same article on most pages of the host, word for word</p></article></body></html>"
     other = page.replace("The same", "Another")
