@@ -9,17 +9,18 @@ need, and because a lost executor takes none of it along.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+WAREHOUSE = "spark.sql.warehouse.dir"
+_PATH = "_entigraph_path"
 
 
 def root(spark: SparkSession) -> str:
-    """The shared folder; a local one of our own only where the session names none (tests)."""
-    folder = spark.conf.get(SETTING, None) or os.path.join(tempfile.gettempdir(), "entigraph-checkpoints")
+    """A folder of our own in the shared one; in the warehouse, which is shared too, where the session names none."""
+    folder = spark.conf.get(SETTING, None) or spark.conf.get(WAREHOUSE)
     return folder.rstrip("/") + "/entigraph"
 
 
@@ -32,7 +33,18 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    setattr(table, _PATH, path)
+    return table
+
+
+def removed(*tables: DataFrame) -> None:
+    """Delete tables of ``saved`` that nothing reads any more; other DataFrames are left alone."""
+    for table in tables:
+        if path := getattr(table, _PATH, None):
+            spark = table.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def worker_path(spark: SparkSession) -> None:
