@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 
 from entigraph.plans.workspace import worker_path
 
-#: Texts are some kilobytes on average and a hundred at times: this many make an Arrow batch of about a megabyte.
-ROWS_PER_BATCH = 256
+#: Rows and bytes that an operator's kernel gets at once; a single larger row is a batch of its own.
+ROWS_PER_BATCH, BYTES_PER_BATCH = 256, 16 << 20
 #: Code points that a vectorised kernel takes at once; a single longer text is a chunk of its own.
 CHUNK_CHARS = 1 << 20
 #: Rows of a look-up table that are broadcast; a longer one is joined by shuffle with salted keys.
@@ -25,11 +26,31 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with batches small enough for whole texts."""
-    spark = df.sparkSession
-    worker_path(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
-    return df.mapInArrow(work, schema)
+    """``mapInArrow`` in batches small enough for whole texts, however Spark's own batches are set."""
+    worker_path(df.sparkSession)
+    rows, size = ROWS_PER_BATCH, BYTES_PER_BATCH
+    return df.mapInArrow(lambda batches: work(small_batches(batches, rows, size)), schema)
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows`` rows and ``size`` bytes, or one row."""
+    for batch in batches:
+        if not batch.num_rows:
+            yield batch
+        waiting = [batch.slice(a, rows) for a in range(0, batch.num_rows, rows)][::-1]
+        while waiting:
+            part = waiting.pop()
+            if part.num_rows > 1 and part.nbytes > size:
+                half = part.num_rows // 2
+                waiting += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
+
+
+def free_name(columns: Sequence[str], wanted: str) -> str:
+    """A column name that isn't among ``columns``."""
+    taken = {c.lower() for c in columns}
+    return next(name for k in itertools.count() if (name := f"_{wanted}{k or ''}").lower() not in taken)
 
 
 def text_chunks(texts: Sequence[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from entigraph.plans.workspace import saved
+from entigraph.plans.workspace import removed, saved
 
 
 def merged_labels(labels: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -62,8 +62,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     Self-loops and nulls are ignored; an empty table gives an empty result.
     """
     u, v = F.col(a), F.col(b)
-    found = saved(edges.where(u.isNotNull() & v.isNotNull() & (u != v)).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "edges")
-    state = _state(found)
+    found, state = _written(edges.where(u.isNotNull() & v.isNotNull() & (u != v)).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct())
     for _ in range(rounds):
         if not state[0]:
             break
@@ -73,8 +72,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        found = saved(small.distinct(), "edges")
-        before, state = state, _state(found)
+        used, before = found, state
+        found, state = _written(small.distinct())
+        removed(used)
         if state == before:
             break
     else:
@@ -83,6 +83,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     return found.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
-    return row[0], row[1]
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """The written edges, their number and a digest of them, observed while they are written."""
+    seen = Observation()
+    table = saved(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x")), "edges")
+    return table, (seen.get["n"], seen.get["x"])

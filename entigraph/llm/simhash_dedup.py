@@ -18,9 +18,10 @@ Two modes:
 * ``similar_groups``: Jaccard similarity of shingle sets.  A pair at the limit
   differs in a known share of bits, too many for a guaranteed radius; the same
   programme then chooses thresholds so that such a pair is missed with at most
-  ``miss`` probability, over several words, and each forest link is verified
-  on the exact shingle sets.  Groups that a failed link parts are probed once
-  more for the pairs between them that the forest left out.
+  ``miss`` probability, over several words.  What is probed are rows of a key,
+  a number and two fingerprint words; their links make families, and within a
+  family every pair that may still join two groups is decided on the shingle
+  sets, which travel once (in pairs of blocks if a family is long).
 
 Defined results: a null text is an empty one; texts without words have the
 fingerprint 0 and are copies of each other; fewer words than a shingle make one
@@ -37,22 +38,24 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from entigraph.llm.common import BROADCAST_ROWS, looked_up, map_batches
+from entigraph.llm.common import BROADCAST_ROWS, free_name, looked_up, map_batches
 from entigraph.llm.components import connected_components, minimum_forest
-from entigraph.plans.workspace import saved
+from entigraph.plans.workspace import removed, saved
 
 SEED = 42
 #: Rows of a run that one task holds (8 bytes a word each); a longer run is dealt anew: by all pairs of left-out bits (one word), or in pairs of blocks.
 MAX_RUN = 2_000_000
 #: Blocks that would hold MAX_RUN rows, when a longer run is dealt in pairs of blocks.
 _RUN_BLOCKS = 8
-#: Least fingerprint words that pairs left out by thinning are compared by, and rows of a block when they are many.
-WIDE = 16
+#: Fingerprint words by which rows that meet under a probe are compared, when similar sets are looked for.
+CHECK_WORDS = 2
+#: Texts of a family that are compared in one task, with their shingle sets; a longer family is dealt in pairs of blocks.
 BLOCK_ROWS = 4_000
-_TILE = 1024
+#: Rounds in which a long family is drawn together by a few links of each group before its blocks meet.
+HOOK_ROUNDS = 2
 _SMALL = 256
 _BLOCK = 1 << 16
 #: Relative costs of a shuffled probe row and of a compared pair.
@@ -214,10 +217,10 @@ def differing_share(similarity: float) -> float:
     return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
 
 
-def _most_bits(words: int, similarity: float) -> int:
-    """Differing bits of a pair at the similarity, and four and a half standard deviations more."""
+def _most_bits(words: int, similarity: float) -> tuple[int, int]:
+    """Differing bits that a pair at the similarity has on average, and those four and a half standard deviations beyond."""
     share = differing_share(similarity)
-    return round(64 * words * share + 4.5 * math.sqrt(64 * words * share * (1 - share)))
+    return round(64 * words * share), round(64 * words * share + 4.5 * math.sqrt(64 * words * share * (1 - share)))
 
 
 def words_for(n: int, similarity: float, miss: float) -> tuple[int, int]:
@@ -269,66 +272,69 @@ def _signatures(column: pa.Array, words: int) -> np.ndarray:
     return np.asarray(column.flatten()).view(np.uint64).reshape(-1, words)
 
 
-def _forest(sigs: np.ndarray, most: int, first: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Minimum spanning forest of the links within ``most`` bits among the rows of one run, tile by tile.
+def _stars(sigs: np.ndarray, most: int, tight: int = -1, first: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spanning forest of the links within ``most`` bits among the rows of one run, and their distances.
 
-    With ``first`` only the links between the first so many rows and the others count.
+    A row is compared with the later rows of other trees only and linked to one
+    of each tree that it reaches, so copies of one text cost one comparison
+    each.  Links within ``tight`` bits are taken before others.  With ``first``
+    only the links between the first so many rows and the others count.
     """
     n = len(sigs)
-    end = n if first is None else first
-    u = v = w = np.zeros(0, np.int64)
-    for a in range(0, end, _TILE):
-        for b in range(a if first is None else first, n, _TILE):
-            distance = np.zeros((min(_TILE, end - a), min(_TILE, n - b)), np.uint16)
-            for k in range(sigs.shape[1]):
-                distance += np.bitwise_count(sigs[a : min(a + _TILE, end), k, None] ^ sigs[None, b : b + _TILE, k])
-            near = distance <= most
-            if a == b:
-                near &= np.tri(len(near), k=-1, dtype=bool).T
-            x, y = np.nonzero(near)
-            if len(x):
-                u, v, w = np.concatenate([u, x + a]), np.concatenate([v, y + b]), np.concatenate([w, distance[x, y].astype(np.int64)])
-                keep = minimum_forest(n, u, v, w)
-                u, v, w = u[keep], v[keep], w[keep]
+    tree, left, found = np.arange(n), n, [np.zeros((3, 0), np.int64)]
+    for limit in (tight, most) if 0 <= tight < most else (most,):
+        for i in range(n if first is None else first):
+            if left == 1:
+                break
+            start = i + 1 if first is None else first
+            j = start + np.flatnonzero(tree[start:] != tree[i])
+            distance = np.bitwise_count(sigs[j] ^ sigs[i]).sum(1, dtype=np.int64)
+            near = distance <= limit
+            if not near.any():
+                continue
+            j, distance = j[near], distance[near]
+            trees, one = np.unique(tree[j], return_index=True)
+            found.append(np.stack([np.full(len(one), i), j[one], distance[one]]))
+            tree[np.isin(tree, trees)] = tree[i]
+            left -= len(one)
+    u, v, w = np.concatenate(found, axis=1)
     return u, v, w
 
 
-def _links(run: np.ndarray, sigs: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Forest links of many complete runs; ``run`` numbers them in order."""
+def _links(run: np.ndarray, sigs: np.ndarray, most: int, tight: int = -1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forest links of many complete runs, and their distances; ``run`` numbers them in order."""
     begins = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
     sizes = np.diff(np.append(begins, len(run)))
     place = np.arange(len(run)) - np.repeat(begins, sizes)
     size = np.repeat(sizes, sizes)
-    us, vs, ws = [], [], []
+    found = [np.zeros((3, 0), np.int64)]
     for d in range(1, min(_SMALL, int(sizes.max(initial=1)))):
         left = np.flatnonzero((place + d < size) & (size <= _SMALL))
         if not len(left):
             break
         distance = np.bitwise_count(sigs[left] ^ sigs[left + d]).sum(1, dtype=np.int64)
         near = distance <= most
-        us.append(left[near])
-        vs.append(left[near] + d)
-        ws.append(distance[near])
-    u, v, w = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs, ws))
-    keep = minimum_forest(len(run), u, v, w)
-    us, vs = [u[keep]], [v[keep]]
+        found.append(np.stack([left[near], left[near] + d, distance[near]]))
+    short = np.concatenate(found, axis=1)
+    out = [short[:, minimum_forest(len(run), *short)]]
     for k in np.flatnonzero(sizes > _SMALL):
         a = begins[k]
-        x, y, _ = _forest(sigs[a : a + sizes[k]], most)
-        us.append(x + a)
-        vs.append(y + a)
-    return np.concatenate(us), np.concatenate(vs)
+        u, v, w = _stars(sigs[a : a + sizes[k]], most, tight)
+        out.append(np.stack([u + a, v + a, w]))
+    u, v, w = np.concatenate(out, axis=1)
+    return u, v, w
 
 
-def probed_links(nodes: DataFrame, probes: list[Probe], words: int, most: int, max_run: int = MAX_RUN) -> DataFrame:
-    """Links (a, b) between ``id`` of nodes within ``most`` bits that agree under a probe's mask.
+def probed_links(nodes: DataFrame, probes: list[Probe], words: int, most: int, max_run: int = MAX_RUN, tight: int = -1) -> DataFrame:
+    """Links (a, b) between ``id`` of nodes that agree under a probe's mask and are within ``most`` bits, and their ``distance``.
 
-    Columns of nodes: id, sig (array of ``words`` longs).  A run of more than
+    Columns of nodes: id, sig (array of longs); the masks may name any word, the
+    first ``words`` are compared and no others travel.  A run of more than
     ``max_run`` rows isn't held: its rows come back as members of an overflow
     and are dealt anew, so that none of its links is lost.
     """
     parts = [F.struct(F.lit(k).alias("probe"), _key(p).alias("key")) for k, p in enumerate(probes)]
-    rows = nodes.select("id", "sig", F.explode(F.array(*parts)).alias("p")).select("p.probe", "p.key", "id", "sig")
+    rows = nodes.select("id", F.slice("sig", 1, words).alias("sig"), F.explode(F.array(*parts)).alias("p")).select("p.probe", "p.key", "id", "sig")
     dealt = rows.repartition("probe", "key").sortWithinPartitions("probe", "key")
     kind = dict(nodes.dtypes)["id"]
 
@@ -336,21 +342,21 @@ def probed_links(nodes: DataFrame, probes: list[Probe], words: int, most: int, m
         held: list[pa.RecordBatch] = []
         over: tuple | None = None  # the run that is being passed on
         n, limit = 0, _BLOCK
-        names = ["a", "b", "probe", "key", "sig"]
+        names = ["a", "b", "distance", "probe", "key", "sig"]
 
         def links(table: pa.Table) -> pa.RecordBatch | None:
             if not len(table):
                 return None
             probe, key = (np.asarray(table.column(c).combine_chunks()) for c in ("probe", "key"))
             run = np.cumsum(np.concatenate([[False], (probe[1:] != probe[:-1]) | (key[1:] != key[:-1])]))
-            u, v = _links(run, _signatures(table.column("sig").combine_chunks(), words), most)
+            u, v, w = _links(run, _signatures(table.column("sig").combine_chunks(), words), most, tight)
             ids = table.column("id").combine_chunks()
             nothing = pa.nulls(len(u), pa.int64()), pa.nulls(len(u), pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([ids.take(pa.array(u)), ids.take(pa.array(v)), pa.array(np.full(len(u), -1), pa.int32()), *nothing], names)
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(u)), ids.take(pa.array(v)), pa.array(w, pa.int32()), pa.array(np.full(len(u), -1), pa.int32()), *nothing], names)
 
         def passed_on(part: pa.RecordBatch) -> pa.RecordBatch:
             probe, key, ids, sig = part.columns
-            return pa.RecordBatch.from_arrays([ids, ids, probe, key, sig], names)
+            return pa.RecordBatch.from_arrays([ids, ids, pa.nulls(len(ids), pa.int32()), probe, key, sig], names)
 
         for batch in batches:
             while batch is not None and batch.num_rows:
@@ -384,117 +390,11 @@ def probed_links(nodes: DataFrame, probes: list[Probe], words: int, most: int, m
         if held and (done := links(pa.Table.from_batches(held))) is not None:
             yield done
 
-    found = saved(map_batches(dealt, work, f"a {kind}, b {kind}, probe int, key bigint, sig array<bigint>"), "links")
+    found = saved(map_batches(dealt, work, f"a {kind}, b {kind}, distance int, probe int, key bigint, sig array<bigint>"), "links")
     over = found.where("probe >= 0")
     if over.isEmpty():
-        return found.select("a", "b")
-    return found.where("probe < 0").select("a", "b").unionByName(_overflow_links(over, words, most, max_run))
-
-
-def _cross_pairs(run: np.ndarray, sigs: np.ndarray, size: np.ndarray, group: np.ndarray, block: np.ndarray, most: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of rows of complete runs within ``most`` bits, of different groups and blocks, whose set sizes allow the similarity."""
-
-    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        low, high = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
-        keep = (group[x] != group[y]) & (low + 2 >= similarity * high) & ((block[x] < 0) | (block[x] != block[y]))
-        x, y = x[keep], y[keep]
-        keep = np.bitwise_count(sigs[x] ^ sigs[y]).sum(1, dtype=np.int64) <= most
-        return np.stack([x[keep], y[keep]])
-
-    begins = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
-    sizes = np.diff(np.append(begins, len(run)))
-    left = np.repeat(begins + sizes, sizes) - np.arange(len(run))  # rows up to the end of the run, its own included
-    found = [np.zeros((2, 0), np.int64)]
-    for d in range(1, min(_SMALL, int(sizes.max(initial=1)))):
-        x = np.flatnonzero((left > d) & (np.repeat(sizes, sizes) <= _SMALL))
-        if not len(x):
-            break
-        found.append(near(x, x + d))
-    for k in np.flatnonzero(sizes > _SMALL):
-        for a in range(begins[k], begins[k] + sizes[k]):  # a row against all later ones
-            y = np.arange(a + 1, begins[k] + sizes[k])
-            found.append(near(np.full(len(y), a), y))
-    x, y = np.concatenate(found, axis=1)
-    return x, y
-
-
-def pairs_left_out(nodes: DataFrame, probes: list[Probe], words: int, most: int, similarity: float, block: int = BLOCK_ROWS) -> DataFrame:
-    """Links (a, b) between nodes of different groups that meet under a probe, are within ``most`` bits and similar by their sets.
-
-    Columns of nodes: id, sig, shingles, size (of the set), group (long).  Pairs
-    are verified where they meet, under the first probe that joins them, and
-    only a forest of the links of each run leaves it.  A run
-    of more than ``block`` rows is cut into blocks by the hash of the id, and
-    every two blocks meet in a cell of their own, so that no task holds or
-    compares more than two blocks at once.
-    """
-    parts = [F.struct(F.lit(k).alias("probe"), _key(p).alias("key")) for k, p in enumerate(probes)]
-    columns = ["id", "sig", "size", "group", "shingles"]
-    rows = nodes.select(*columns, F.explode(F.array(*parts)).alias("p")).select("p.probe", "p.key", *columns)
-    runs = rows.groupBy("probe", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    runs = saved(runs.select("probe", "key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "runs")
-    rows = rows.join(F.broadcast(runs) if runs.count() <= BROADCAST_ROWS else runs, ["probe", "key"])
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cell = F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")
-    # Rows of a cell on the diagonal are compared with each other, elsewhere only with the other block.
-    rows = rows.select("probe", "key", cell.alias("cell"), *columns, F.when(F.col("blocks") == 1, -1).otherwise(F.col("own")).alias("own"))
-    dealt = rows.repartition("probe", "key", "cell").sortWithinPartitions("probe", "key", "cell")
-    kind = dict(nodes.dtypes)["id"]
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        n, limit = 0, 2 * block
-
-        def pairs(table: pa.Table, run: np.ndarray) -> pa.RecordBatch:
-            size, group, block = (np.asarray(table.column(c).combine_chunks()) for c in ("size", "group", "own"))
-            ends = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
-            whole = np.repeat(np.minimum.reduceat(block, ends) == np.maximum.reduceat(block, ends), np.diff(np.append(ends, len(run))))
-            sigs, probe = _signatures(table.column("sig").combine_chunks(), words), np.asarray(table.column("probe").combine_chunks())
-            x, y = _cross_pairs(run, sigs, size, group, np.where(whole, -1, block), most, similarity)
-            first = np.ones(len(x), bool)
-            for k, masks in enumerate(probes):  # an earlier probe joins them too
-                met = np.ones(len(x), bool)
-                for m in masks:
-                    met &= (sigs[x, m.word] ^ sigs[y, m.word]) & np.uint64(m.bits) == 0
-                first &= ~(met & (probe[x] > k))
-            x, y = x[first], y[first]
-            sets = table.column("shingles").combine_chunks()
-            values, ends = np.asarray(sets.flatten()), np.concatenate([[0], np.cumsum(np.asarray(sets.value_lengths()))])
-            alike = np.zeros(len(x), bool)
-            for k, (a, b) in enumerate(zip(x.tolist(), y.tolist())):
-                both = np.concatenate([values[ends[a] : ends[a + 1]], values[ends[b] : ends[b + 1]]])
-                both.sort()
-                shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                alike[k] = shared >= similarity * (len(both) - shared)
-            x, y = x[alike], y[alike]
-            keep = minimum_forest(len(run), x, y, np.zeros(len(x), np.int64))
-            x, y = x[keep], y[keep]
-            ids = table.column("id").combine_chunks()
-            return pa.RecordBatch.from_arrays([ids.take(pa.array(x)), ids.take(pa.array(y))], ["a", "b"])
-
-        def numbered(table: pa.Table) -> np.ndarray:
-            columns = [np.asarray(table.column(c).combine_chunks()) for c in ("probe", "key", "cell")]
-            return np.cumsum(np.concatenate([[False], np.any([c[1:] != c[:-1] for c in columns], axis=0)]))
-
-        for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            if n < limit:
-                continue
-            table = pa.Table.from_batches(held)
-            run = numbered(table)
-            last = int(np.searchsorted(run, run[-1]))
-            if last:
-                yield pairs(table.slice(0, last), run[:last])
-            held, n = table.slice(last).to_batches(), len(table) - last
-            limit = max(2 * block, 2 * n)
-        if n:
-            table = pa.Table.from_batches(held)
-            yield pairs(table, numbered(table))
-
-    found = map_batches(dealt, work, f"a {kind}, b {kind}")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return found.select("a", "b", "distance")
+    return found.where("probe < 0").select("a", "b", "distance").unionByName(_overflow_links(over, words, most, max_run))
 
 
 def _key(probe: Probe) -> Column:
@@ -515,9 +415,9 @@ def _overflow_links(rows: DataFrame, words: int, most: int, max_run: int) -> Dat
         exact = [(Mask(0, every & ~sum(1 << b for b in out)),) for out in itertools.combinations(range(64), most)]
         dealt = rows.select("a", F.posexplode(F.array(*map(_key, exact))).alias("which", "key"))
         low = dealt.groupBy("which", "key").agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        return dealt.join(low, ["which", "key"]).where("a <> b").select("a", "b").distinct()
+        return dealt.join(low, ["which", "key"]).where("a <> b").select("a", "b").distinct().withColumn("distance", F.lit(most))
     low = rows.groupBy("sig").agg(F.min("a").alias("b"))
-    same = rows.select("a", "sig").distinct().join(low, "sig").where("a <> b").select("a", "b")
+    same = rows.select("a", "sig").distinct().join(low, "sig").where("a <> b").select("a", "b", F.lit(0).alias("distance"))
     return same.unionByName(_block_links(rows, words, most, max(1, max_run // _RUN_BLOCKS)))
 
 
@@ -548,16 +448,16 @@ def _block_links(rows: DataFrame, words: int, most: int, block: int) -> DataFram
         def links(table: pa.Table, run: np.ndarray) -> pa.RecordBatch:
             sigs, own = _signatures(table.column("sig").combine_chunks(), words), np.asarray(table.column("own").combine_chunks())
             diagonal, begins = np.asarray(table.column("same").combine_chunks()), np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
-            us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            found = [np.zeros((3, 0), np.int64)]
             for a, b in zip(begins, np.append(begins[1:], len(run))):
                 first = int(np.searchsorted(own[a:b], own[b - 1]))
                 if first == 0 and not diagonal[a]:
                     continue  # one of the two blocks is empty
-                u, v, _ = _forest(sigs[a:b], most, first or None)
-                us.append(u + a)
-                vs.append(v + a)
+                u, v, w = _stars(sigs[a:b], most, first=first or None)
+                found.append(np.stack([u + a, v + a, w]))
+            u, v, w = np.concatenate(found, axis=1)
             ids = table.column("id").combine_chunks()
-            return pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(x))) for x in (us, vs)], ["a", "b"])
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(u)), ids.take(pa.array(v)), pa.array(w, pa.int32())], ["a", "b", "distance"])
 
         for batch in batches:
             held.append(batch)
@@ -575,7 +475,7 @@ def _block_links(rows: DataFrame, words: int, most: int, block: int) -> DataFram
             table = pa.Table.from_batches(held)
             yield links(table, numbered(table))
 
-    return map_batches(dealt, work, f"a {kind}, b {kind}").distinct()
+    return map_batches(dealt, work, f"a {kind}, b {kind}, distance int").distinct()
 
 
 def _signed(mask: int) -> int:
@@ -627,7 +527,7 @@ def _node_of(words: list[bytes]) -> bytes:
     return xxh3_128_digest(b" ".join(words))
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, miss: float = 0.002, key: str = "doc_id", text: str = "text", max_run: int = MAX_RUN) -> DataFrame:
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, miss: float = 0.002, key: str = "doc_id", text: str = "text", max_run: int = MAX_RUN, block: int = BLOCK_ROWS) -> DataFrame:
     """Written table, one row per document: key, ``node`` (16 bytes: which words it has), ``component_id``, ``kept``.
 
     Documents with the same words are one node; nodes link at a Jaccard
@@ -644,82 +544,238 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, m
                 own = words_of(t)
                 shingles = np.unique(shingle_hashes(own, shingle))
                 node.append(_node_of(own))
-                sig.append(fingerprint(shingles, words).view(np.int64))
+                sig.append(fingerprint(shingles, max(words, CHECK_WORDS)).view(np.int64))
                 size.append(len(shingles))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.binary()), pa.array(sig, pa.list_(pa.int64())), pa.array(size, pa.int64())], [key, "node", "sig", "size"])
 
     kind = dict(docs.dtypes)[key]
     rows = saved(map_batches(rows_in, work, f"`{key}` {kind}, node binary, sig array<bigint>, size long"), "signatures")
-    nodes = saved(rows.groupBy("node").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n"), F.first("sig").alias("sig"), F.first("size").alias("size")), "signature-nodes")
-    ids = nodes.select(F.col("node").alias("id"), "sig")
-    n = nodes.count()
-    probes = recall_plan(joint_bits(ids, words), n, parts, similarity, miss)
-    links = saved(probed_links(ids, probes, words, _most_bits(words, similarity), max_run).distinct(), "candidates")
-    ends = saved(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "link-ends")
-    similar = _verified(links, _shingle_sets(docs, rows, ends, shingle, key, text), similarity)
-    groups = saved(connected_components(similar), "groups")
-    parted = _parted(nodes, links, similar, groups)
-    if not parted.isEmpty():
-        wide = max(WIDE, words)  # the probes name all words of the plan
-        sets = _shingle_sets(docs, rows, parted.select(F.col("id").alias("node")), shingle, key, text, wide)
-        found = parted.join(sets.withColumnRenamed("node", "id"), "id")
-        more = pairs_left_out(found, probes, wide, _most_bits(wide, similarity), similarity)
-        groups = connected_components(similar.unionByName(saved(more, "left-out")))
-    linked = nodes.join(groups, "node", "left").where("n > 1 or component is not null").select("node", "first", F.coalesce("component", "node").alias("_root"))
-    linked = saved(linked, "linked-nodes")
+    nodes = rows.groupBy("node").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n"), F.first("sig").alias("sig"), F.first("size").alias("size"))
+    nodes = saved(nodes.withColumn("id", F.monotonically_increasing_id()), "signature-nodes")  # numbers are written once and then read
+    n, width = nodes.count(), max(words, CHECK_WORDS)
+    probes = recall_plan(joint_bits(nodes, width)[:words], n, parts, similarity, miss)
+    tight, most = _most_bits(CHECK_WORDS, similarity)
+    found = probed_links(nodes, probes, CHECK_WORDS, most, max_run, tight)
+    links = saved(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance").groupBy("a", "b").agg(F.min("distance").alias("distance")), "candidates")
+    removed(found)
+    groups = saved(_similar_components(docs, rows, nodes, links, shingle, similarity, key, text, block), "groups")
+    linked = nodes.join(groups.withColumnRenamed("node", "id"), "id", "left").where("n > 1 or component is not null")
+    linked = saved(linked.select("node", "first", F.coalesce("component", "id").alias("_root")), "linked-nodes")
     best = linked.groupBy("_root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("best"))
     table = saved(linked.join(best, "_root").select("node", F.col("best.first").alias("_least"), F.col("best.node").alias("_best")), "linked-names")
     done = looked_up(rows.drop("sig", "size"), table, "node", F.col(key))
     kept = F.col("_best").isNull() | ((F.col("node") == F.col("_best")) & F.col(key).eqNullSafe(F.col("_least")))
     component = F.when(F.col("_best").isNull(), F.col(key)).otherwise(F.col("_least"))
-    return done.select(key, "node", component.alias("component_id"), kept.alias("kept"))
+    out = saved(done.select(key, "node", component.alias("component_id"), kept.alias("kept")), "decided")
+    removed(rows, nodes, links, groups, linked, table)
+    return out
 
 
-def _parted(nodes: DataFrame, links: DataFrame, similar: DataFrame, groups: DataFrame) -> DataFrame:
-    """Nodes, with ``group``, of all groups that a link which isn't similar enough would have joined.
+def _similar_components(docs: DataFrame, rows: DataFrame, nodes: DataFrame, links: DataFrame, shingle: int, similarity: float, key: str, text: str, block: int) -> DataFrame:
+    """``node`` (an id) and ``component`` over links that hold on the shingle sets.
 
-    A run's links are thinned to a forest before they are verified.  A pair
-    that was left out for a path of links is in one group if all of them are
-    similar; else the path leaves the groups of both ends by a link that isn't,
-    so both are groups of this kind.
+    Candidate links make families.  A family of up to ``block`` nodes is
+    compared whole.  A longer one is first drawn together: each of its groups
+    tries a link to the smallest group that it reaches and the nearest one, for
+    HOOK_ROUNDS rounds; what then still has candidate links to another group
+    is compared in pairs of blocks, groups that are already one left out.
     """
-    failed = links.join(similar, ["a", "b"], "left_anti")
-    for end in ("a", "b"):
-        of = groups.select(F.col("node").alias(end), F.col("component").alias(f"_{end}"))
-        failed = failed.join(of, end, "left").withColumn(f"_{end}", F.coalesce(f"_{end}", end))
-    failed = failed.where("_a <> _b")
-    wanted = failed.select(F.explode(F.array("_a", "_b")).alias("_group")).distinct()
-    mine = nodes.join(groups, "node", "left").select(F.col("node").alias("id"), "size", F.coalesce("component", "node").alias("_group"))
-    return saved(mine.join(wanted, "_group", "left_semi").select("id", "size", F.xxhash64("_group").alias("group")), "parted")
-
-
-def _shingle_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, shingle: int, key: str, text: str, words: int = 0) -> DataFrame:
-    """Written table: node, its shingles (32-bit hashes) and a fingerprint ``sig`` of ``words`` words; texts are read again only for wanted nodes."""
-    small = wanted.count() <= BROADCAST_ROWS
-    keys = rows.join(F.broadcast(wanted) if small else wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct(key)).alias("k")).select(F.col(f"k.{key}").alias("_key")).distinct()
-    keys = F.broadcast(keys) if small else keys
+    families = saved(connected_components(links), "families")
+    sets = _shingle_sets(docs, rows, nodes.join(families.select(F.col("node").alias("id")), "id"), shingle, key, text)
+    long = saved(families.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("component"), "long-families")
+    members = families.join(_few(long), "component", "left_anti").select(F.col("node").alias("id"), F.col("node").alias("group"), F.col("component").alias("family"))
+    similar = []
+    if not long.isEmpty():
+        of = families.join(_few(long), "component", "left_semi").select(F.col("node").alias("a"))
+        inner = saved(links.join(of, "a", "left_semi"), "long-links")
+        tried = inner.select("a", "b").limit(0)
+        groups = families.limit(0).select("node", "component")
+        for _ in range(HOOK_ROUNDS):
+            left = _between(inner.join(tried, ["a", "b"], "left_anti"), groups)
+            chosen = saved(_hooks(left), "hooks")
+            similar.append(_verified(chosen, sets, similarity))
+            tried = tried.unionByName(chosen)
+            groups = saved(connected_components(_union(similar)), "hooked")
+        apart = saved(_between(inner, groups), "apart")
+        families = connected_components(apart.select(F.col("ga").alias("a"), F.col("gb").alias("b"))).select(F.col("node").alias("group"), F.col("component").alias("family"))
+        mine = of.select(F.col("a").alias("id")).join(groups.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("group"))
+        members = members.unionByName(mine.join(families, "group").select("id", "group", "family"))
+    similar.append(saved(_family_links(members, nodes, sets, similarity, block), "similar"))
+    return connected_components(_union(similar))
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def _few(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it is short."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def _between(links: DataFrame, groups: DataFrame) -> DataFrame:
+    """Links between different groups, with the groups ``ga`` and ``gb`` of their ends; a node without a group is its own."""
+    for end, name in (("a", "ga"), ("b", "gb")):
+        of = groups.select(F.col("node").alias(end), F.col("component").alias(name))
+        links = links.join(of, end, "left").withColumn(name, F.coalesce(name, end))
+    return links.where("ga <> gb")
+
+
+def _hooks(links: DataFrame) -> DataFrame:
+    """For each group its link to the smallest group that it reaches, and the one of the least distance."""
+    ends = links.select("a", "b", "distance", F.explode(F.array(F.struct(F.col("ga").alias("g"), F.col("gb").alias("to")), F.struct(F.col("gb").alias("g"), F.col("ga").alias("to")))).alias("e"))
+    chosen = ends.groupBy("e.g").agg(F.min(F.struct("e.to", "distance", "a", "b")).alias("low"), F.min(F.struct("distance", "e.to", "a", "b")).alias("near"))
+    pairs = F.array(*(F.struct(F.col(f"{c}.a").alias("a"), F.col(f"{c}.b").alias("b")) for c in ("low", "near")))
+    return chosen.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
+
+
+def _shingle_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, shingle: int, key: str, text: str) -> DataFrame:
+    """Written table of wanted nodes: id and shingles, as 32-bit hashes.
+
+    Two different shingles of a pair of texts have one hash with a probability
+    of 2**-32 each, which would shift the similarity by one shingle.
+    """
+    named = saved(wanted.select("node", "id", F.col("first").alias("_key")), "wanted")
+    keys = _few(named.select("_key").distinct())
     texts = docs.select(key, text).join(keys, docs[key].eqNullSafe(F.col("_key")), "left_semi")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, sets, sig = [], [], []
+            node, sets = [], []
             for t in batch.column(1).to_pylist():
                 own = words_of(t)
-                hashes = np.unique(shingle_hashes(own, shingle))
                 node.append(_node_of(own))
-                sets.append(np.unique((hashes >> np.uint64(32)).astype(np.uint32)).view(np.int32))
-                sig.append(fingerprint(hashes, words).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(sets, pa.list_(pa.int32())), pa.array(sig, pa.list_(pa.int64()))], ["node", "shingles", "sig"])
+                sets.append(np.unique((shingle_hashes(own, shingle) >> np.uint64(32)).astype(np.uint32)).view(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(sets, pa.list_(pa.int32()))], ["node", "shingles"])
 
-    sets = map_batches(texts, work, "node binary, shingles array<int>, sig array<bigint>")
-    return saved(sets.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("sig").alias("sig")), "shingle-sets")
+    sets = map_batches(texts, work, "node binary, shingles array<int>").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    return saved(sets.join(named.select("node", "id"), "node").select("id", "shingles"), "shingle-sets")
 
 
 def _verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Written table: the links whose exact shingle sets are similar enough."""
-    pairs = links.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    """Written table: those of some written links whose shingle sets are similar enough."""
+    few = _few(links)
+    x = sets.join(few, sets["id"] == links["a"]).select("a", "b", F.col("shingles").alias("x"))
+    y = sets.join(few, sets["id"] == links["b"]).select("a", "b", F.col("shingles").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
-    return saved(pairs.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"), "similar")
+    return saved(x.join(y, ["a", "b"]).where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"), "verified")
+
+
+def _family_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Links (a, b) that join the groups of each family as all its similar pairs would; columns of members: id, group, family.
+
+    Rows of a family of more than ``block`` nodes are dealt to blocks, a group
+    that fills one to blocks of its own, and every two blocks that aren't of one
+    group meet in a cell: no task holds or compares more than two blocks.
+    """
+    members = saved(members, "members")
+    size = members.groupBy("family").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    long = saved(size.where(F.col("n") > block).select("family"), "long-families")
+    short = members.join(size.where(F.col("n") <= block).select("family"), "family").withColumns({"cell": F.lit(0).cast("long"), "own": F.lit(-1)})
+    dealt = short if long.isEmpty() else short.unionByName(_in_cells(members.join(_few(long), "family", "left_semi"), block))
+    full = dealt.join(nodes.select("id", F.slice("sig", 1, CHECK_WORDS).alias("sig")), "id").join(sets, "id")
+    dealt = full.repartition("family", "cell").sortWithinPartitions("family", "cell", "own")
+    _, most = _most_bits(CHECK_WORDS, similarity)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n, limit = 0, block
+
+        def numbered(table: pa.Table) -> np.ndarray:
+            family, cell = (np.asarray(table.column(c).combine_chunks()) for c in ("family", "cell"))
+            return np.cumsum(np.concatenate([[False], (family[1:] != family[:-1]) | (cell[1:] != cell[:-1])]))
+
+        def links(table: pa.Table, run: np.ndarray) -> pa.RecordBatch:
+            group, own = (np.asarray(table.column(c).combine_chunks()) for c in ("group", "own"))
+            sigs, shingles = _signatures(table.column("sig").combine_chunks(), CHECK_WORDS), table.column("shingles").combine_chunks()
+            values, ends = np.asarray(shingles.flatten()), np.concatenate([[0], np.cumsum(np.asarray(shingles.value_lengths()))])
+            begins = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+            found = [np.zeros((2, 0), np.int64)]
+            for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(run)]):
+                first = int(np.searchsorted(own[a:b], own[b - 1])) or None  # two blocks: only their cross pairs count
+                found.append(a + _similar_trees(values[ends[a] : ends[b]], ends[a : b + 1] - ends[a], sigs[a:b], group[a:b], similarity, most, first))
+            u, v = np.concatenate(found, axis=1)
+            ids = table.column("id").combine_chunks()
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(u)), ids.take(pa.array(v))], ["a", "b"])
+
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n < limit:
+                continue
+            table = pa.Table.from_batches(held)
+            run = numbered(table)
+            last = int(np.searchsorted(run, run[-1]))
+            if last:
+                yield links(table.slice(0, last), run[:last])
+            held, n = table.slice(last).to_batches(), len(table) - last
+            limit = max(block, 2 * n)
+        if n:
+            table = pa.Table.from_batches(held)
+            yield links(table, numbered(table))
+
+    return map_batches(dealt.select("family", "cell", "own", "id", "group", "sig", "shingles"), work, "a long, b long")
+
+
+def _in_cells(members: DataFrame, block: int) -> DataFrame:
+    """Rows of long families once for each cell that they are in, with their block ``own``.
+
+    The first blocks of a family hold small groups; each group of at least
+    ``block`` rows has its own blocks behind them, which don't meet each other.
+    """
+    sizes = saved(members.groupBy("family", "group").agg(F.count(F.lit(1)).alias("n")), "group-sizes")
+    small = sizes.where(F.col("n") < block).groupBy("family").agg(F.ceil(F.sum("n") / block).cast("long").alias("shared"))
+    families = sizes.select("family").distinct().join(small, "family", "left").select("family", F.coalesce("shared", F.lit(0)).alias("shared"))
+    large = sizes.where(F.col("n") >= block).select("family", "group", F.ceil(F.col("n") / block).cast("long").alias("wide"))
+    before = Window.partitionBy("family").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)  # a row for each ``block`` nodes, at most
+    large = large.withColumn("at", F.coalesce(F.sum("wide").over(before), F.lit(0)))
+    total = families.join(large.groupBy("family").agg(F.sum("wide").alias("wide")), "family", "left").select("family", "shared", (F.col("shared") + F.coalesce("wide", F.lit(0))).alias("blocks"))
+    rows = members.join(_few(saved(large, "large-groups")), ["family", "group"], "left").join(_few(saved(total, "blocks")), "family")
+    spread, big = F.xxhash64("id"), F.col("at").isNotNull()
+    low, high = F.col("shared") + F.col("at"), F.col("shared") + F.col("at") + F.col("wide")
+    own = F.when(big, low + F.pmod(spread, F.col("wide"))).otherwise(F.pmod(spread, F.greatest("shared", F.lit(1))))
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    others = F.when(big, F.filter(every, lambda x: (x < low) | (x >= high))).otherwise(every)
+    rows = rows.select("id", "group", "family", own.cast("int").alias("own"), "blocks", F.explode(others).alias("other"))
+    cell = F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")
+    return rows.select("family", "id", "group", cell.alias("cell"), "own")
+
+
+def _similar_trees(values: np.ndarray, ends: np.ndarray, sigs: np.ndarray, group: np.ndarray, similarity: float, most: int, first: int | None) -> np.ndarray:
+    """Places (u, v) of links that join groups as all similar pairs of sets would; ``ends`` bound the sets in ``values``.
+
+    A row is compared with the later rows that aren't in one tree with it; with
+    ``first`` only the pairs between the first so many rows and the others count.
+    """
+    names, codes = np.unique(values, return_inverse=True)
+    _, tree = np.unique(group, return_inverse=True)
+    size, n = np.diff(ends), len(sigs)
+    left, mark, found = int(tree.max(initial=-1)) + 1, np.zeros(len(names), bool), [np.zeros((2, 0), np.int64)]
+    for i in range(n if first is None else first):
+        if left == 1:
+            break
+        start = i + 1 if first is None else first
+        j = start + np.flatnonzero(tree[start:] != tree[i])
+        j = j[np.minimum(size[j], size[i]) >= similarity * np.maximum(size[j], size[i])]
+        j = j[np.bitwise_count(sigs[j] ^ sigs[i]).sum(1, dtype=np.int64) <= most]
+        if not len(j):
+            continue
+        mine = codes[ends[i] : ends[i + 1]]
+        mark[mine] = True
+        at = np.repeat(ends[j] - np.concatenate([[0], np.cumsum(size[j])[:-1]]), size[j]) + np.arange(size[j].sum())
+        sums = np.concatenate([[0], np.cumsum(mark[codes[at]])])
+        mark[mine] = False
+        shared = np.diff(sums[np.concatenate([[0], np.cumsum(size[j])])])
+        j = j[shared >= similarity * (size[j] + size[i] - shared)]
+        if len(j):
+            trees, one = np.unique(tree[j], return_index=True)
+            found.append(np.stack([np.full(len(one), i), j[one]]))
+            tree[np.isin(tree, trees)] = tree[i]
+            left -= len(one)
+    return np.concatenate(found, axis=1)
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -727,24 +783,24 @@ def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, key
     decided = similar_groups(docs, shingle, similarity, key=key, text=text)
     out = saved(decided.where(~F.col("kept")).select(F.col(key).alias("_key"), F.col("node").alias("_node")).distinct(), "dropped")
     twice = saved(decided.where("kept").groupBy(F.col(key).alias("_key"), F.col("node").alias("_node")).count().where("count > 1").drop("count"), "repeated")
-    columns, at = docs.columns, docs.columns.index(text)
+    removed(decided)
+    columns, at, own = docs.columns, docs.columns.index(text), free_name(docs.columns, "node")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node = pa.array([_node_of(words_of(t)) for t in batch.column(at).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, node], [*batch.schema.names, "_own_node"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, node], [*batch.schema.names, own])
 
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), "_own_node binary"])
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), f"`{own}` binary"])
     named = map_batches(docs, work, schema)
 
     def same(table: DataFrame) -> Column:
-        return named[key].eqNullSafe(table["_key"]) & (named["_own_node"] == table["_node"])
+        return named[key].eqNullSafe(table["_key"]) & (named[own] == table["_node"])
 
-    out = F.broadcast(out) if out.count() <= BROADCAST_ROWS else out
+    out = _few(out)
     left = named.join(out, same(out), "left_anti")
     if not twice.isEmpty():
-        twice = F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice
-        pairs = (named[key].eqNullSafe(twice["_key"])) & (named["_own_node"] == twice["_node"])
-        single = left.join(twice, pairs, "left_anti")
-        left = single.unionByName(left.join(twice, pairs, "left_semi").dropDuplicates([key, "_own_node"]))
+        twice = _few(twice)
+        single = left.join(twice, same(twice), "left_anti")
+        left = single.unionByName(left.join(twice, same(twice), "left_semi").dropDuplicates([key, own]))
     return left.select(*columns)

@@ -111,10 +111,9 @@ def test_similar_groups(spark, small):
     assert left.columns == table.columns and sorted(r.doc_id for r in left.collect()) == sorted(set(want))
 
 
-@pytest.mark.parametrize("block", [simhash_dedup.BLOCK_ROWS, 40])
-def test_links_that_a_forest_leaves_out(spark, monkeypatch, block):
+@pytest.mark.parametrize("block", [simhash_dedup.BLOCK_ROWS, 40, 3])
+def test_links_that_a_forest_leaves_out(spark, block):
     """Variants of one text around the limit: forests by fingerprints hold few of their links."""
-    monkeypatch.setattr(simhash_dedup.pairs_left_out, "__defaults__", (block,))
     rng = np.random.default_rng(3)
     docs = []
     for k in range(200):
@@ -126,10 +125,28 @@ def test_links_that_a_forest_leaves_out(spark, monkeypatch, block):
     pairs = [(i, j) for i in range(len(docs)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     want = labels(len(docs), pairs, [k for k, _ in docs])
     assert 20 < len(set(want)) < 180
-    decided = simhash_dedup.similar_groups(spark.createDataFrame(docs, "doc_id long, text string"))
+    decided = simhash_dedup.similar_groups(spark.createDataFrame(docs, "doc_id long, text string"), block=block)
     assert {r.doc_id: r.component_id for r in decided.collect()} == dict(zip((k for k, _ in docs), want))
 
 
+def test_a_long_family_of_one_group_and_stragglers(spark):
+    """Most of a family is one group, whose blocks needn't meet; the rest is compared with each of them."""
+    rng = np.random.default_rng(5)
+    docs = [(k, " ".join(f"w{i}" if i != k % 250 else f"x{k}" for i in range(250))) for k in range(120)]
+    for k in range(120, 160):
+        words = [f"w{i}" for i in range(250)]
+        for i in rng.choice(250, 6, replace=False):
+            words[i] = f"y{k}"
+        docs.append((k, " ".join(words)))
+    sets = [set(shingles(t, 5)) for _, t in docs]
+    pairs = [(i, j) for i in range(len(docs)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = labels(len(docs), pairs, [k for k, _ in docs])
+    assert 2 < len(set(want)) < 45
+    for block in (7, 30):
+        decided = simhash_dedup.similar_groups(spark.createDataFrame(docs, "doc_id long, text string"), block=block)
+        assert {r.doc_id: r.component_id for r in decided.collect()} == dict(zip((k for k, _ in docs), want))
+
+
 def test_similar_pairs_in_runs_too_long_to_hold(spark, monkeypatch):
     """Pairs near the limit, each run of two already too long: all are still found."""
     monkeypatch.setattr(common, "ROWS_PER_BATCH", 1)
@@ -167,8 +184,8 @@ def test_a_long_run_of_several_words_is_linked_whole(spark, max_run):
 
 
 def test_left_out_pairs_under_a_plan_of_many_words(spark, monkeypatch):
-    """As for millions of documents: masks name words beyond the usual wide fingerprint."""
-    wide = simhash_dedup.WIDE + 5
+    """As for millions of documents: masks name words far beyond those that are compared."""
+    wide = 21
     monkeypatch.setattr(simhash_dedup, "words_for", lambda *_: (wide, 4))
     monkeypatch.setattr(simhash_dedup, "recall_plan", lambda *_: [(simhash_dedup.Mask(w, 0xFF << 8 * k),) for w in range(wide) for k in (0, 3)])
     rng = np.random.default_rng(3)
