@@ -53,10 +53,11 @@ _RUN_BLOCKS = 8
 #: Fingerprint words by which rows that meet under a probe are compared, when similar sets are looked for.
 CHECK_WORDS = 2
 #: Texts of a family that are compared in one task, with their shingle sets; a longer family is dealt in pairs of blocks.
-BLOCK_ROWS = 4_000
+BLOCK_ROWS = 8_000
 #: Rounds in which a long family is drawn together by a few links of each group before its blocks meet.
 HOOK_ROUNDS = 2
-_SMALL = 256
+#: Rows of a run that are compared step by step with others of their size, and pairs that are compared at once.
+_SMALL, _TILE = 64, 1 << 20
 _BLOCK = 1 << 16
 #: Relative costs of a shuffled probe row and of a compared pair.
 _ROW, _PAIR = 1.0, 0.005
@@ -93,7 +94,8 @@ def fingerprint(hashes: np.ndarray, words: int = 1) -> np.ndarray:
         h = hashes if k == 0 else _mixed(hashes, k)
         ones = np.zeros(64, np.int64)
         for a in range(0, len(h), 8192):
-            ones += np.unpackbits(h[a : a + 8192].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+            bits = np.unpackbits(h[a : a + 8192].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.float32)
+            ones += (np.ones(len(bits), np.float32) @ bits).astype(np.int64)  # exact: at most 8192
         out[k] = np.packbits(2 * ones > len(h)).view(">u8")[0]
     return out
 
@@ -272,31 +274,41 @@ def _signatures(column: pa.Array, words: int) -> np.ndarray:
     return np.asarray(column.flatten()).view(np.uint64).reshape(-1, words)
 
 
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of every row of ``x`` and every row of ``y``."""
+    return sum(np.bitwise_count(x[:, None, k] ^ y[None, :, k]).astype(np.uint16) for k in range(x.shape[1]))
+
+
 def _stars(sigs: np.ndarray, most: int, tight: int = -1, first: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spanning forest of the links within ``most`` bits among the rows of one run, and their distances.
 
-    A row is compared with the later rows of other trees only and linked to one
-    of each tree that it reaches, so copies of one text cost one comparison
-    each.  Links within ``tight`` bits are taken before others.  With ``first``
-    only the links between the first so many rows and the others count.
+    A row is compared with the later rows and linked to one of each other tree
+    that it reaches; once all rows are one tree nothing is left to compare, so
+    copies of one text cost one comparison each.  Rows that reach nothing are
+    taken in ever larger tiles.  Links within ``tight`` bits are taken before
+    others.  With ``first`` only the links between the first so many rows and
+    the others count.
     """
     n = len(sigs)
     tree, left, found = np.arange(n), n, [np.zeros((3, 0), np.int64)]
+    end = n if first is None else first
     for limit in (tight, most) if 0 <= tight < most else (most,):
-        for i in range(n if first is None else first):
-            if left == 1:
-                break
-            start = i + 1 if first is None else first
-            j = start + np.flatnonzero(tree[start:] != tree[i])
-            distance = np.bitwise_count(sigs[j] ^ sigs[i]).sum(1, dtype=np.int64)
-            near = distance <= limit
-            if not near.any():
-                continue
-            j, distance = j[near], distance[near]
-            trees, one = np.unique(tree[j], return_index=True)
-            found.append(np.stack([np.full(len(one), i), j[one], distance[one]]))
-            tree[np.isin(tree, trees)] = tree[i]
-            left -= len(one)
+        i, step = 0, 1
+        while i < end and left > 1:
+            stop, start = min(end, i + step), i + 1 if first is None else first
+            distance = _distances(sigs[i:stop], sigs[start:])
+            near = (distance <= limit) & (tree[i:stop, None] != tree[None, start:])
+            if first is None:
+                near &= np.tri(*near.shape, k=-1, dtype=bool) == 0
+            rows = np.flatnonzero(near.any(1))
+            for k in rows:
+                j = np.flatnonzero(near[k])
+                j = j[tree[start + j] != tree[i + k]]
+                trees, one = np.unique(tree[start + j], return_index=True)
+                found.append(np.stack([np.full(len(one), i + k), start + j[one], distance[k, j[one]].astype(np.int64)]))
+                tree[np.isin(tree, trees)] = tree[i + k]
+                left -= len(one)
+            i, step = stop, max(1, step // 4) if len(rows) else min(2 * step, max(1, _TILE // n))
     u, v, w = np.concatenate(found, axis=1)
     return u, v, w
 
@@ -318,8 +330,15 @@ def _links(run: np.ndarray, sigs: np.ndarray, most: int, tight: int = -1) -> tup
     short = np.concatenate(found, axis=1)
     out = [short[:, minimum_forest(len(run), *short)]]
     for k in np.flatnonzero(sizes > _SMALL):
-        a = begins[k]
-        u, v, w = _stars(sigs[a : a + sizes[k]], most, tight)
+        a, own = begins[k], sigs[begins[k] : begins[k] + sizes[k]]
+        if len(own) ** 2 <= _TILE:
+            distance = _distances(own, own)
+            u, v = np.nonzero((distance <= most) & np.tri(len(own), k=-1, dtype=bool).T)
+            w = distance[u, v].astype(np.int64)
+            keep = minimum_forest(len(own), u, v, w)
+            u, v, w = u[keep], v[keep], w[keep]
+        else:
+            u, v, w = _stars(own, most, tight)
         out.append(np.stack([u + a, v + a, w]))
     u, v, w = np.concatenate(out, axis=1)
     return u, v, w
