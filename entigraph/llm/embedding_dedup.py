@@ -205,7 +205,7 @@ def near_duplicates(vectors: DataFrame, limit: float = 0.98, key: str = "vec_id"
     gap = math.sqrt(2 - 2 * limit)
     rows = vectors.select(F.col(key).alias("_key"), F.col(label).alias("label"), F.col(vector).alias("vector"))
     rows = rows.withColumn("_can", usable(F.col("vector")) & F.col("label").isNotNull() & F.col("_key").isNotNull())
-    digest = F.md5(F.concat_ws(",", F.col("label").cast("string"), F.col("vector").cast("array<string>")))
+    digest = F.md5(F.concat(F.md5(F.col("label").cast("string")), F.md5(F.concat_ws(",", F.col("vector").cast("array<string>")))))
     rows = rows.withColumn("id", F.when(F.col("_can"), digest))
     can = rows.where("_can")
     nodes = saved(can.groupBy("id").agg(F.min("_key").alias("least"), F.count(F.lit(1)).alias("n"), F.first("label").alias("label"), F.first("vector").alias("vector")), "vectors")

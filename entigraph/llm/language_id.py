@@ -14,8 +14,11 @@ at most ``sample`` labelled rows in all, the same number per language, those
 with the smallest hash of their id; every text is predicted whole.
 
 Defined results: a null text, one without letters, and any text where nothing
-could be learned is ``und`` with score 0 and rejected; rows with equal hashes
-(repeated ids) may all be in the sample; an empty table gives an empty result.
+could be learned is ``und`` with score 0 and rejected; an id that is repeated
+with one label teaches the smallest of its texts; of more than ``SAMPLE``
+languages those with most documents are learned; of centroids with equal
+cosines the first counts, in the order of the languages' names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from entigraph.llm.common import map_batches
@@ -41,6 +44,8 @@ CENTROIDS = 4
 REJECT_SHARE, REJECT_QUANTILE = 0.41, 0.01
 #: Different features from which on a text's cosine no longer grows with its length.
 WHOLE = 300
+#: Ids that are looked at for each one of the sample.
+_SPARE = 4
 _GROUP = 64
 _LONGEST = 1 << 20
 
@@ -140,23 +145,30 @@ class Model:
 
 def fit(docs: DataFrame, trains: Column, key: str = "doc_id", text: str = "text", label: str = "lang") -> Model:
     """Fit on labelled rows where ``trains`` holds."""
-    labelled = docs.where(trains & F.col(label).isNotNull()).select(F.col(key).alias("_key"), F.col(label).alias("_label"))
-    names = labelled.groupBy("_label").count().orderBy("_label").limit(SAMPLE).collect()
-    if not names:
+    labelled = docs.where(trains & F.col(label).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(label).alias("lang"))
+    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE).collect()
+    if not sizes:
         return Model([], np.ones(FEATURES, np.float32), np.zeros((0, FEATURES), np.float32), np.zeros(0, np.int64), np.zeros(0))
-    each = max(1, min(PER_LANGUAGE, SAMPLE // len(names)))
-    by_hash = Window.partitionBy("_label").orderBy(F.xxhash64("_key"), "_key")
-    ids = labelled.withColumn("_r", F.row_number().over(by_hash)).where(F.col("_r") <= each).select("_key", F.col("_label").alias("_sampled")).distinct()
-    # At most SAMPLE ids: a bounded broadcast, so that only sampled texts are moved.
-    rows = docs.where(trains).join(F.broadcast(ids), docs[key].eqNullSafe(F.col("_key")) & (docs[label] == F.col("_sampled"))).select(F.col(text).alias("text"), F.col(label).alias("lang"))
+    each = max(1, min(PER_LANGUAGE, SAMPLE // len(sizes)))
+    # Ids below a limit of the hash, some more than are needed: so many that each language has enough, and no language is gathered.
+    chance = {r["lang"]: min(1.0, (_SPARE * each + 50) / r["count"]) for r in sizes}
+    limits = docs.sparkSession.createDataFrame([(lang, int(c * (1 << 62)) * 4 - (1 << 63) if c < 1 else (1 << 63) - 1) for lang, c in chance.items()], "lang string, most long")
+    hashed = labelled.select("id", "lang", F.xxhash64("id").alias("h")).join(F.broadcast(limits), "lang").where("h <= most")  # SAMPLE rows at most
+    few: dict[str, list] = {r["lang"]: [] for r in sizes}
+    for r in hashed.select("lang", "h", "id").distinct().collect():  # some 4 * SAMPLE ids
+        few[r["lang"]].append(r)
+    chosen = [(r["id"], lang) for lang, own in few.items() for r in sorted(own, key=lambda r: (r["h"], str(r["id"])))[:each]]
+    ids = docs.sparkSession.createDataFrame(chosen, f"sampled {dict(docs.dtypes)[key]}, lang string")
+    # At most SAMPLE ids: a bounded broadcast, so that only sampled texts are moved; a repeated id teaches once.
+    rows = labelled.join(F.broadcast(ids), labelled["id"].eqNullSafe(ids["sampled"]) & (labelled["lang"] == ids["lang"])).groupBy("id", labelled["lang"]).agg(F.min("text").alias("text")).select("text", "lang")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = counts(batch.column(0).to_pylist()).astype(np.float32)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([r.tobytes() for r in raw], pa.binary())], ["lang", "raw"])
 
-    found = map_batches(rows, work, "lang string, raw binary").limit(2 * SAMPLE).collect()
-    languages = [r["_label"] for r in names]
+    found = map_batches(rows, work, "lang string, raw binary").collect()  # at most SAMPLE rows
+    languages = sorted(few)
     found.sort(key=lambda r: (r["lang"], r["raw"]))
     raw = np.stack([np.frombuffer(r["raw"], np.float32) for r in found])
     own = np.array([languages.index(r["lang"]) for r in found])

@@ -13,7 +13,8 @@ bounded size for any number of documents, every piece is packed globally, and
 only rows of a few numbers are shuffled.
 
 Defined results: a null text is an empty one, which is the end token alone;
-documents longer than the capacity are cut into full pieces, the first piece
+texts of any length are encoded whole, runs of blanks or letters of any length
+among them; documents longer than the capacity are cut into full pieces, the first piece
 takes the remainder; repeated rows are packed each on their own; an empty table
 gives an empty result.
 """
@@ -21,6 +22,7 @@ gives an empty result.
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -32,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from entigraph.llm.common import map_batches, text_chunks
+from entigraph.llm.pretokenize import pretokens
 from entigraph.llm.vocabulary import json_vocabulary
 from entigraph.plans.workspace import saved
 
@@ -146,6 +149,28 @@ def _tokenizer(path: str):
     return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens=vocabulary.special)
 
 
+#: Longer texts are split by the class scan of ``pretokenize``: a regular expression's stack is bounded.
+LONG_TEXT = 1 << 16
+
+
+def token_ids(path: str, text: str) -> list[int]:
+    """Ids of a text of any length, special strings as one token each."""
+    encoding = _tokenizer(path)
+    if len(text) <= LONG_TEXT:
+        return encoding.encode(text, allowed_special="all")
+    special, known, out = json_vocabulary(path).special, {}, []
+    parts = re.split("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")", text) if special else [text]
+    for part in parts:
+        if part in special:
+            out.append(special[part])
+            continue
+        for piece in pretokens([part])[0]:
+            if piece not in known:
+                known[piece] = encoding._encode_single_piece(piece.encode())
+            out += known[piece]
+    return out
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """Start and length of the pieces of ``n`` tokens: all full but the first, which takes the remainder."""
     first = (n - 1) % capacity + 1
@@ -156,14 +181,13 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, key: st
     """Tokenize, append ``end_id`` and cut: key, piece, start, length, ids_crc32."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = _tokenizer(path)
         tail = np.array([end_id], np.uint32)
         for batch in batches:
             rows, out = [], [[], [], [], []]
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in text_chunks(texts):
                 for k in range(a, b):
-                    ids = np.concatenate([np.array(encoding.encode(texts[k], allowed_special="all"), np.uint32), tail]).astype("<u4")
+                    ids = np.concatenate([np.array(token_ids(path, texts[k]), np.uint32), tail]).astype("<u4")
                     for piece, (start, length) in enumerate(cut(len(ids), capacity)):
                         rows.append(k)
                         for column, value in zip(out, (piece, start, length, zlib.crc32(ids[start : start + length].tobytes()))):

@@ -2,16 +2,17 @@
 
 Per document: words, characters in words, symbols, repeated lines, and words
 that lie in an 8-word window found twice or more.  A document fails the base
-rules if it has too few words or too many repeated ones.  Per host: the share
-of failures is shrunk towards a beta prior whose mean and strength are fitted to
-the hosts themselves by moments, so that a host with few documents is judged by
-the corpus; documents of a host whose shrunk rate is above the limit go.
+rules if it has too few words or too many repeated ones.  Per host and rule (few
+words, repeated words, symbols, repeated lines): the share of failures is shrunk
+towards the rule's beta prior, whose mean and strength are fitted to the hosts
+themselves by moments, so that a host with few documents is judged by the
+corpus; documents of a host that has any shrunk rate above the limit go.
 
 Windows are compared by a 64-bit hash of their words' hashes within one text.
 
 Defined results: a null text has no words and fails; a null host has no
 verdict, its documents are judged by the base rules alone; repeated rows are
-judged one by one; an empty table gives an empty result.
+judged one by one; texts of any length are read whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -85,17 +86,33 @@ def document_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", hos
     return rows.select(key, "_host", n.alias("n_words"), F.col("_m.word_chars").alias("word_chars"), "n_symbols", "n_dup_lines", repeated.alias("n_repeat_words"), failed.alias("base_failed"))
 
 
+def rule_failures() -> dict[str, Column]:
+    """The rules that hosts are judged by, each a condition on a document's counts."""
+    return {
+        "words": F.col("n_words") < 20,
+        "repeats": 100 * F.col("n_repeat_words") > 30 * F.col("n_words"),
+        "symbols": 10 * F.col("n_symbols") > F.col("n_words"),
+        "lines": 10 * F.col("n_dup_lines") > F.col("n_words"),
+    }
+
+
 def host_verdicts(rules: DataFrame, limit: float = 0.5) -> DataFrame:
-    """``_host``, its shrunk failure rate and whether it is above ``limit``."""
-    hosts = rules.where("_host is not null").groupBy("_host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("k"))
+    """``_host``, the shrunk rate of each rule's failures, and whether any is above ``limit``.
+
+    Each rule has a prior of its own, fitted by moments to the rates of all hosts.
+    """
+    failures = rule_failures()
+    hosts = rules.where("_host is not null").groupBy("_host").agg(F.count(F.lit(1)).alias("n"), *(F.sum(failed.cast("long")).alias(rule) for rule, failed in failures.items()))
     hosts = saved(hosts, "hosts")
-    mean = F.avg(F.col("k") / F.col("n"))
-    row = hosts.agg(mean.alias("m"), F.var_pop(F.col("k") / F.col("n")).alias("v"), F.avg(1 / F.col("n")).alias("i")).first()  # one row
-    m, v, i = (row[x] or 0.0 for x in ("m", "v", "i"))
-    between = v - m * (1 - m) * i  # what is left of the variance after chance within hosts
-    strength = min(STRONGEST, max(WEAKEST, m * (1 - m) / between - 1)) if between > 0 else STRONGEST
-    rate = (F.col("k") + F.lit(m * strength)) / (F.col("n") + F.lit(strength))
-    return hosts.select("_host", rate.alias("host_rate"), (rate > limit).alias("_bad"))
+    moments = [x for r in failures for x in (F.avg(F.col(r) / F.col("n")).alias(f"m_{r}"), F.var_pop(F.col(r) / F.col("n")).alias(f"v_{r}"))]
+    row = hosts.agg(F.avg(1 / F.col("n")).alias("i"), *moments).first()  # one row
+    rates = {}
+    for rule in failures:
+        m, v, i = (row[x] or 0.0 for x in (f"m_{rule}", f"v_{rule}", "i"))
+        between = v - m * (1 - m) * i  # what is left of the variance after chance within hosts
+        strength = min(STRONGEST, max(WEAKEST, m * (1 - m) / between - 1)) if between > 0 else STRONGEST
+        rates[rule] = (F.col(rule) + F.lit(m * strength)) / (F.col("n") + F.lit(strength))
+    return hosts.select("_host", *(rate.alias(f"{rule}_rate") for rule, rate in rates.items()), (F.greatest(*rates.values()) > limit).alias("_bad"))
 
 
 def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", limit: float = 0.5) -> DataFrame:
@@ -118,10 +135,12 @@ m AS (SELECT d.doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(ar
   CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
   FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
 b AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed FROM m),
-h AS (SELECT source, count(*) AS n, CAST(sum(CAST(base_failed AS INT)) AS DOUBLE) AS k FROM b WHERE source IS NOT NULL GROUP BY source),
-s AS (SELECT avg(k / n) AS mean, var_pop(k / n) - avg(k / n) * (1 - avg(k / n)) * avg(1.0 / n) AS between_var FROM h),
-p AS (SELECT mean, CASE WHEN between_var > 0 THEN least(10000.0, greatest(1.0, mean * (1 - mean) / between_var - 1)) ELSE 10000.0 END AS strength FROM s),
-bad AS (SELECT source FROM h, p WHERE (k + mean * strength) / (n + strength) > 0.5)
+f AS (SELECT source, r.rule, CASE r.rule WHEN 1 THEN n_words < 20 WHEN 2 THEN 100 * n_repeat_words > 30 * n_words WHEN 3 THEN 10 * n_symbols > n_words ELSE 10 * n_dup_lines > n_words END AS failed
+  FROM b, (VALUES (1), (2), (3), (4)) r(rule) WHERE source IS NOT NULL),
+h AS (SELECT rule, source, count(*) AS n, CAST(count(*) FILTER (failed) AS DOUBLE) AS k FROM f GROUP BY rule, source),
+s AS (SELECT rule, avg(k / n) AS mean, var_pop(k / n) AS spread, avg(1.0 / n) AS per FROM h GROUP BY rule),
+p AS (SELECT rule, mean, CASE WHEN spread > mean * (1 - mean) * per THEN least(10000.0, greatest(1.0, mean * (1 - mean) / (spread - mean * (1 - mean) * per) - 1)) ELSE 10000.0 END AS strength FROM s),
+bad AS (SELECT DISTINCT source FROM h JOIN p USING (rule) WHERE (k + mean * strength) / (n + strength) > 0.5)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND coalesce(source NOT IN (SELECT source FROM bad), true) AS kept
 FROM b

@@ -10,13 +10,15 @@ A special token's string inside a text is one token, as the tokenizer library
 has it by default, and parts the text around it.
 
 Defined results: a null text counts like an empty one (0 bytes, 0 tokens);
-repeated rows are counted one by one.  Memory is bounded by one batch, one text
+repeated rows are counted one by one; a pre-token beyond LONG_PIECE characters,
+whose rounds would be as many as its length, is merged pair by pair instead.  Memory is bounded by one batch, one text
 and CACHE pre-tokens.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
 import re
 from collections.abc import Iterator, Sequence
 
@@ -29,6 +31,8 @@ from entigraph.llm.pretokenize import pretokens
 from entigraph.llm.vocabulary import json_vocabulary
 
 CACHE = 200_000
+#: Characters from which a pre-token's rounds would cost more than a heap of its pairs.
+LONG_PIECE = 4096
 _NONE = np.iinfo(np.int32).max
 _SLOTS_BITS = 20
 
@@ -104,6 +108,30 @@ def surviving(pieces: list[bytes], byte_ids: np.ndarray, pairs: PairTable) -> np
     return out
 
 
+def surviving_long(piece: bytes, byte_ids: np.ndarray, ranks: dict[tuple[int, int], tuple[int, int]]) -> int:
+    """The same for one very long piece, in n log n steps: pairs in a heap by rank and place."""
+    symbols = byte_ids[np.frombuffer(piece, np.uint8)].tolist()
+    n = len(symbols)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(found[0], k, a, b) for k, (a, b) in enumerate(zip(symbols, symbols[1:])) if (found := ranks.get((a, b)))]
+    heapq.heapify(heap)
+    alive = n
+    while heap:
+        _, k, a, b = heapq.heappop(heap)
+        j = after[k]
+        if symbols[k] != a or j >= n or symbols[j] != b:
+            continue
+        symbols[k], symbols[j], stop = ranks[(a, b)][1], -1, after[j]
+        after[k], alive = stop, alive - 1
+        if stop < n:
+            before[stop] = k
+            if found := ranks.get((symbols[k], symbols[stop])):
+                heapq.heappush(heap, (found[0], k, symbols[k], symbols[stop]))
+        if (p := before[k]) >= 0 and (found := ranks.get((symbols[p], symbols[k]))):
+            heapq.heappush(heap, (found[0], p, symbols[p], symbols[k]))
+    return alive
+
+
 class Counter:
     """Counts tokens for one JSON vocabulary, with a bounded memory of pre-tokens."""
 
@@ -111,6 +139,7 @@ class Counter:
         vocabulary = json_vocabulary(path)
         self.byte_ids = np.array([vocabulary.tokens[bytes([b])] for b in range(256)], np.int32)
         self.pairs = PairTable(vocabulary.merges)
+        self.ranks = {(a, b): (rank, c) for rank, (a, b, c) in enumerate(vocabulary.merges.tolist())}
         special = sorted(vocabulary.special, key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.known: dict[str, int] = {}
@@ -139,7 +168,9 @@ class Counter:
         found = list(map(known.get, pieces))
         new = list({pieces[k]: None for k, n in enumerate(found) if n is None})
         if new:
-            known.update(zip(new, surviving([p.encode() for p in new], self.byte_ids, self.pairs).tolist()))
+            short = [p for p in new if len(p) <= LONG_PIECE]
+            known.update(zip(short, surviving([p.encode() for p in short], self.byte_ids, self.pairs).tolist()))
+            known.update((p, surviving_long(p.encode(), self.byte_ids, self.ranks)) for p in new if len(p) > LONG_PIECE)
             found = [known[p] if n is None else n for p, n in zip(pieces, found)]
         sums = np.concatenate([[0], np.cumsum(np.array(found, np.int64))])
         ends = np.cumsum(counts)

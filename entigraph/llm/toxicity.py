@@ -239,16 +239,14 @@ class Model:
     def score(self, text: str | None) -> float:
         words = words_of(text or "")
         found = self.found(set(words))
-        score = self.probability(found)
-        if score < THRESHOLD and self.folded | self.folded_starts:
+        if self.folded | self.folded_starts:
             for span in self.spans(text or "", words):
                 own = fold(span) if span.isalpha() else ""  # what such a word begins with in plain sight isn't restored
                 for letters in self.restore(span).split():
                     if letters in self.folded and letters != own:
                         found.add(self.folded[letters])
                     found |= {self.folded_starts[letters[:n]] for n in range(2, min(len(letters), self.longest_start + 1)) if letters[:n] in self.folded_starts and letters[:n] != own[:n]}
-            score = self.probability(found)
-        return score
+        return self.probability(found)
 
 
 def language_model(trigrams: np.ndarray, lexicon: dict[str, int]) -> np.ndarray:

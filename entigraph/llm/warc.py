@@ -13,7 +13,7 @@ Of records with equal payloads of at least ``dedup_from`` bytes the one with the
 smallest id is a response, the others revisit it and carry no payload.
 
 Defined results: a null html is an empty payload; a null url leaves out the
-target; rows that repeat the smallest id of a payload are all responses; a null
+target; blanks and control characters of a url are percent-encoded; rows that repeat the smallest id of a payload are all responses; a null
 id is never referred to, and revisits if the payload has a page with an id; an
 empty table gives an archive without files.
 """
@@ -22,10 +22,12 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -35,9 +37,10 @@ from pyspark.sql import functions as F
 from entigraph.llm.common import looked_up, map_batches
 from entigraph.plans.workspace import fresh_path, saved
 
-#: Payload bytes of a shard, at least; compressed bytes of a file, about.
+#: Payload bytes of a shard, at least.
 SHARD_BYTES = 64 << 20
-ROLL_BYTES = 256 << 20
+#: Compressed bytes at which a file is rolled, as a share of a shard's payload bytes: markup packs to a quarter, so a full shard has several files.
+ROLL_SHARE = 1 / 16
 #: No more shards than this many, and so many ranges at first: both are lists on the driver.
 MOST_SHARDS, RANGES, REFINED, LEVELS = 20_000, 4096, 64, 10
 #: Parts that pages without an id are dealt to.
@@ -113,7 +116,7 @@ def _page_record(row: dict, date: str) -> bytes:
     name = f"page {row['page_id']} {row['url']} {digest}"
     headers = [("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(_NAMESPACE, name)}>"), ("WARC-Date", date)]
     if row["url"] is not None:
-        headers.append(("WARC-Target-URI", "".join(row["url"].splitlines())))
+        headers.append(("WARC-Target-URI", re.sub(r"[\x00-\x20\x7f-\xa0\u2028\u2029]", lambda m: quote(m[0]), row["url"])))
     if row["page_id"] is not None:
         headers.append(("WARC-Page-ID", str(row["page_id"])))
     headers += [("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http; msgtype=response")]
@@ -129,7 +132,7 @@ class _Files:
     """The files of one shard, written one after the other."""
 
     def __init__(self, root: str, stem: str, roll: int, date: str) -> None:
-        self.system, self.base = fs.FileSystem.from_uri(root)
+        self.system, self.base = file_system(root)
         self.stem, self.roll, self.date = stem, roll, date
         self.number, self.stream = 0, None
 
@@ -164,14 +167,25 @@ class _Files:
 _MANIFEST = [("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())]
 
 
-def write(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, dedup_from: int = 100, date: str = DATE) -> None:
-    """Write pages (page_id, url, html) as archive files below ``root``, then the manifest table ``root/manifest``."""
+def file_system(root: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder, and the folder's path in it; Spark's names of object stores are known."""
+    scheme, colon, rest = root.partition("://")
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + colon + rest if colon else root)
+
+
+def write(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int | None = None, dedup_from: int = 100, date: str = DATE) -> None:
+    """Write pages (page_id, url, html) as archive files below ``root``, then the manifest table ``root/manifest``.
+
+    Without ``roll_bytes`` files are rolled at ROLL_SHARE of a shard's size.
+    """
     spark = pages.sparkSession
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", "html", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload.cast("binary"), 256).alias("payload_digest"))
     meta = saved(rows.drop("html", "url"), "payloads")
     repeated = meta.where(F.col("payload_bytes") >= dedup_from).groupBy("payload_digest").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("n")).where("n > 1 and _first is not null").drop("n")
     ranges, first, width = id_ranges(meta, shard_bytes)
+    if roll_bytes is None:
+        roll_bytes = int(ROLL_SHARE * max(shard_bytes, -(-sum(r.size for r in ranges) // MOST_SHARDS)))
     dealt_to, slots, loose = shard_table(ranges, shard_bytes), {}, 0 if meta.where("page_id is null").isEmpty() else LOOSE_PARTS
     for _, _, _, shard, parts in dealt_to:
         slots[shard] = max(slots.get(shard, 0), parts)
@@ -190,7 +204,7 @@ def write(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES, roll_byte
     rows = rows.select("page_id", "url", "html", "payload_bytes", "payload_digest", "refers_to", F.coalesce("shard", F.lit(-1)).alias("shard"), part.alias("part"), (F.coalesce("_slot", F.lit(total)) + part).alias("slot"))
     # Each part of a shard is a partition of its own: no task gets two of them, and none is joined to another.
     dealt = rows.repartitionById(max(1, total + loose), "slot").drop("slot").sortWithinPartitions("shard", "part", "page_id", "payload_digest", "url")
-    system, base = fs.FileSystem.from_uri(root)
+    system, base = file_system(root)
     system.create_dir(base, recursive=True)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,6 +223,11 @@ def write(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES, roll_byte
         yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, (_, t) in enumerate(_MANIFEST)], [n for n, _ in _MANIFEST])
 
     map_batches(dealt, work, "file string, records long, bytes long, sha256 string").write.parquet(f"{root}/manifest")
+    # Attempts that died have left files under temporary names.
+    left = fs.FileSelector(base, recursive=False)
+    for file in system.get_file_info(left):
+        if file.base_name.startswith(".pages-"):
+            system.delete_file(file.path)
 
 
 def _members(stream: pa.NativeFile, digest: "hashlib._Hash") -> Iterator[bytes]:
@@ -247,7 +266,7 @@ def read(spark: SparkSession, root: str, payloads: bool = True) -> DataFrame:
     columns = _PAGES if payloads else _PAGES[:-1]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, base = fs.FileSystem.from_uri(root)
+        system, base = file_system(root)
         for batch in batches:
             for entry in batch.to_pylist():
                 digest, rows, n = hashlib.sha256(), [], 0
