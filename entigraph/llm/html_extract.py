@@ -5,29 +5,40 @@ path of tags, classes and ids, and pieces of text, told apart by path and
 content.  Tokens that occur equally often on every page of a host have the same
 occurrence vector; those that are many enough and on enough of the host's pages
 form an equivalence class.  Vectors are as long as a host has pages, so they
-are compared by a linear fingerprint: the exclusive or, over pages, of a hash
-of page and count.  It is aggregated like a sum, and no host is ever gathered.
-
-A class is valid if its tokens stand in one order on the pages that have them;
-valid classes nest by their paths into the host's template.  What the template
-leaves is slots: of its elements the one that holds the pages' text, by its
-meaning or by its share of characters outside navigation, is the main region,
-and its slots are extracted; template text that is the same on all pages is no
-slot.  A page whose host has too few pages, or that lacks the host's region, is
-judged with the template of all pages, and at last by its own elements.
+are compared by a linear fingerprint: the sum, over pages, of a hash of page and
+count.  It is aggregated like any sum, and no host is ever gathered.
+
+A class is valid if its tokens stand in one order, over and over, wherever the
+class occurs, and if every occurrence lies between the same two tokens of the
+same class around it: so classes nest into the host's template.  The gaps
+between neighbouring tokens of an occurrence are the template's slots.  Of the
+template's elements the one that holds the pages' text, by its meaning or by
+its share of the characters in slots, is the main region, and what is extracted are the
+texts in its slots; a text that is itself a token of the template is no slot.
+Constant texts only count as template if a host's slots hold more characters
+within the region than they do, else its pages are copies of one another.  A
+page whose host has too few pages, or that lacks the host's region, is judged
+with the region of all pages, and at last by its own elements.
+
+Elements within the region are left out by what they are (navigation, asides,
+forms, scripts).  By its name an element is left out only if its name says
+nothing else (``comment-list``, not ``comments-open``) and if it doesn't hold
+most of the region's text on the host's pages; names of elements around the
+region tell nothing.
 
 Defined results: null, empty or text-free html gives an empty text; a null url
 has a host of its own; repeated rows are pages of their own; unclosed elements
 end where their parents end, an unclosed comment or script at the end of the
-page; an empty table gives an empty result.
+page; elements nested to any depth and pages of any length are read whole, in
+linear time; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Container, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -40,11 +51,13 @@ from entigraph.plans.workspace import saved
 #: A host with fewer pages has no template of its own.
 LEAST_PAGES = 4
 #: Share of a host's pages that a class occurs on, and its number of tokens, at least.
-SUPPORT, LEAST_TOKENS = 0.5, 3
-#: Share of pages on which a valid class may stand in another order (torn pages).
+SUPPORT, LEAST_TOKENS = 0.5, 2
+#: Share of pages on which a valid class may stand in another order or place (torn pages).
 DISORDER = 0.02
-#: Share of a page's characters that the main region holds, if it has a telling name or not.
+#: Share of a host's characters that the main region holds, if it has a telling name or not.
 NAMED_SHARE, SHARE = 0.2, 0.6
+#: Share of the region's characters from which a name isn't believed that would leave them out.
+DOUBTED = 0.5
 #: Templates are broadcast up to this many token hashes in all.
 BROADCAST_TOKENS = 2_000_000
 #: The pseudo-host of all pages.
@@ -74,179 +87,253 @@ _OUT_WORDS = frozenset(
 )
 _OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar note".split())
 _MAIN_WORDS = frozenset("article content post entry story main articlebody postbody".split())
+#: Words that go with a name without changing what it says.
+_PLAIN_WORDS = frozenset("area bar block body box btn button column col container content form group holder icon icons inner item items left link links list main module outer panel right row section site top bottom widget widgets wrap wrapper the page post posts".split())
 _WORDS = re.compile(r"[a-z]+")
+#: Numbers of a page rather than of its layout.
+_NUMBERS = re.compile(r"(?<=[-_])\d+|\d{3,}")
 
 
-class Step(NamedTuple):
-    """One token: kind (start, end, text, br), path, text, tag; out: within an element that isn't main text."""
-
-    kind: str
-    path: str
-    text: str
-    tag: str
-    out: bool
-    link: bool
-
-
-class _Element(NamedTuple):
-    tag: str
-    path: str
-    out: bool
-    link: bool
-
-
-def _described(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """Label of an element for its path, whether it is out, and whether its name tells the main text."""
-    label, out, main = tag, tag in _OUT, tag in ("article", "main")
-    if attributes:
-        for m in _ATTRIBUTE.finditer(attributes):
-            name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-            if name in ("class", "id"):
-                label += ("." if name == "class" else "#") + re.sub(r"\d+", "", value)
-                words = set(_WORDS.findall(value))
-                out |= tag not in ("html", "body", "article", "main") and bool(words & _OUT_WORDS)
-                main |= bool(words & _MAIN_WORDS)
-            elif name == "role":
-                out |= value in _OUT_ROLES
-                main |= value in ("main", "article")
-            elif name == "itemprop":
-                main |= value == "articlebody"
-            elif name == "hidden" or name == "aria-hidden" and value == "true":
-                out = True
-    return label, out, main and not out
-
-
-def steps(html: str | None) -> Iterator[Step]:
-    """Tokens of a page in order, with the ends that html leaves out."""
-    text, at, stack = html or "", 0, [_Element("", "", False, False)]
+# -- pages -------------------------------------------------------------------
+
+START, END, TEXT, BREAK, VOID = range(5)
+#: What an element is: bits of a token.
+BLOCK, CELL, OUT, OUT_NAME, MAIN, LINK, ROOT = (1 << k for k in range(7))
+_SIGN, _ONES = 1 << 63, (1 << 64) - 1
+_END_MARK, _VOID_MARK = 0x5DEECE66D2F1B3C7, 0x2545F4914F6CDD1D
+
+
+class Page(NamedTuple):
+    """Tokens in order: kind, path (a hash of the labels down to the element), text, bits of the element."""
+
+    kinds: list[int]
+    paths: list[int]
+    texts: list[str]
+    bits: list[int]
+
+
+def _signed(n: int) -> int:
+    return n - (1 << 64) if n & _SIGN else n
+
+
+def _hash(data: bytes, seed: int = 0) -> int:
+    from xxhash import xxh64_intdigest
 
-    def close(k: int) -> Iterator[Step]:
+    return _signed(xxh64_intdigest(data, seed & _ONES))
+
+
+def _described(tag: str, attributes: str) -> tuple[str, int]:
+    """Label of an element for its path, and its bits."""
+    bits = (BLOCK if tag in _BLOCK else 0) | (CELL if tag in ("td", "th", "option") else 0) | (OUT if tag in _OUT else 0)
+    bits |= (MAIN if tag in ("article", "main") else 0) | (LINK if tag == "a" else 0) | (ROOT if tag in ("html", "body") else 0)
+    label, out, main = tag, False, False
+    for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
+        name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
+        if name in ("class", "id"):
+            label += ("." if name == "class" else "#") + _NUMBERS.sub("", value)
+            for own in value.split():
+                words = set(_WORDS.findall(own))
+                says_out = bool(words & _OUT_WORDS) and words <= _OUT_WORDS | _PLAIN_WORDS
+                out |= says_out
+                main |= not says_out and bool(words & _MAIN_WORDS)
+        elif name == "role":
+            bits |= (OUT if value in _OUT_ROLES else 0) | (MAIN if value in ("main", "article") else 0)
+        elif name == "itemprop":
+            main |= value == "articlebody"
+        elif name == "hidden" or name == "aria-hidden" and value == "true":
+            bits |= OUT
+    if not bits & ROOT:
+        bits |= (MAIN if main and not out else 0) | (OUT_NAME if out and not main and not bits & MAIN else 0)
+    return label, bits & ~MAIN if bits & OUT else bits
+
+
+def parse(html: str | None) -> Page:
+    """Tokens of a page in order, with the ends that html leaves out."""
+    text, at = html or "", 0
+    page = Page([], [], [], [])
+    stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, path, bits
+    open_tags: dict[str, int] = defaultdict(int)
+
+    def add(kind: int, path: int, words: str, bits: int) -> None:
+        page.kinds.append(kind)
+        page.paths.append(path)
+        page.texts.append(words)
+        page.bits.append(bits)
+
+    def close(k: int) -> None:
         while len(stack) > k:
-            e = stack.pop()
-            yield Step("end", e.path, "", e.tag, e.out, e.link)
-
-    def piece(a: int, b: int) -> Iterator[Step]:
-        if a < b and (words := " ".join(entities.unescape(text[a:b]).split())):
-            e = stack[-1]
-            raw = text[a:b]
-            pad = (" " if raw[0].isspace() else "") + words + (" " if raw[-1].isspace() else "")
-            yield Step("text", e.path, pad, e.tag, e.out, e.link)
-        elif a < b:
-            e = stack[-1]
-            yield Step("text", e.path, " ", e.tag, e.out, e.link)
+            tag, path, bits = stack.pop()
+            open_tags[tag] -= 1
+            add(END, path, "", bits)
+
+    def piece(a: int, b: int) -> None:
+        if a < b:
+            raw = entities.unescape(text[a:b])
+            words = " ".join(raw.split())
+            pad = (" " if raw[:1].isspace() else "") + words + (" " if raw[-1:].isspace() and words else "")
+            if pad:
+                _, path, bits = stack[-1]
+                add(TEXT, path, pad, bits)
+
+    def last(tags: frozenset[str] | set[str], within: frozenset[str] | set[str] = frozenset()) -> int:
+        """Place of the innermost open element of ``tags``, if none of ``within`` stands above it."""
+        if any(open_tags[t] for t in tags):
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k][0] in within:
+                    return 0
+                if stack[k][0] in tags:
+                    return k
+        return 0
 
     while m := _TOKEN.search(text, at):
-        yield from piece(at, m.start())
+        piece(at, m.start())
         at = m.end()
         tag = (m["tag"] or m["tag2"] or "").lower()
         if not tag:
             continue
         if m["end"] or m["end2"]:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            if k:
-                yield from close(k)
+            if k := last({tag}):
+                close(k)
             continue
-        attributes = m["attributes"] or ""
-        if tag in _ENDS_PARAGRAPH:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag in _BLOCK), 0)
-            if k and stack[k].tag == "p":
-                yield from close(k)
+        if tag in _ENDS_PARAGRAPH and (k := last({"p"}, _BLOCK - {"p"})):
+            close(k)
         if tag in _CLOSES:
             same, within = (set(x.split()) for x in _CLOSES[tag])
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in within:
-                    break
-                if stack[k].tag in same:
-                    yield from close(k)
-                    break
-        top = stack[-1]
-        label, out, _ = _described(tag, attributes)
-        element = _Element(tag, f"{top.path}/{label}", top.out or out, top.link or tag == "a")
+            if k := last(same, within):
+                close(k)
+        label, bits = _described(tag, m["attributes"] or "")
+        path = _hash(label.encode("utf-8", "surrogatepass"), stack[-1][1])
         if tag in _VOID:
-            yield Step("br" if tag in ("br", "hr") else "void", element.path, "", tag, element.out, element.link)
+            add(BREAK if tag in ("br", "hr") else VOID, path, "", bits)
             continue
-        stack.append(element)
-        yield Step("start", element.path, "", tag, element.out, element.link)
+        stack.append((tag, path, bits))
+        open_tags[tag] += 1
+        add(START, path, "", bits)
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.IGNORECASE).search(text, at)
             at = end.end() if end else len(text)
-            yield from close(len(stack) - 1)
-    yield from piece(at, len(text))
-    yield from close(1)
+            close(len(stack) - 1)
+    piece(at, len(text))
+    close(1)
+    return page
+
+
+def token(kind: int, path: int, text: str) -> int | None:
+    """Number of a token of the host's pages; none for blanks."""
+    if kind == START:
+        return path
+    if kind == TEXT:
+        return None if text.isspace() else _hash(text.strip().encode("utf-8", "surrogatepass"), path)
+    return _signed((path & _ONES) ^ (_END_MARK if kind == END else _VOID_MARK))
+
+
+class Held(NamedTuple):
+    """Characters of an element: of all text that its tags don't leave out, without links, and of the latter what names leave in."""
+
+    kept: int
+    plain: int
+    named: int
+
+
+def held(page: Page, constant: Container[int] = ()) -> tuple[dict[int, Held], dict[int, tuple[int, int]], Held]:
+    """Characters by path, (bits, depth) by path, and the page's own, in one pass over a stack of running sums; ``constant`` tokens don't count."""
+    sums, info, stack = {}, {}, []
+    kept = plain = named = out = out_name = link = 0
+    for kind, path, text, bits in zip(*page):
+        if kind == START:
+            stack.append((kept, plain, named))
+            out, out_name, link = out + bool(bits & OUT), out_name + bool(bits & OUT_NAME), link + bool(bits & LINK)
+            if path not in info:
+                info[path] = bits, len(stack)
+        elif kind == END:
+            out, out_name, link = out - bool(bits & OUT), out_name - bool(bits & OUT_NAME), link - bool(bits & LINK)
+            a, b, c = stack.pop()
+            x = sums.get(path, Held(0, 0, 0))
+            sums[path] = Held(x.kept + kept - a, x.plain + plain - b, x.named + named - c)
+        elif kind == TEXT and not out and not text.isspace() and not (constant and token(kind, path, text) in constant):
+            size = len(text)
+            kept += size
+            if not link:
+                plain += size
+                named += 0 if out_name else size
+    return sums, info, Held(kept, plain, named)
 
 
-def _hash(token: str) -> int:
-    from xxhash import xxh64_intdigest
+def host_of(url: Column) -> Column:
+    """Authority of a URL in lower case; empty if there is none."""
+    return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
-    n = xxh64_intdigest(token.encode("utf-8", "surrogatepass"))
-    return n - (1 << 64) if n >> 63 else n
 
+# -- classes -----------------------------------------------------------------
 
-def _tokens(page: list[Step]) -> Iterator[tuple[str, Step]]:
-    for s in page:
-        if s.kind in ("start", "void", "br"):
-            yield f"<{s.path}", s
-        elif s.kind == "end":
-            yield f">{s.path}", s
-        elif not s.text.isspace():
-            yield f"={s.path}\0{s.text.strip()}", s
+_PAGE = "kinds array<tinyint>, paths array<bigint>, texts array<string>, bits array<tinyint>"
+_PAGE_TYPES = (pa.list_(pa.int8()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int8()))
 
 
-def host_of(url: Column) -> Column:
-    """Authority of a URL in lower case; empty if there is none."""
-    return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
+def _parsed(pages: DataFrame) -> DataFrame:
+    """Written pages, each parsed once and numbered."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = [parse(x) for x in batch.column(3).to_pylist()]
+            columns = [pa.array([p[k] for p in done], t) for k, t in enumerate(_PAGE_TYPES)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], ["page_id", "url", "_host", "kinds", "paths", "texts", "bits"])
+
+    kind = dict(pages.dtypes)["page_id"]
+    parsed = map_batches(pages.select("page_id", "url", "_host", "html"), work, f"page_id {kind}, url string, _host string, {_PAGE}")
+    return saved(parsed.withColumn("_row", F.monotonically_increasing_id()), "parsed-pages")
+
+
+def _pages_of(batch: pa.RecordBatch) -> Iterator[Page]:
+    return (Page(*p) for p in zip(*(batch.column(c).to_pylist() for c in Page._fields)))
 
-def _statistics(pages: DataFrame) -> DataFrame:
-    """Written token statistics of hosts and of all pages: hash, pages, occurrences, vector, position, characters outside of links, all kept ones, and the path of starts."""
-    schema = "host string, token long, kind string, pages long, n long, vector long, place long, chars long, kept long, path string"
+
+_SUMS = ("pages", "n", "low", "high", "place", "kept", "plain", "named")
+
+
+def _statistics(parsed: DataFrame) -> DataFrame:
+    """Written token statistics of hosts and of all pages.  Token 0 without a kind stands for the page itself."""
+    names = ["host", "token", "kind", "bits", "depth", *_SUMS]
+    types = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.int64()] * len(_SUMS)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[str, str], list[int]] = {}
+        sums: dict[tuple, list[int]] = {}
 
         def flush() -> pa.RecordBatch:
-            rows = [(h, _hash(t), t[0], *v, t[1:] if t[0] == "<" else None) for (h, t), v in sums.items()]
+            rows = [(*k, *v) for k, v in sums.items()]
             sums.clear()
-            kinds = [pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 6, pa.string()]
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["host", "token", "kind", "pages", "n", "vector", "place", "chars", "kept", "path"])
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
 
         for batch in batches:
-            for host, page_id, html in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                counts, first, chars, kept = Counter(), {}, Counter(), Counter()
-                page = list(steps(html))
-                for k, (token, s) in enumerate(_tokens(page)):
-                    counts[token] += 1
-                    first.setdefault(token, k)
-                    if s.kind == "text" and not s.out:
-                        size, path = len(s.text), s.path
-                        while True:
-                            kept[f"<{path}"] += size
-                            if not s.link:
-                                chars[f"<{path}"] += size
-                            if not path:
-                                break
-                            path = path.rpartition("/")[0]
-                counts["<"] = 1
-                key = f"{page_id} {_hash(html or '')}"
-                for token, n in counts.items():
-                    own = _hash(f"{key} {n}")
-                    for h in (host, EVERY) if token[0] != "=" else (host,):
-                        v = sums.get((h, token))
+            for host, row, page in zip(batch.column("_host").to_pylist(), batch.column("_row").to_pylist(), _pages_of(batch)):
+                counts: dict[tuple[int, int], int] = defaultdict(int)
+                first: dict[tuple[int, int], int] = {}
+                chars, info, own = held(page)
+                for k, (kind, path, text) in enumerate(zip(page.kinds, page.paths, page.texts)):
+                    if (t := token(kind, path, text)) is not None:
+                        counts[t, kind] += 1
+                        first.setdefault((t, kind), k)
+                found = [(t, kind, *(info[t] if kind == START else (0, 0)), n, first[t, kind], chars[t] if kind == START else (0, 0, 0)) for (t, kind), n in counts.items()]
+                found.append((0, -1, 0, 0, 1, 0, own))
+                marks: dict[int, int] = {}
+                for t, kind, bits, depth, n, place, size in found:
+                    mark = marks.get(n)
+                    if mark is None:
+                        mark = marks[n] = _hash(b"%d %d" % (row, n)) & _ONES
+                    for h in (host, EVERY) if kind != TEXT else (host,):
+                        v = sums.get((h, t, kind, bits, depth))
                         if v is None:
-                            v = sums[(h, token)] = [0, 0, 0, 0, 0, 0]
-                        v[0] += 1
-                        v[1] += n
-                        v[2] ^= own
-                        v[3] += first.get(token, 0)
-                        v[4] += chars[token]
-                        v[5] += kept[token]
+                            v = sums[h, t, kind, bits, depth] = [0] * len(_SUMS)
+                        for k, x in enumerate((1, n, mark & 0xFFFFFFFF, mark >> 32, place, *size)):
+                            v[k] += x
                 if len(sums) > _FLUSH:
                     yield flush()
         yield flush()
 
-    parts = map_batches(pages.select("_host", "page_id", "html"), work, schema)
-    total = [F.sum(c).alias(c) for c in ("pages", "n", "place", "chars", "kept")]
-    return saved(parts.groupBy("host", "token", "kind").agg(*total, F.bit_xor("vector").alias("vector"), F.first("path", ignorenulls=True).alias("path")).where("pages > 1 or path = ''"), "tokens")
+    schema = "host string, token long, kind int, bits int, depth int, " + ", ".join(f"{c} long" for c in _SUMS)
+    parts = map_batches(parsed.select("_host", "_row", *Page._fields), work, schema)
+    total = [F.sum(c).alias(c) for c in _SUMS]
+    return saved(parts.groupBy("host", "token", "kind", "bits", "depth").agg(*total).where("pages > 1 or kind = -1"), "tokens")
 
 
 def _spread_join(rows: DataFrame, table: DataFrame, key: str, spread: Column) -> DataFrame:
@@ -256,32 +343,46 @@ def _spread_join(rows: DataFrame, table: DataFrame, key: str, spread: Column) ->
 
 
 def _classes(statistics: DataFrame) -> DataFrame:
-    """Tokens in equivalence classes: host, token, class, place, chars, path and the host's numbers."""
-    hosts = statistics.where("path = ''").select("host", F.col("pages").alias("host_pages"), F.col("chars").alias("host_chars"))
-    frequent = _spread_join(statistics, hosts.where(F.col("host_pages") >= LEAST_PAGES), "host", F.col("token"))
+    """Tokens in equivalence classes, with their host's numbers."""
+    hosts = statistics.where("kind = -1").select("host", F.col("pages").alias("host_pages"), F.col("plain").alias("host_plain"), F.col("named").alias("host_named"))
+    frequent = _spread_join(statistics.where("kind >= 0"), hosts.where(F.col("host_pages") >= LEAST_PAGES), "host", F.col("token"))
     frequent = frequent.where(F.col("pages") >= F.col("host_pages") * SUPPORT)
     # A text is template only where it is on all pages: copies of an article may be on many.
-    frequent = frequent.where("kind <> '=' or pages = host_pages")
-    named = frequent.withColumn("class", F.xxhash64("pages", "n", "vector"))
+    frequent = frequent.where(f"kind <> {TEXT} or pages = host_pages")
+    named = frequent.withColumn("class", F.xxhash64("pages", "n", "low", "high"))
     sizes = named.groupBy("host", "class").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= LEAST_TOKENS)
     return saved(named.join(sizes, ["host", "class"]), "classes")
 
 
-def _templates(classes: DataFrame, only: DataFrame | None) -> DataFrame:
-    """host, tokens (hashes of its template in order), token classes and the main region's path."""
-    valid = classes if only is None else classes.join(only, ["host", "class"], "left_anti")
-    named = ~F.col("path").rlike(r"/(html|body)([.#][^/]*)?$") & F.col("path").rlike(rf"/(article|main)[^/]*$|/[^/]*[.#]([^/]*[^a-z])?({'|'.join(sorted(_MAIN_WORDS))})([^a-z][^/]*)?$")
-    meaning = F.when(named, 1).otherwise(0)
-    depth = F.size(F.split("path", "/"))
-    share = F.col("chars") / F.greatest(F.col("host_chars"), F.lit(1))
-    inside = F.col("path").isNotNull() & (F.col("path") != "") & (F.col("n") == F.col("pages"))
+def _templates(classes: DataFrame, invalid: DataFrame | None = None, hosts: DataFrame | None = None, slots: DataFrame | None = None) -> DataFrame:
+    """host, its template's tokens and their classes in order, the main region, and the elements whose names aren't believed.
+
+    With the results of ``_nested`` only valid classes are left, and the region
+    is chosen by characters in slots; where pages are copies of each other, by
+    all characters as before.
+    """
+    valid = classes if invalid is None else classes.join(invalid, ["host", "class"], "left_anti")
+    if hosts is not None:
+        valid = valid.join(hosts, "host", "left").where(f"kind <> {TEXT} or not coalesce(copies, false)").join(slots, ["host", "token"], "left")
+        counted = {c: F.when(F.col("copies"), F.col(c)).otherwise(F.coalesce(F.col(f"slot_{c}"), F.lit(0))).alias(c) for c in ("kept", "plain", "named", "host_plain", "host_named")}
+        valid = valid.select("host", "token", "class", "kind", "bits", "depth", "n", "pages", "place", *counted.values())
+    meaning = F.when(F.col("bits").bitwiseAND(F.lit(MAIN)) != 0, 1).otherwise(0)
+    any_named = F.col("host_named") > 0
+    share = F.when(any_named, F.col("named")).otherwise(F.col("plain")) / F.greatest(F.when(any_named, F.col("host_named")).otherwise(F.col("host_plain")), F.lit(1))
+    inside = (F.col("kind") == START) & (F.col("n") == F.col("pages")) & (F.col("bits").bitwiseAND(F.lit(OUT)) == 0)
     fits = inside & (share >= F.when(meaning == 1, NAMED_SHARE).otherwise(SHARE))
     # Of telling names the one with most text, deeper only if it holds the same; of others a tenth more or less tells nothing.
     most = F.when(meaning == 1, F.col("kept").cast("double")).otherwise(F.round(share, 1))
-    region = F.max(F.when(fits, F.struct(meaning.alias("m"), most.alias("s"), depth.alias("d"), "path")))
+    region = F.max(F.when(fits, F.struct(meaning.alias("m"), most.alias("s"), "depth", "token", "plain")))
     # At most twice the tokens of a page: each is on at least half of the host's pages.
     tokens = F.sort_array(F.collect_list(F.struct((F.col("place") / F.col("pages")).alias("at"), "token", "class")))
-    return valid.groupBy("host").agg(tokens.alias("t"), region["path"].alias("region")).select("host", F.col("t.token").alias("tokens"), F.col("t.class").alias("classes"), "region")
+    suspects = F.collect_list(F.when(F.col("bits").bitwiseAND(F.lit(OUT_NAME)) != 0, F.struct("token", "plain")))
+    of = valid.groupBy("host").agg(tokens.alias("t"), region.alias("r"), suspects.alias("s"))
+    doubted = F.transform(F.filter("s", lambda x: x["plain"] >= DOUBTED * F.coalesce(F.col("r.plain"), F.lit(1))), lambda x: x["token"])
+    return of.select("host", F.col("t.token").alias("tokens"), F.col("t.class").alias("classes"), F.col("r.token").alias("region"), doubted.alias("doubted"))
+
+
+_TEMPLATE = ("tokens", "classes", "region", "doubted")
 
 
 def _with_template(pages: DataFrame, templates: DataFrame) -> DataFrame:
@@ -291,121 +392,187 @@ def _with_template(pages: DataFrame, templates: DataFrame) -> DataFrame:
     if size <= BROADCAST_TOKENS:
         return pages.join(F.broadcast(table), "_host", "left")
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return pages.withColumn("_salt", F.pmod(F.hash("page_id", "url"), F.lit(SALTS))).join(copies, ["_host", "_salt"], "left").drop("_salt")
-
-
-def _disordered(pages: DataFrame, templates: DataFrame) -> DataFrame:
-    """(host, class) whose tokens stand in different orders: counted over all pages."""
-    schema = "host string, class long, pattern long, n long"
+    return pages.withColumn("_salt", F.pmod(F.hash("_row"), F.lit(SALTS))).join(copies, ["_host", "_salt"], "left").drop("_salt")
+
+
+class Template:
+    """Place of each token in its class, and the classes' lengths."""
+
+    def __init__(self, tokens: list[int] | None, classes: list[int] | None) -> None:
+        self.place: dict[int, tuple[int, int]] = {}
+        self.length: dict[int, int] = defaultdict(int)
+        for t, c in zip(tokens or (), classes or ()):
+            self.place[t] = c, self.length[c]
+            self.length[c] += 1
+
+    def fitted(self, page: Page) -> tuple[list[tuple[int, int] | None], dict[int, set], set[int]]:
+        """For each token the slot that it stands in: the class around it and the token of that class before it, None in no class; a token of the template has its own.
+
+        Also the slots in which each class occurs, and the classes that don't
+        nest: a token out of turn, or an occurrence that doesn't end within the
+        one around it.
+        """
+        slots, around, wrong = [], defaultdict(set), set()
+        stack: list[list[int]] = []  # class and next place of each open occurrence
+        for kind, path, text in zip(page.kinds, page.paths, page.texts):
+            at = self.place.get(t) if (t := token(kind, path, text)) is not None else None
+            if at is None or at[0] in wrong:
+                slots.append((stack[-1][0], stack[-1][1]) if stack else None)
+                continue
+            c, k = at
+            if k == 0 and not any(o[0] == c for o in stack):
+                around[c].add((stack[-1][0], stack[-1][1]) if stack else None)
+                stack.append([c, 0])
+            while stack and stack[-1][0] != c and any(o[0] == c for o in stack):
+                wrong.add(stack.pop()[0])  # it reaches beyond the gap that it began in
+            if not stack or stack[-1] != [c, k]:
+                wrong.add(c)
+                stack = [o for o in stack if o[0] != c]
+            else:
+                stack[-1][1] += 1
+                if stack[-1][1] == self.length[c]:
+                    stack.pop()
+            slots.append((c, k))
+        wrong.update(o[0] for o in stack)
+        return slots, around, wrong
+
+
+def _nested(parsed: DataFrame, templates: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written results over all pages: (host, class) that aren't valid; hosts, with their characters in slots and whether constant texts outweigh them; and elements with theirs."""
+    names, types = ["host", "class", "pattern", "n", "x", "y", "z"], [pa.string(), *[pa.int64()] * 6]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen: dict[tuple, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+        known: dict[str, Template] = {}
+
+        def count(key: tuple, *more: int) -> None:
+            for k, x in enumerate(more):
+                seen[key][k] += x
 
         def flush() -> pa.RecordBatch:
-            rows = [(*k, n) for k, n in seen.items()]
+            rows = [(*k, *v) for k, v in seen.items()]
             seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["host", "class", "pattern", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
 
         for batch in batches:
-            for host, html, tokens, classes in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if not tokens:
+            hosts, tokens, classes, regions = (batch.column(c).to_pylist() for c in ("_host", "tokens", "classes", "region"))
+            for host, own, of, region, page in zip(hosts, tokens, classes, regions, _pages_of(batch)):
+                if not own:
                     continue
-                of, order = dict(zip(tokens, classes)), defaultdict(list)
-                for token, _ in _tokens(list(steps(html))):
-                    if (c := of.get(h := _hash(token))) is not None and h not in order[c]:
-                        order[c].append(h)
-                for c, found in order.items():
-                    seen[(host, c, _hash(" ".join(map(str, found))))] += 1
+                if host not in known:
+                    if len(known) > 200:
+                        known.clear()
+                    known[host] = Template(own, of)
+                template = known[host]
+                _, around, wrong = template.fitted(page)
+                for c in around.keys() | wrong:
+                    pattern = 0 if c in wrong else _hash(repr(sorted(around[c], key=repr)).encode())
+                    count((host, c, pattern), 1, 0, 0, 0)
+                chars, _, every = held(page, template.place)
+                count((host, None, 0), 1, *every)
+                for path in chars.keys() & template.place.keys():
+                    count((host, path, None), 1, *chars[path])
+                if region in chars:
+                    count((host, None, 1), 1, held(page)[0][region].kept, chars[region].kept, 0)
                 if len(seen) > _FLUSH:
                     yield flush()
         yield flush()
 
-    patterns = map_batches(_with_template(pages, templates).select("_host", "html", "tokens", "classes"), work, schema)
-    per = patterns.groupBy("host", "class", "pattern").agg(F.sum("n").alias("n")).groupBy("host", "class").agg(F.max("n").alias("top"), F.sum("n").alias("all"))
-    return saved(per.where(F.col("top") < (1 - DISORDER) * F.col("all")).select("host", "class"), "disordered")
+    found = map_batches(_with_template(parsed.select("_host", "_row", *Page._fields), templates), work, "host string, class long, pattern long, n long, x long, y long, z long")
+    sums = saved(found.groupBy("host", "class", "pattern").agg(*(F.sum(c).alias(c) for c in ("n", "x", "y", "z"))), "patterns")
+    top = F.max(F.when(F.col("pattern") != 0, F.col("n")).otherwise(0))
+    per = sums.where("class is not null and pattern is not null").groupBy("host", "class").agg(top.alias("top"), F.sum("n").alias("all"))
+    invalid = saved(per.where(F.col("top") < (1 - DISORDER) * F.col("all")).select("host", "class"), "invalid")
+    copies = sums.where("class is null and pattern = 1").select("host", (F.col("x") >= 2 * F.col("y")).alias("copies"))
+    hosts = sums.where("class is null and pattern = 0").select("host", F.col("y").alias("slot_host_plain"), F.col("z").alias("slot_host_named")).join(copies, "host", "left")
+    slots = sums.where("class is not null and pattern is null").select("host", F.col("class").alias("token"), F.col("x").alias("slot_kept"), F.col("y").alias("slot_plain"), F.col("z").alias("slot_named"))
+    return invalid, hosts, slots
 
 
-def _own_region(page: list[Step]) -> str | None:
+# -- extraction --------------------------------------------------------------
+
+
+def _own_region(page: Page, chars: dict[int, Held], info: dict[int, tuple[int, int]], own: Held) -> int | None:
     """The region of a page by its own elements: the first of the best meaning and share; of named ones the deepest that holds most text."""
-    chars, kept, starts, total = Counter(), Counter(), {}, 0
-    for k, s in enumerate(page):
-        if s.kind == "start" and not s.out:
-            starts.setdefault(s.path, k)
-        elif s.kind == "text" and not s.out and not s.text.isspace():
-            size, path = len(s.text), s.path
-            total += 0 if s.link else size
-            while path:
-                kept[path] += size
-                chars[path] += 0 if s.link else size
-                path = path.rpartition("/")[0]
     best = None
-    for path in starts:
-        label = path.rpartition("/")[2]
-        tag, _, names = re.match(r"([a-z0-9]+)([.#])?(.*)", label).groups() if re.match(r"[a-z0-9]+", label) else ("", "", "")
-        named = tag in ("article", "main") or tag not in ("html", "body") and bool(set(_WORDS.findall(names)) & _MAIN_WORDS)
-        share = chars[path] / max(1, total)
-        if share >= (NAMED_SHARE if named else SHARE):
-            rank = (named, kept[path] if named else round(share, 1), path.count("/"))
-            best = max(best, (rank, path)) if best else (rank, path)
+    for path, (bits, depth) in info.items():
+        if bits & OUT:
+            continue
+        x, main = chars[path], bool(bits & MAIN)
+        share = x.named / own.named if own.named else x.plain / max(1, own.plain)
+        if share >= (NAMED_SHARE if main else SHARE):
+            rank = (main, x.kept if main else round(share, 1), depth)
+            if best is None or rank > best[0]:
+                best = rank, path
     return best[1] if best else None
 
 
-def extract(html: str | None, template: frozenset[int] = frozenset(), region: str | None = None, fallback: str | None = None) -> str:
-    """Blocks of the main region outside of what isn't main text, joined by newlines."""
-    page = list(steps(html))
-    paths = {s.path for s in page if s.kind == "start"}
-    region = next((r for r in (region, fallback) if r in paths), None) or _own_region(page) or ""
-    kept = _blocks(page, region, frozenset())
-    if template:
-        without = _blocks(page, region, template)
-        if 2 * len(without) >= len(kept):  # else the page is a copy and its text is no template
-            kept = without
-    return kept
+def extract(html: str | None, template: Template | None = None, region: int | None = None, fallback: int | None = None, doubted: frozenset[int] = frozenset()) -> str:
+    """Texts in the slots of the main region, its blocks joined by newlines."""
+    return _extracted(parse(html), template, region, fallback, doubted)
 
 
-def _blocks(page: list[Step], region: str, template: frozenset[int]) -> str:
-    blocks, held = [], []
+def _extracted(page: Page, template: Template | None, region: int | None, fallback: int | None, doubted: frozenset[int]) -> str:
+    chars, info, own = held(page)
+    chosen = next((r for r in (region, fallback) if r in info), None)
+    if chosen is None:
+        chosen = _own_region(page, chars, info, own)
+    if chosen is None or chosen != region:  # names are judged by the page itself
+        whole = chars[chosen].plain if chosen is not None else own.plain
+        doubted = frozenset(p for p, (bits, _) in info.items() if bits & OUT_NAME and chars[p].plain >= DOUBTED * max(1, whole))
+    slots = template.fitted(page)[0] if template is not None and template.place else None
+    blocks, words, inside, out = [], [], 0, 0
 
     def flush() -> None:
-        if words := " ".join("".join(held).split()):
-            blocks.append(words)
-        held.clear()
-
-    for s in page:
-        if s.path != region and not s.path.startswith(region + "/"):
-            continue
-        if s.kind == "text":
-            if not s.out and not (template and _hash(f"={s.path}\0{s.text.strip()}") in template):
-                held.append(s.text)
-        elif s.tag in _BLOCK:
-            flush()
-        elif s.kind == "br" or s.tag in ("td", "th", "option"):
-            held.append(" ")
+        if text := " ".join("".join(words).split()):
+            blocks.append(text)
+        words.clear()
+
+    for k, (kind, path, text, bits) in enumerate(zip(*page)):
+        if kind == START and path == chosen:
+            inside += 1
+        elif kind == START and (inside or chosen is None):
+            out += bool(bits & OUT) or bool(bits & OUT_NAME) and path not in doubted
+        if inside or chosen is None:
+            if kind == TEXT:
+                constant = slots is not None and slots[k] is not None and template.place.get(token(kind, path, text)) == slots[k]
+                if not out and not constant:
+                    words.append(text)
+            elif bits & BLOCK:
+                flush()
+            elif kind == BREAK or bits & CELL:
+                words.append(" ")
+        if kind == END and path == chosen:
+            inside -= 1
+        elif kind == END and (inside or chosen is None):
+            out -= bool(bits & OUT) or bool(bits & OUT_NAME) and path not in doubted
     flush()
     return "\n".join(blocks)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each page (columns page_id, url, html)."""
-    rows = pages.select("page_id", "url", "html").withColumn("_host", host_of(F.col("url")))
-    classes = _classes(_statistics(rows))
-    drafts = saved(_templates(classes, None), "drafts")
-    templates = saved(_templates(classes, _disordered(rows, drafts)), "templates")
-    every = templates.where(F.col("host") == EVERY).select("region").first()  # one row
+    parsed = _parsed(pages.select("page_id", "url", "html").withColumn("_host", host_of(F.col("url"))))
+    statistics = _statistics(parsed)
+    classes = _classes(statistics)
+    drafts = saved(_templates(classes), "drafts")
+    templates = saved(_templates(classes.where(F.col("host") != EVERY), *_nested(parsed, drafts.where(F.col("host") != EVERY))), "templates")
+    every = drafts.where(F.col("host") == EVERY).select("region").first()  # one row
     fallback = every["region"] if every else None
     schema = f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, n_chars long"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, frozenset[int]] = {}
+        known: dict[str, tuple[Template, frozenset[int]]] = {}
         for batch in batches:
             texts = []
-            for host, html, tokens, region in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
+            hosts, tokens, classes, regions, doubts = (batch.column(c).to_pylist() for c in ("_host", *_TEMPLATE))
+            for host, own, of, region, doubted, page in zip(hosts, tokens, classes, regions, doubts, _pages_of(batch)):
                 if host not in known:
-                    if len(known) > 1000:
+                    if len(known) > 200:
                         known.clear()
-                    known[host] = frozenset(tokens or ())
-                texts.append(extract(html, known[host], region, fallback))
+                    known[host] = Template(own, of), frozenset(doubted or ())
+                texts.append(_extracted(page, known[host][0], region, fallback, known[host][1]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    joined = _with_template(rows, templates.where(F.col("host") != EVERY))
-    return map_batches(joined.select("page_id", "url", "_host", "html", "tokens", "region"), work, schema)
+    joined = _with_template(parsed, templates)
+    return map_batches(joined.select("page_id", "url", "_host", *Page._fields, *_TEMPLATE), work, schema)
