@@ -104,12 +104,13 @@ _END_MARK, _VOID_MARK = 0x5DEECE66D2F1B3C7, 0x2545F4914F6CDD1D
 
 
 class Page(NamedTuple):
-    """Tokens in order: kind, path (a hash of the labels down to the element), text, bits of the element."""
+    """Tokens in order: kind, path (a hash of the labels down to the element), text, bits of the element, number (none for blanks)."""
 
     kinds: list[int]
     paths: list[int]
     texts: list[str]
     bits: list[int]
+    tokens: list[int | None]
 
 
 def _signed(n: int) -> int:
@@ -150,7 +151,7 @@ def _described(tag: str, attributes: str) -> tuple[str, int]:
 def parse(html: str | None) -> Page:
     """Tokens of a page in order, with the ends that html leaves out."""
     text, at = html or "", 0
-    page = Page([], [], [], [])
+    page = Page([], [], [], [], [])
     stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, path, bits
     open_tags: dict[str, int] = defaultdict(int)
 
@@ -159,6 +160,7 @@ def parse(html: str | None) -> Page:
         page.paths.append(path)
         page.texts.append(words)
         page.bits.append(bits)
+        page.tokens.append(token(kind, path, words))
 
     def close(k: int) -> None:
         while len(stack) > k:
@@ -239,7 +241,7 @@ def held(page: Page, constant: Container[int] = ()) -> tuple[dict[int, Held], di
     """Characters by path, (bits, depth) by path, and the page's own, in one pass over a stack of running sums; ``constant`` tokens don't count."""
     sums, info, stack = {}, {}, []
     kept = plain = named = out = out_name = link = 0
-    for kind, path, text, bits in zip(*page):
+    for kind, path, text, bits, number in zip(*page):
         if kind == START:
             stack.append((kept, plain, named))
             out, out_name, link = out + bool(bits & OUT), out_name + bool(bits & OUT_NAME), link + bool(bits & LINK)
@@ -250,7 +252,7 @@ def held(page: Page, constant: Container[int] = ()) -> tuple[dict[int, Held], di
             a, b, c = stack.pop()
             x = sums.get(path, Held(0, 0, 0))
             sums[path] = Held(x.kept + kept - a, x.plain + plain - b, x.named + named - c)
-        elif kind == TEXT and not out and not text.isspace() and not (constant and token(kind, path, text) in constant):
+        elif kind == TEXT and not out and not text.isspace() and not (constant and number in constant):
             size = len(text)
             kept += size
             if not link:
@@ -266,8 +268,8 @@ def host_of(url: Column) -> Column:
 
 # -- classes -----------------------------------------------------------------
 
-_PAGE = "kinds array<tinyint>, paths array<bigint>, texts array<string>, bits array<tinyint>"
-_PAGE_TYPES = (pa.list_(pa.int8()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int8()))
+_PAGE = "kinds array<tinyint>, paths array<bigint>, texts array<string>, bits array<tinyint>, tokens array<bigint>"
+_PAGE_TYPES = (pa.list_(pa.int8()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int8()), pa.list_(pa.int64()))
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
@@ -277,7 +279,7 @@ def _parsed(pages: DataFrame) -> DataFrame:
         for batch in batches:
             done = [parse(x) for x in batch.column(3).to_pylist()]
             columns = [pa.array([p[k] for p in done], t) for k, t in enumerate(_PAGE_TYPES)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], ["page_id", "url", "_host", "kinds", "paths", "texts", "bits"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], ["page_id", "url", "_host", *Page._fields])
 
     kind = dict(pages.dtypes)["page_id"]
     parsed = map_batches(pages.select("page_id", "url", "_host", "html"), work, f"page_id {kind}, url string, _host string, {_PAGE}")
@@ -309,8 +311,8 @@ def _statistics(parsed: DataFrame) -> DataFrame:
                 counts: dict[tuple[int, int], int] = defaultdict(int)
                 first: dict[tuple[int, int], int] = {}
                 chars, info, own = held(page)
-                for k, (kind, path, text) in enumerate(zip(page.kinds, page.paths, page.texts)):
-                    if (t := token(kind, path, text)) is not None:
+                for k, (kind, t) in enumerate(zip(page.kinds, page.tokens)):
+                    if t is not None:
                         counts[t, kind] += 1
                         first.setdefault((t, kind), k)
                 found = [(t, kind, *(info[t] if kind == START else (0, 0)), n, first[t, kind], chars[t] if kind == START else (0, 0, 0)) for (t, kind), n in counts.items()]
@@ -373,21 +375,21 @@ def _templates(classes: DataFrame, invalid: DataFrame | None = None, hosts: Data
     fits = inside & (share >= F.when(meaning == 1, NAMED_SHARE).otherwise(SHARE))
     # Of telling names the one with most text, deeper only if it holds the same; of others a tenth more or less tells nothing.
     most = F.when(meaning == 1, F.col("kept").cast("double")).otherwise(F.round(share, 1))
-    region = F.max(F.when(fits, F.struct(meaning.alias("m"), most.alias("s"), "depth", "token", "plain")))
+    region = F.max(F.when(fits, F.struct(meaning.alias("m"), most.alias("s"), "depth", "token", "plain", "kept")))
     # At most twice the tokens of a page: each is on at least half of the host's pages.
     tokens = F.sort_array(F.collect_list(F.struct((F.col("place") / F.col("pages")).alias("at"), "token", "class")))
     suspects = F.collect_list(F.when(F.col("bits").bitwiseAND(F.lit(OUT_NAME)) != 0, F.struct("token", "plain")))
     of = valid.groupBy("host").agg(tokens.alias("t"), region.alias("r"), suspects.alias("s"))
     doubted = F.transform(F.filter("s", lambda x: x["plain"] >= DOUBTED * F.coalesce(F.col("r.plain"), F.lit(1))), lambda x: x["token"])
-    return of.select("host", F.col("t.token").alias("tokens"), F.col("t.class").alias("classes"), F.col("r.token").alias("region"), doubted.alias("doubted"))
+    return of.select("host", F.col("t.token").alias("marks"), F.col("t.class").alias("classes"), F.col("r.token").alias("region"), doubted.alias("doubted"), F.col("r.kept").alias("region_kept"))
 
 
-_TEMPLATE = ("tokens", "classes", "region", "doubted")
+_TEMPLATE = ("marks", "classes", "region", "doubted")
 
 
 def _with_template(pages: DataFrame, templates: DataFrame) -> DataFrame:
     """Pages with their host's template: broadcast where its size is bounded, else by a salted join."""
-    size = templates.agg(F.coalesce(F.sum(F.size("tokens") + 8), F.lit(0))).first()[0]
+    size = templates.agg(F.coalesce(F.sum(F.size("marks") + 8), F.lit(0))).first()[0]
     table = templates.withColumnRenamed("host", "_host")
     if size <= BROADCAST_TOKENS:
         return pages.join(F.broadcast(table), "_host", "left")
@@ -414,8 +416,8 @@ class Template:
         """
         slots, around, wrong = [], defaultdict(set), set()
         stack: list[list[int]] = []  # class and next place of each open occurrence
-        for kind, path, text in zip(page.kinds, page.paths, page.texts):
-            at = self.place.get(t) if (t := token(kind, path, text)) is not None else None
+        for t in page.tokens:
+            at = self.place.get(t)
             if at is None or at[0] in wrong:
                 slots.append((stack[-1][0], stack[-1][1]) if stack else None)
                 continue
@@ -455,8 +457,8 @@ def _nested(parsed: DataFrame, templates: DataFrame) -> tuple[DataFrame, DataFra
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
 
         for batch in batches:
-            hosts, tokens, classes, regions = (batch.column(c).to_pylist() for c in ("_host", "tokens", "classes", "region"))
-            for host, own, of, region, page in zip(hosts, tokens, classes, regions, _pages_of(batch)):
+            hosts, marks, classes = (batch.column(c).to_pylist() for c in ("_host", "marks", "classes"))
+            for host, own, of, page in zip(hosts, marks, classes, _pages_of(batch)):
                 if not own:
                     continue
                 if host not in known:
@@ -472,8 +474,6 @@ def _nested(parsed: DataFrame, templates: DataFrame) -> tuple[DataFrame, DataFra
                 count((host, None, 0), 1, *every)
                 for path in chars.keys() & template.place.keys():
                     count((host, path, None), 1, *chars[path])
-                if region in chars:
-                    count((host, None, 1), 1, held(page)[0][region].kept, chars[region].kept, 0)
                 if len(seen) > _FLUSH:
                     yield flush()
         yield flush()
@@ -483,9 +483,9 @@ def _nested(parsed: DataFrame, templates: DataFrame) -> tuple[DataFrame, DataFra
     top = F.max(F.when(F.col("pattern") != 0, F.col("n")).otherwise(0))
     per = sums.where("class is not null and pattern is not null").groupBy("host", "class").agg(top.alias("top"), F.sum("n").alias("all"))
     invalid = saved(per.where(F.col("top") < (1 - DISORDER) * F.col("all")).select("host", "class"), "invalid")
-    copies = sums.where("class is null and pattern = 1").select("host", (F.col("x") >= 2 * F.col("y")).alias("copies"))
-    hosts = sums.where("class is null and pattern = 0").select("host", F.col("y").alias("slot_host_plain"), F.col("z").alias("slot_host_named")).join(copies, "host", "left")
     slots = sums.where("class is not null and pattern is null").select("host", F.col("class").alias("token"), F.col("x").alias("slot_kept"), F.col("y").alias("slot_plain"), F.col("z").alias("slot_named"))
+    copies = templates.join(slots, (templates["host"] == slots["host"]) & (F.col("region") == F.col("token"))).select(templates["host"], (F.col("region_kept") >= 2 * F.col("slot_kept")).alias("copies"))
+    hosts = sums.where("class is null and pattern = 0").select("host", F.col("y").alias("slot_host_plain"), F.col("z").alias("slot_host_named")).join(copies, "host", "left")
     return invalid, hosts, slots
 
 
@@ -528,14 +528,14 @@ def _extracted(page: Page, template: Template | None, region: int | None, fallba
             blocks.append(text)
         words.clear()
 
-    for k, (kind, path, text, bits) in enumerate(zip(*page)):
+    for k, (kind, path, text, bits, number) in enumerate(zip(*page)):
         if kind == START and path == chosen:
             inside += 1
         elif kind == START and (inside or chosen is None):
             out += bool(bits & OUT) or bool(bits & OUT_NAME) and path not in doubted
         if inside or chosen is None:
             if kind == TEXT:
-                constant = slots is not None and slots[k] is not None and template.place.get(token(kind, path, text)) == slots[k]
+                constant = slots is not None and slots[k] is not None and template.place.get(number) == slots[k]
                 if not out and not constant:
                     words.append(text)
             elif bits & BLOCK:
@@ -565,8 +565,8 @@ def main_text(pages: DataFrame) -> DataFrame:
         known: dict[str, tuple[Template, frozenset[int]]] = {}
         for batch in batches:
             texts = []
-            hosts, tokens, classes, regions, doubts = (batch.column(c).to_pylist() for c in ("_host", *_TEMPLATE))
-            for host, own, of, region, doubted, page in zip(hosts, tokens, classes, regions, doubts, _pages_of(batch)):
+            hosts, marks, classes, regions, doubts = (batch.column(c).to_pylist() for c in ("_host", *_TEMPLATE))
+            for host, own, of, region, doubted, page in zip(hosts, marks, classes, regions, doubts, _pages_of(batch)):
                 if host not in known:
                     if len(known) > 200:
                         known.clear()
