@@ -14,6 +14,7 @@ from entigraph.operators import constraints, graph, migration, search, security,
 from entigraph.plans import ir, language
 from entigraph.plans.ir import Aggregate, AggregateQuery, And, In, Like, Null, Or, Order, contains, ends_with, eq, ge, gt, le, lt, ne, starts_with
 from entigraph.plans.workspace import fresh_path
+from entigraph.sources import sinks
 from entigraph.sources.tables import SCHEMA, engine, load
 from entigraph.streaming import changes
 
@@ -303,13 +304,13 @@ _add("text_match_stemmed", _text(ir.TextMatch("text", "license licensed works"))
 _add("text_tokens", lambda spark, d: load(spark, d, "documents").select("doc_id", F.explode(text.tokens(F.col("text"))).alias("token")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("token").alias("words")), f"SELECT doc_id, count(*) AS n, count(DISTINCT w) AS words FROM (SELECT doc_id, unnest(t) AS w FROM {_TERMS}) GROUP BY 1")
 _add(
     "text_postings",
-    lambda spark, d: search.postings(load(spark, d, "benchmark"), "text", ("item_id",), "precise"),
-    r"WITH t AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: strlen(t) >= 2) AS t FROM benchmark), p AS (SELECT item_id, len(t) AS length, unnest(t) AS term, unnest(range(0, len(t))) AS position FROM t) SELECT term, item_id, CAST(length AS INT) AS length, count(*) AS tf, CAST(min(position) AS INT) AS first_position FROM p GROUP BY 1, 2, 3",
+    lambda spark, d: search.postings(load(spark, d, "documents"), "text", ("doc_id",), "precise"),
+    r"WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: strlen(t) >= 2) AS t FROM documents), p AS (SELECT doc_id, len(t) AS length, unnest(t) AS term, unnest(range(0, len(t))) AS position FROM t) SELECT term, doc_id, CAST(length AS INT) AS length, count(*) AS tf, CAST(min(position) AS INT) AS first_position FROM p GROUP BY 1, 2, 3",
 )
 _add(
     "text_idf",
-    lambda spark, d: search.term_idf(load(spark, d, "documents"), "text", "precise").where("df >= 20").withColumn("idf", F.round("idf", 4)),
-    f"WITH {_STATS}, w AS (SELECT DISTINCT doc_id, unnest(t) AS term FROM {_TERMS}) SELECT term, count(*) AS df, round(ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5) + 1), 4) AS idf FROM w, s GROUP BY term HAVING count(*) >= 20",
+    lambda spark, d: search.term_idf(load(spark, d, "documents"), "text", "precise").withColumn("idf", F.round("idf", 4)),
+    f"WITH {_STATS}, w AS (SELECT DISTINCT doc_id, unnest(t) AS term FROM {_TERMS}) SELECT term, count(*) AS df, round(ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5) + 1), 4) AS idf FROM w, s GROUP BY term",
 )
 
 # -- query language ----------------------------------------------------------
@@ -403,32 +404,34 @@ _add(
     lambda spark, d: store.compacted(_history(spark, d), ("id",), 3, 900, 990),
     f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY version_ts DESC) AS r FROM {_HISTORY}) SELECT id, event_type, value, version_ts, deleted FROM r WHERE (r <= 3 OR version_ts >= 900) AND id NOT IN (SELECT id FROM r WHERE r = 1 AND deleted AND version_ts < 990)",
 )
-_VIEW = "(SELECT c_custkey, c_mktsegment, c_acctbal FROM customer WHERE c_custkey < 100)"
+_VIEW = "(SELECT c_custkey, c_mktsegment, c_acctbal FROM customer)"
 
 
 def _view(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "customer").where("c_custkey < 100").select("c_custkey", "c_mktsegment", "c_acctbal")
-
-
-def _patch(spark: SparkSession) -> DataFrame:
-    return spark.range(90, 110).select(F.col("id").alias("c_custkey"), F.lit("MOVED").alias("c_mktsegment"))
+    return load(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
 
 
+def _patch(spark: SparkSession, d: str) -> DataFrame:
+    """One segment moved, rows of another as they are, and new rows."""
+    rows, key = _view(spark, d), F.col("c_custkey")
+    moved = rows.where("c_mktsegment = 'MACHINERY'").select(key, F.lit("MOVED").alias("c_mktsegment"))
+    same = rows.where("c_mktsegment = 'BUILDING' and c_acctbal < 0").select(key, "c_mktsegment")
+    return moved.unionByName(same).unionByName(rows.where("c_acctbal > 9000").select((key + 1_000_000_000_000).alias("c_custkey"), F.lit("NEW").alias("c_mktsegment")))
 
 
 def _now() -> Column:
     return F.lit(7).cast("long")
 
 
-_PATCH = "(SELECT range AS c_custkey, 'MOVED' AS c_mktsegment FROM range(90, 110))"
+_PATCH = "(SELECT c_custkey, CASE c_mktsegment WHEN 'MACHINERY' THEN 'MOVED' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_mktsegment = 'MACHINERY' OR (c_mktsegment = 'BUILDING' AND c_acctbal < 0) UNION ALL SELECT c_custkey + 1000000000000, 'NEW' FROM customer WHERE c_acctbal > 9000)"
 _STAMP = "CAST(7 AS BIGINT) AS version_ts"
 _add("apply_inserts", lambda spark, d: store.inserted(_view(spark, d), _now()), f"SELECT *, {_STAMP}, false AS deleted FROM {_VIEW}")
-_add("apply_updates", lambda spark, d: store.updated(_view(spark, d), _patch(spark), ("c_custkey",), _now()), f"SELECT c_custkey, p.c_mktsegment, c_acctbal, {_STAMP}, false AS deleted FROM {_VIEW} JOIN {_PATCH} p USING (c_custkey)")
-_add("apply_deletes", lambda spark, d: store.deleted(_view(spark, d), _patch(spark), ("c_custkey",), _now()), f"SELECT *, {_STAMP}, true AS deleted FROM {_VIEW} WHERE c_custkey IN (SELECT c_custkey FROM {_PATCH})")
-_add("apply_upserts", lambda spark, d: store.upserted(_view(spark, d), _patch(spark), ("c_custkey",), _now()), f"SELECT c_custkey, p.c_mktsegment, c_acctbal, {_STAMP}, false AS deleted FROM {_PATCH} p LEFT JOIN {_VIEW} USING (c_custkey)")
+_add("apply_updates", lambda spark, d: store.updated(_view(spark, d), _patch(spark, d), ("c_custkey",), _now()), f"SELECT c_custkey, p.c_mktsegment, c_acctbal, {_STAMP}, false AS deleted FROM {_VIEW} JOIN {_PATCH} p USING (c_custkey)")
+_add("apply_deletes", lambda spark, d: store.deleted(_view(spark, d), _patch(spark, d), ("c_custkey",), _now()), f"SELECT *, {_STAMP}, true AS deleted FROM {_VIEW} WHERE c_custkey IN (SELECT c_custkey FROM {_PATCH})")
+_add("apply_upserts", lambda spark, d: store.upserted(_view(spark, d), _patch(spark, d), ("c_custkey",), _now()), f"SELECT c_custkey, p.c_mktsegment, c_acctbal, {_STAMP}, false AS deleted FROM {_PATCH} p LEFT JOIN {_VIEW} USING (c_custkey)")
 _add("update_where", lambda spark, d: store.updated_where(_view(spark, d), lt("c_acctbal", 0), {"c_acctbal": F.lit(0.0)}, _now()), f"SELECT c_custkey, c_mktsegment, CAST(0 AS DOUBLE) AS c_acctbal, {_STAMP}, false AS deleted FROM {_VIEW} WHERE c_acctbal < 0")
 _add("delete_where", lambda spark, d: store.deleted_where(_view(spark, d), eq("c_mktsegment", "BUILDING"), _now()), f"SELECT *, {_STAMP}, true AS deleted FROM {_VIEW} WHERE c_mktsegment = 'BUILDING'")
-_add("changed_fields", lambda spark, d: store.changed_fields(_view(spark, d), _patch(spark), ("c_custkey",)).select("c_custkey", F.array_join("changed", ",").alias("changed")), f"SELECT c_custkey, CASE WHEN c_mktsegment = 'MOVED' THEN '' ELSE 'c_mktsegment' END AS changed FROM {_VIEW} WHERE c_custkey >= 90")
+_add("changed_fields", lambda spark, d: store.changed_fields(_view(spark, d), _patch(spark, d), ("c_custkey",)).select("c_custkey", F.array_join("changed", ",").alias("changed")), f"SELECT c_custkey, CASE WHEN v.c_mktsegment = p.c_mktsegment THEN '' ELSE 'c_mktsegment' END AS changed FROM {_VIEW} v JOIN {_PATCH} p USING (c_custkey)")
 _add("check_unique", lambda spark, d: constraints.unique_violations(load(spark, d, "lineitem"), ("l_orderkey", "l_linenumber")), "SELECT l_orderkey, l_linenumber, count(*) AS rows FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 _add("check_foreign_key", lambda spark, d: constraints.foreign_key_violations(load(spark, d, "orders").select("o_orderkey", "o_custkey"), ("o_custkey",), load(spark, d, "customer").where("c_custkey >= 10"), ("c_custkey",)), "SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey >= 10)")
 _add("check_expression", lambda spark, d: constraints.check_violations(load(spark, d, "part").select("p_partkey", "p_size", "p_type"), "p_size >= 5 AND (p_type IN ('PROMO', 'SMALL') OR NOT p_size > 40)"), "SELECT p_partkey, p_size, p_type FROM part WHERE NOT (p_size >= 5 AND (p_type IN ('PROMO', 'SMALL') OR NOT p_size > 40))")
@@ -451,14 +454,79 @@ def set_null_delete(spark: SparkSession, d: str) -> DataFrame:
     return constraints.nulled(gone, SCHEMA.relation("Nation", "suppliers"), load(spark, d, "supplier")).select("s_suppkey", "s_nationkey")
 
 
-@_query("SELECT c_custkey, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey < 20 GROUP BY 1")
+@_query("SELECT c_custkey, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_acctbal < 0 GROUP BY 1")
 def restrict_delete(spark: SparkSession, d: str) -> DataFrame:
     """Rows that a restricting relation keeps from being deleted."""
-    doomed = load(spark, d, "customer").where("c_custkey < 20")
+    doomed = load(spark, d, "customer").where("c_acctbal < 0")
     held = constraints.referring(doomed, SCHEMA.relation("Customer", "orders"), load(spark, d, "orders"))
     return held.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"))
 
 
+# -- operators that give tables of few rows, sinks and transactions -----------
+
+
+def _values(columns: str, rows: list[tuple]) -> str:
+    said = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(said, r)) + ')' for r in rows)}) t({columns})"
+
+
+@_query(_values("tier, depth, entities, edges", [("default", 5, 10000, 50000), ("anonymous", 2, 100, 500), ("authenticated", 5, 10000, 50000), ("privileged", 10, 100000, 500000), ("admin", 20, 1000000, 5000000)]))
+def budget_tiers(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(name, b.depth, b.entities, b.edges) for name, b in security.BUDGETS.items()], "tier string, depth int, entities int, edges int")
+
+
+@_query("SELECT n_name, n_name LIKE 'NATION\\_1%' ESCAPE '\\' OR n_name = 'NATION_5' AS readable FROM nation")
+def capability_scopes(spark: SparkSession, d: str) -> DataFrame:
+    """Which names two capabilities cover."""
+    own = [security.Capability.parse(x) for x in ("read:NATION_1*", "read:NATION_5")]
+    names = load(spark, d, "nation").select("n_name")
+    covered = [F.col("n_name").startswith(c.scope[:-1]) if c.scope.endswith("*") else F.col("n_name") == c.scope for c in own]
+    return names.select("n_name", (covered[0] | covered[1]).alias("readable"))
+
+
+@_query(f"SELECT * FROM ({_newest(_HISTORY)}) WHERE event_type <> 'click'")
+def transaction_view(spark: SparkSession, d: str) -> DataFrame:
+    """What a transaction sees after it has deleted all rows of one type."""
+    own = store.Transaction(_history(spark, d), ("id",))
+    seen = own.view()
+    own.delete(seen.where("event_type = 'click'").select("id"), F.lit(10**15).cast("long"))
+    return own.view()
+
+
+def _reread(kind: str) -> Run:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        found, folder = language.run(engine(spark, d), "Customer.findMany().where(c_acctbal > 0)"), fresh_path(spark, f"sink-{kind}")
+        sinks.write_result(found, folder, kind)
+        reader = spark.read.schema(found.root.schema)
+        return reader.csv(f"{folder}/root", header=True) if kind == "csv" else getattr(reader, kind)(f"{folder}/root")
+
+    return run
+
+
+for _kind in ("parquet", "json", "csv"):
+    _add(f"sink_{_kind}", _reread(_kind), "SELECT * FROM customer WHERE c_acctbal > 0")
+
+
+@_query("SELECT * FROM supplier")
+def backup_and_restore(spark: SparkSession, d: str) -> DataFrame:
+    folder = fresh_path(spark, "backup")
+    sinks.backup({"supplier": load(spark, d, "supplier")}, folder, 7)
+    return sinks.restore(spark, folder, "supplier", 7)
+
+
+_add("dsl_repeated_where", _said('Customer.findMany().where(c_acctbal > 5000.0).where(c_mktsegment == "BUILDING")'), "SELECT * FROM customer WHERE c_acctbal > 5000 AND c_mktsegment = 'BUILDING'")
+_add("dsl_offset", _said("Nation.findMany().orderBy(n_name.asc).offset(20)"), "SELECT * FROM nation ORDER BY n_name, n_nationkey OFFSET 20")
+
+
+@_query(_values("what, place, grade", [("entity_removed", "Region", "D"), ("relation_removed", "Region.nations", "D"), ("field_added", "Nation.n_code", "A")]))
+def schema_diff(spark: SparkSession, d: str) -> DataFrame:
+    """Changes between two schemas, and their grades."""
+    nation = SCHEMA.entity("Nation")
+    old = replace(SCHEMA, entities={n: SCHEMA.entities[n] for n in ("Region", "Nation")}, relations={k: r for k, r in SCHEMA.relations.items() if k == ("Region", "nations")}, constraints=())
+    new = replace(old, entities={"Nation": replace(nation, fields=(*nation.fields, replace(nation.field("n_name"), name="n_code", required=False, default=None)))}, relations={})
+    return spark.createDataFrame([(c.what, c.where, migration.grade(c, new)) for c in migration.diff(old, new)], "what string, place string, grade string")
+
+
 # -- changes -----------------------------------------------------------------
 
 _LOG = "(SELECT event_id + 1 AS lsn, event_type AS entity, user_id AS id, CASE event_id % 5 WHEN 0 THEN 'delete' WHEN 1 THEN 'insert' ELSE 'update' END AS op, value FROM events)"

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import functools
-import re
 from dataclasses import dataclass
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,8 +46,8 @@ def tokens(text: Column) -> Column:
 
 
 def token_list(text: str) -> list[str]:
-    """The same for a query on the driver."""
-    return [t for t in re.split(r"[\W_]+", text.lower()) if len(t.encode()) >= 2]
+    """The same for a query on the driver, by the same classes of characters."""
+    return [t for t in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if len(t.encode()) >= 2]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
