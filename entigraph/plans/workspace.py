@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 SETTING = "spark.checkpoint.dir"
 WAREHOUSE = "spark.sql.warehouse.dir"
 _PATH = "_entigraph_path"
+#: Files of a table whose rows are bounded: so many rows each, and so many files at least.
+ROWS_PER_FILE, LEAST_FILES = 100_000, 16
 
 
 def root(spark: SparkSession) -> str:
@@ -28,10 +30,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return the written table: same rows, no lineage."""
+def saved(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` once and return the written table: same rows, no lineage.
+
+    With ``rows``, a bound of its rows, the table gets no more files than that
+    needs, however many shuffle partitions the session asks for.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(max(LEAST_FILES, -(-rows // ROWS_PER_FILE)))
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     setattr(table, _PATH, path)
