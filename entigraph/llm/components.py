@@ -73,7 +73,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         joined = large.join(least, "u")
         small = joined.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         used, before = found, state
-        found, state = _written(small.distinct())
+        found, state = _written(small.distinct(), 2 * state[0])
         removed(used)
         if state == before:
             break
@@ -83,8 +83,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     return found.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _written(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
-    """The written edges, their number and a digest of them, observed while they are written."""
+def _written(edges: DataFrame, rows: int | None = None) -> tuple[DataFrame, tuple[int, int]]:
+    """The written edges, their number and a digest of them, observed while they are written; at most ``rows``, if that is known."""
     seen = Observation()
-    table = saved(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x")), "edges")
+    table = saved(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x")), "edges", rows)
     return table, (seen.get["n"], seen.get["x"])

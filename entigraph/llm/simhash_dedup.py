@@ -577,11 +577,11 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, m
     found = probed_links(nodes, probes, CHECK_WORDS, most, max_run, tight)
     links = saved(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance").groupBy("a", "b").agg(F.min("distance").alias("distance")), "candidates")
     removed(found)
-    groups = saved(_similar_components(docs, rows, nodes, links, shingle, similarity, key, text, block), "groups")
+    groups = saved(_similar_components(docs, rows, nodes, n, links, shingle, similarity, key, text, block), "groups", n)
     linked = nodes.join(groups.withColumnRenamed("node", "id"), "id", "left").where("n > 1 or component is not null")
-    linked = saved(linked.select("node", "first", F.coalesce("component", "id").alias("_root")), "linked-nodes")
+    linked = saved(linked.select("node", "first", F.coalesce("component", "id").alias("_root")), "linked-nodes", n)
     best = linked.groupBy("_root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("best"))
-    table = saved(linked.join(best, "_root").select("node", F.col("best.first").alias("_least"), F.col("best.node").alias("_best")), "linked-names")
+    table = saved(linked.join(best, "_root").select("node", F.col("best.first").alias("_least"), F.col("best.node").alias("_best")), "linked-names", n)
     done = looked_up(rows.drop("sig", "size"), table, "node", F.col(key))
     kept = F.col("_best").isNull() | ((F.col("node") == F.col("_best")) & F.col(key).eqNullSafe(F.col("_least")))
     component = F.when(F.col("_best").isNull(), F.col(key)).otherwise(F.col("_least"))
@@ -590,8 +590,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, m
     return out
 
 
-def _similar_components(docs: DataFrame, rows: DataFrame, nodes: DataFrame, links: DataFrame, shingle: int, similarity: float, key: str, text: str, block: int) -> DataFrame:
-    """``node`` (an id) and ``component`` over links that hold on the shingle sets.
+def _similar_components(docs: DataFrame, rows: DataFrame, nodes: DataFrame, n: int, links: DataFrame, shingle: int, similarity: float, key: str, text: str, block: int) -> DataFrame:
+    """``node`` (an id) and ``component`` over links that hold on the shingle sets; there are ``n`` nodes.
 
     Candidate links make families.  A family of up to ``block`` nodes is
     compared whole.  A longer one is first drawn together: each of its groups
@@ -599,9 +599,9 @@ def _similar_components(docs: DataFrame, rows: DataFrame, nodes: DataFrame, link
     HOOK_ROUNDS rounds; what then still has candidate links to another group
     is compared in pairs of blocks, groups that are already one left out.
     """
-    families = saved(connected_components(links), "families")
+    families = saved(connected_components(links), "families", n)
     sets = _shingle_sets(docs, rows, nodes.join(families.select(F.col("node").alias("id")), "id"), shingle, key, text)
-    long = saved(families.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("component"), "long-families")
+    long = saved(families.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("component"), "long-families", n // block)
     members = families.join(_few(long), "component", "left_anti").select(F.col("node").alias("id"), F.col("node").alias("group"), F.col("component").alias("family"))
     similar = []
     if not long.isEmpty():
@@ -611,15 +611,15 @@ def _similar_components(docs: DataFrame, rows: DataFrame, nodes: DataFrame, link
         groups = families.limit(0).select("node", "component")
         for _ in range(HOOK_ROUNDS):
             left = _between(inner.join(tried, ["a", "b"], "left_anti"), groups)
-            chosen = saved(_hooks(left), "hooks")
+            chosen = saved(_hooks(left), "hooks", 2 * n)
             similar.append(_verified(chosen, sets, similarity))
             tried = tried.unionByName(chosen)
-            groups = saved(connected_components(_union(similar)), "hooked")
+            groups = saved(connected_components(_union(similar)), "hooked", n)
         apart = saved(_between(inner, groups), "apart")
         families = connected_components(apart.select(F.col("ga").alias("a"), F.col("gb").alias("b"))).select(F.col("node").alias("group"), F.col("component").alias("family"))
         mine = of.select(F.col("a").alias("id")).join(groups.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("group"))
         members = members.unionByName(mine.join(families, "group").select("id", "group", "family"))
-    similar.append(saved(_family_links(members, nodes, sets, similarity, block), "similar"))
+    similar.append(saved(_family_links(saved(members, "members", n), nodes, sets, similarity, block), "similar"))
     return connected_components(_union(similar))
 
 
@@ -684,13 +684,12 @@ def _verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 
 def _family_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
-    """Links (a, b) that join the groups of each family as all its similar pairs would; columns of members: id, group, family.
+    """Links (a, b) that join the groups of each family as all its similar pairs would; members is a written table of id, group, family.
 
     Rows of a family of more than ``block`` nodes are dealt to blocks, a group
     that fills one to blocks of its own, and every two blocks that aren't of one
     group meet in a cell: no task holds or compares more than two blocks.
     """
-    members = saved(members, "members")
     size = members.groupBy("family").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     long = saved(size.where(F.col("n") > block).select("family"), "long-families")
     short = members.join(size.where(F.col("n") <= block).select("family"), "family").withColumns({"cell": F.lit(0).cast("long"), "own": F.lit(-1)})
