@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from entigraph.plans.workspace import removed, saved
@@ -55,36 +55,54 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
 
     Alternating large-star and small-star steps: each round only regroups and
     joins edges on a node, so no component is ever gathered in one place; the
-    rounds grow with the logarithm of the longest path.  The minimum of a hub's
-    neighbours is pre-aggregated before the shuffle, and the join that follows
-    has one row per node on its other side, so adaptive execution may split a
-    hub's edges.  Edges are written to the shared folder after each round.
+    rounds grow with the logarithm of the longest path.  Before each round the
+    nodes whose only edge leads to a smaller node are set aside with it, for
+    they can't be a minimum: what is settled isn't carried on, and a round
+    costs what is still open.  In the end they get the component of that node,
+    those set aside last first.  The minimum of a hub's neighbours is
+    pre-aggregated before the shuffle, and the joins that follow have one row
+    per node on their other side, so adaptive execution may split a hub's
+    edges.  Tables are written to the shared folder after each round.
     Self-loops and nulls are ignored; an empty table gives an empty result.
     """
     u, v = F.col(a), F.col(b)
-    found, state = _written(edges.where(u.isNotNull() & v.isNotNull() & (u != v)).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct())
+    found, (n,) = _written(edges.where(u.isNotNull() & v.isNotNull() & (u != v)).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "edges", None, F.count(F.lit(1)))
+    aside: list[DataFrame] = []
     for _ in range(rounds):
-        if not state[0]:
+        if not n:
             break
-        both = found.unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        leaf = (F.col("n") == 1) & (F.col("m") < F.col("u"))
+        low = _both(found).groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", "m", leaf.alias("leaf"))
+        low, (leaves,) = _written(low, "nearest", 2 * n, F.count_if("leaf"))
+        if leaves:
+            aside.append(low.where("leaf").select("u", F.col("m").alias("v")))
+        if leaves == n:
+            break
+        left = found.join(low.where("leaf").select("u"), "u", "left_anti") if leaves else found
+        large = _both(left).where(F.col("v") > F.col("u")).join(low.select("u", F.least("u", "m").alias("m")), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        used, before = found, state
-        found, state = _written(small.distinct(), 2 * state[0])
+        used = found
+        found, (n,) = _written(small.distinct(), "edges", 2 * n, F.count(F.lit(1)))
         removed(used)
-        if state == before:
-            break
     else:
         raise RuntimeError(f"components didn't settle in {rounds} rounds")
-    roots = found.groupBy("v").count().select(F.col("v").alias("node"), F.col("v").alias("component"))
-    return found.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    if not aside:
+        return found.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    done = aside[-1].select(F.col("u").alias("node"), F.col("v").alias("component"))
+    for leaves in reversed(aside[:-1]):
+        of = done.select(F.col("node").alias("v"), "component")
+        done = done.unionByName(saved(leaves.join(of, "v", "left").select(F.col("u").alias("node"), F.coalesce("component", "v").alias("component")), "settled"))
+    return done.unionByName(done.groupBy("component").count().select(F.col("component").alias("node"), "component"))
+
+
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _written(edges: DataFrame, rows: int | None = None) -> tuple[DataFrame, tuple[int, int]]:
-    """The written edges, their number and a digest of them, observed while they are written; at most ``rows``, if that is known."""
-    seen = Observation()
-    table = saved(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x")), "edges", rows)
-    return table, (seen.get["n"], seen.get["x"])
+def _written(table: DataFrame, name: str, rows: int | None, *seen: Column) -> tuple[DataFrame, tuple[int, ...]]:
+    """The table as written, of at most ``rows`` rows, if that is known, and aggregates observed while it is written."""
+    watch = Observation()
+    written = saved(table.observe(watch, *(x.alias(f"x{k}") for k, x in enumerate(seen))), name, rows)
+    return written, tuple(watch.get[f"x{k}"] for k in range(len(seen)))
