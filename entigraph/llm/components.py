@@ -56,8 +56,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     Alternating large-star and small-star steps: each round only regroups and
     joins edges on a node, so no component is ever gathered in one place; the
     rounds grow with the logarithm of the longest path.  Before each round the
-    nodes whose only edge leads to a smaller node are set aside with it, for
-    they can't be a minimum: what is settled isn't carried on, and a round
+    nodes whose only edge leads to a smaller node are set aside with it, if they
+    have a quarter of the edges or more, for they can't be a minimum: what is settled isn't carried on, and a round
     costs what is still open.  In the end they get the component of that node,
     those set aside last first.  The minimum of a hub's neighbours is
     pre-aggregated before the shuffle, and the joins that follow have one row
@@ -74,11 +74,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         leaf = (F.col("n") == 1) & (F.col("m") < F.col("u"))
         low = _both(found).groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", "m", leaf.alias("leaf"))
         low, (leaves,) = _written(low, "nearest", 2 * n, F.count_if("leaf"))
-        if leaves:
+        if 4 * leaves >= n:  # fewer aren't worth a join
             aside.append(low.where("leaf").select("u", F.col("m").alias("v")))
         if leaves == n:
             break
-        left = found.join(low.where("leaf").select("u"), "u", "left_anti") if leaves else found
+        left = found.join(low.where("leaf").select("u"), "u", "left_anti") if 4 * leaves >= n else found
         large = _both(left).where(F.col("v") > F.col("u")).join(low.select("u", F.least("u", "m").alias("m")), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
