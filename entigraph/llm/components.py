@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from entigraph.llm.common import map_batches
 from entigraph.plans.workspace import removed, saved
 
+#: Edges that a task holds while it thins its own to a forest.
+FOREST_EDGES = 1 << 20
+
 
 def merged_labels(labels: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Smallest label of each component after joining ``u`` with ``v``; ``labels`` points at smaller or own places."""
@@ -55,10 +62,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
 
     Alternating large-star and small-star steps: each round only regroups and
     joins edges on a node, so no component is ever gathered in one place; the
-    rounds grow with the logarithm of the longest path.  Before each round the
-    nodes whose only edge leads to a smaller node are set aside with it, if they
-    have a quarter of the edges or more, for they can't be a minimum: what is settled isn't carried on, and a round
-    costs what is still open.  In the end they get the component of that node,
+    rounds grow with the logarithm of the longest path.  Before the first shuffle
+    each task drops edges that close a circle among those that it has read, which
+    changes no component but leaves a dense one few edges more than nodes and
+    tasks need.  Before each round the nodes whose only edge leads to a smaller
+    node are set aside with it, if they have a quarter of the edges or more, for
+    they can't be a minimum: what is settled isn't carried on, and a round costs
+    what is still open.  In the end they get the component of that node,
     those set aside last first.  The minimum of a hub's neighbours is
     pre-aggregated before the shuffle, and the joins that follow have one row
     per node on their other side, so adaptive execution may split a hub's
@@ -66,7 +76,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     Self-loops and nulls are ignored; an empty table gives an empty result.
     """
     u, v = F.col(a), F.col(b)
-    found, (n,) = _written(edges.where(u.isNotNull() & v.isNotNull() & (u != v)).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "edges", None, F.count(F.lit(1)))
+    given = edges.where(u.isNotNull() & v.isNotNull() & (u != v)).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))
+    found, (n,) = _written(_thinned(given).distinct(), "edges", None, F.count(F.lit(1)))
     aside: list[DataFrame] = []
     for _ in range(rounds):
         if not n:
@@ -97,6 +108,36 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     return done.unionByName(done.groupBy("component").count().select(F.col("component").alias("node"), "component"))
 
 
+def _thinned(edges: DataFrame) -> DataFrame:
+    """A spanning forest of the edges (u, v) of each task, in parts of at most FOREST_EDGES edges."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= FOREST_EDGES:
+                held = _forest(held)
+                n = sum(b.num_rows for b in held)
+                if 2 * n > FOREST_EDGES:  # held on, it would soon be full again
+                    yield from held
+                    held, n = [], 0
+        if n:
+            yield from _forest(held)
+
+    kind = dict(edges.dtypes)["u"]
+    return map_batches(edges, work, f"u {kind}, v {kind}")
+
+
+def _forest(batches: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    table = pa.Table.from_batches(batches)
+    nodes = pa.chunked_array([*table.column(0).chunks, *table.column(1).chunks]).combine_chunks().dictionary_encode()
+    code, n = np.asarray(nodes.indices), len(table)
+    kept = minimum_forest(len(nodes.dictionary), code[:n], code[n:], np.zeros(n, np.int64))
+    return table.take(pa.array(kept)).combine_chunks().to_batches()
+
+
 def _both(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 

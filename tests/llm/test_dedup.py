@@ -221,6 +221,20 @@ def test_components(spark):
     assert components.connected_components(edges.limit(0)).count() == 0
 
 
+def test_components_of_dense_edges(spark, monkeypatch):
+    """Tasks thin their edges in parts (words as nodes, repeated and reversed edges); components stay as brute force has them."""
+    monkeypatch.setattr(components, "FOREST_EDGES", 64)
+    rng = np.random.default_rng(9)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 40, (900, 2))] + [(int(a), int(b)) for a, b in rng.integers(40, 400, (150, 2))]
+    pairs += [(b, a) for a, b in pairs[:200]]
+    want = labels(400, pairs, list(range(400)))
+    edges = spark.createDataFrame([(f"{a:03}", f"{b:03}") for a, b in pairs], "a string, b string")
+    got = {r.node: r.component for r in components.connected_components(edges).collect()}
+    assert got == {f"{k:03}": f"{want[k]:03}" for k in range(400) if any(k in p and p[0] != p[1] for p in pairs)}
+    thin = components._thinned(edges.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).coalesce(1))
+    assert thin.count() < 600
+
+
 def expected_vectors(rows, limit=0.98):
     unit = []
     for key, label, v in rows:
