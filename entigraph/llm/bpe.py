@@ -26,7 +26,7 @@ from entigraph.llm.common import map_batches, text_chunks
 from entigraph.llm.pretokenize import pretokens
 from entigraph.llm.vocabulary import ranks_of
 
-#: Pre-tokens that a worker remembers; beyond that it starts to remember anew.
+#: Pre-tokens that a worker remembers of late; beyond that these become the older ones, and what was older is forgotten.
 CACHE = 150_000
 #: Bytes that a round trip decodes at once.
 DECODED = 1 << 16
@@ -42,20 +42,19 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     if len(piece) > _LONG:
         return _merged_long(piece, ranks)
     get = ranks.get
-    parts = [piece[k : k + 1] for k in range(len(piece))]
-    rank = [get(a + b, _NONE) for a, b in pairwise(parts)]
+    cuts = list(range(len(piece) + 1))  # part k is between cuts k and k + 1
+    rank = [get(piece[k : k + 2], _NONE) for k in range(len(piece) - 1)]
     while rank:
         low = min(rank)
         if low == _NONE:
             break
         k = rank.index(low)
-        parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        del rank[k]
+        del cuts[k + 1], rank[k]
         if k:
-            rank[k - 1] = get(parts[k - 1] + parts[k], _NONE)
+            rank[k - 1] = get(piece[cuts[k - 1] : cuts[k + 1]], _NONE)
         if k < len(rank):
-            rank[k] = get(parts[k] + parts[k + 1], _NONE)
-    return tuple(ranks[p] for p in parts)
+            rank[k] = get(piece[cuts[k] : cuts[k + 2]], _NONE)
+    return tuple([ranks[piece[a:b]] for a, b in pairwise(cuts)])
 
 
 def _merged_long(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
@@ -89,22 +88,24 @@ class Codec:
     def __init__(self, path: str) -> None:
         self.ranks, self.tokens = ranks_of(path)
         self.lengths = np.array([len(t) for t in self.tokens], np.int64)
+        #: Pre-tokens met lately, and those met before; one used again moves up, so common ones outlive a full memory.
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def encode(self, texts: Sequence[str]) -> Iterator[list[int]]:
         """Ids of each text, in order."""
         for a, b in text_chunks(texts):
             pieces, counts, _ = pretokens(list(texts[a:b]))
             if len(self.known) > CACHE:
-                self.known.clear()
-            known, ranks = self.known, self.ranks
+                self.known, self.older = {}, self.known
+            known, older, ranks = self.known, self.older, self.ranks
             found = list(map(known.get, pieces))
             for k, ids in enumerate(found):
                 if ids is None:
                     piece = pieces[k]
                     ids = known.get(piece)  # the piece may have stood earlier in this chunk
                     if ids is None:
-                        ids = known[piece] = merged(piece.encode(), ranks)
+                        ids = known[piece] = older.get(piece) or merged(piece.encode(), ranks)
                     found[k] = ids
             at = 0
             for n in counts.tolist():
