@@ -19,7 +19,7 @@ Two modes:
   differs in a known share of bits, too many for a guaranteed radius; the same
   programme then chooses thresholds so that such a pair is missed with at most
   ``miss`` probability, over several words.  What is probed are rows of a key,
-  a number and two fingerprint words; their links make families, and within a
+  a number, four fingerprint words and a size; their links make families, and within a
   family every pair that may still join two groups is decided on the shingle
   sets, which travel once (in pairs of blocks if a family is long).
 
@@ -31,6 +31,7 @@ name a group that has another id; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Iterator
@@ -50,8 +51,11 @@ SEED = 42
 MAX_RUN = 2_000_000
 #: Blocks that would hold MAX_RUN rows, when a longer run is dealt in pairs of blocks.
 _RUN_BLOCKS = 8
-#: Fingerprint words by which rows that meet under a probe are compared, when similar sets are looked for.
-CHECK_WORDS = 2
+#: Fingerprint words by which rows that meet under a probe are compared, when similar sets are looked for.  With two, some
+#: unrelated texts are near by chance, and beyond some 200 000 texts such links grow into one family of texts that aren't alike.
+CHECK_WORDS = 4
+#: Shingles of sets that are small enough for ties of a majority to count.
+_SMALL_SET = 16
 #: Texts of a family that are compared in one task, with their shingle sets; a longer family is dealt in pairs of blocks.
 BLOCK_ROWS = 8_000
 #: Rounds in which a long family is drawn together by a few links of each group before its blocks meet.
@@ -59,6 +63,8 @@ HOOK_ROUNDS = 2
 #: Rows of a run that are compared step by step with others of their size, and pairs that are compared at once.
 _SMALL, _TILE = 64, 1 << 20
 _BLOCK = 1 << 16
+#: Differing bits of a pair whose sizes rule out the similarity.
+_FAR = 0xFFFF
 #: Relative costs of a shuffled probe row and of a compared pair.
 _ROW, _PAIR = 1.0, 0.005
 
@@ -219,10 +225,29 @@ def differing_share(similarity: float) -> float:
     return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
 
 
+@functools.cache
+def widest_share(similarity: float) -> float:
+    """The largest share of bits that differ on average between sets of at least that similarity, those of few shingles counted exactly."""
+
+    def chances(k: int) -> list[float]:  # of 0 to k set bits
+        return [math.comb(k, i) / 2**k for i in range(k + 1)]
+
+    def differing(shared: int, a: int, b: int) -> float:  # a and b: shingles of one set only
+        out = 0.0
+        for s, p in enumerate(chances(shared)):
+            x = sum(q for i, q in enumerate(chances(a)) if 2 * (s + i) > shared + a)
+            y = sum(q for i, q in enumerate(chances(b)) if 2 * (s + i) > shared + b)
+            out += p * (x * (1 - y) + y * (1 - x))
+        return out
+
+    few = [(s, a, b) for s in range(_SMALL_SET + 1) for a in range(_SMALL_SET - s + 1) for b in range(a, _SMALL_SET - s + 1)]
+    return max(differing_share(similarity), *(differing(*f) for f in few if sum(f) and f[0] >= similarity * sum(f)))
+
+
 def _most_bits(words: int, similarity: float) -> tuple[int, int]:
-    """Differing bits that a pair at the similarity has on average, and those four and a half standard deviations beyond."""
-    share = differing_share(similarity)
-    return round(64 * words * share), round(64 * words * share + 4.5 * math.sqrt(64 * words * share * (1 - share)))
+    """Differing bits that a pair at the similarity has on average, and those four and a half standard deviations beyond the most that small sets have."""
+    bits, share = 64 * words, widest_share(similarity)
+    return round(bits * differing_share(similarity)), round(bits * share + 4.5 * math.sqrt(bits * share * (1 - share)))
 
 
 def words_for(n: int, similarity: float, miss: float) -> tuple[int, int]:
@@ -274,12 +299,21 @@ def _signatures(column: pa.Array, words: int) -> np.ndarray:
     return np.asarray(column.flatten()).view(np.uint64).reshape(-1, words)
 
 
-def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Differing bits of every row of ``x`` and every row of ``y``."""
-    return sum(np.bitwise_count(x[:, None, k] ^ y[None, :, k]).astype(np.uint16) for k in range(x.shape[1]))
+def _distances(x: np.ndarray, y: np.ndarray, alike: float = 0.0) -> np.ndarray:
+    """Differing bits of every row of ``x`` and every row of ``y``.
+
+    With ``alike`` the last column isn't a word but the size of a set, and
+    pairs whose sizes rule out that similarity are infinitely far.
+    """
+    words = x.shape[1] - (alike > 0)
+    out = sum(np.bitwise_count(x[:, None, k] ^ y[None, :, k]).astype(np.uint16) for k in range(words))
+    if alike > 0:
+        a, b = x[:, -1].astype(float), y[:, -1].astype(float)
+        out[(a[:, None] < alike * b[None, :]) | (b[None, :] < alike * a[:, None])] = _FAR
+    return out
 
 
-def _stars(sigs: np.ndarray, most: int, tight: int = -1, first: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _stars(sigs: np.ndarray, most: int, tight: int = -1, first: int | None = None, alike: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spanning forest of the links within ``most`` bits among the rows of one run, and their distances.
 
     A row is compared with the later rows and linked to one of each other tree
@@ -296,7 +330,7 @@ def _stars(sigs: np.ndarray, most: int, tight: int = -1, first: int | None = Non
         i, step = 0, 1
         while i < end and left > 1:
             stop, start = min(end, i + step), i + 1 if first is None else first
-            distance = _distances(sigs[i:stop], sigs[start:])
+            distance = _distances(sigs[i:stop], sigs[start:], alike)
             near = (distance <= limit) & (tree[i:stop, None] != tree[None, start:])
             if first is None:
                 near &= np.tri(*near.shape, k=-1, dtype=bool) == 0
@@ -313,47 +347,52 @@ def _stars(sigs: np.ndarray, most: int, tight: int = -1, first: int | None = Non
     return u, v, w
 
 
-def _links(run: np.ndarray, sigs: np.ndarray, most: int, tight: int = -1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _links(run: np.ndarray, sigs: np.ndarray, most: int, tight: int = -1, alike: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Forest links of many complete runs, and their distances; ``run`` numbers them in order."""
     begins = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
     sizes = np.diff(np.append(begins, len(run)))
     place = np.arange(len(run)) - np.repeat(begins, sizes)
     size = np.repeat(sizes, sizes)
-    found = [np.zeros((3, 0), np.int64)]
+    found, words = [np.zeros((3, 0), np.int64)], sigs.shape[1] - (alike > 0)
     for d in range(1, min(_SMALL, int(sizes.max(initial=1)))):
         left = np.flatnonzero((place + d < size) & (size <= _SMALL))
         if not len(left):
             break
-        distance = np.bitwise_count(sigs[left] ^ sigs[left + d]).sum(1, dtype=np.int64)
+        x, y = sigs[left], sigs[left + d]
+        distance = np.bitwise_count((x ^ y)[:, :words]).sum(1, dtype=np.int64)
         near = distance <= most
+        if alike > 0:
+            near &= np.minimum(x[:, -1], y[:, -1]) >= alike * np.maximum(x[:, -1], y[:, -1])
         found.append(np.stack([left[near], left[near] + d, distance[near]]))
     short = np.concatenate(found, axis=1)
     out = [short[:, minimum_forest(len(run), *short)]]
     for k in np.flatnonzero(sizes > _SMALL):
         a, own = begins[k], sigs[begins[k] : begins[k] + sizes[k]]
         if len(own) ** 2 <= _TILE:
-            distance = _distances(own, own)
+            distance = _distances(own, own, alike)
             u, v = np.nonzero((distance <= most) & np.tri(len(own), k=-1, dtype=bool).T)
             w = distance[u, v].astype(np.int64)
             keep = minimum_forest(len(own), u, v, w)
             u, v, w = u[keep], v[keep], w[keep]
         else:
-            u, v, w = _stars(own, most, tight)
+            u, v, w = _stars(own, most, tight, alike=alike)
         out.append(np.stack([u + a, v + a, w]))
     u, v, w = np.concatenate(out, axis=1)
     return u, v, w
 
 
-def probed_links(nodes: DataFrame, probes: list[Probe], words: int, most: int, max_run: int = MAX_RUN, tight: int = -1) -> DataFrame:
+def probed_links(nodes: DataFrame, probes: list[Probe], words: int, most: int, max_run: int = MAX_RUN, tight: int = -1, alike: float = 0.0) -> DataFrame:
     """Links (a, b) between ``id`` of nodes that agree under a probe's mask and are within ``most`` bits, and their ``distance``.
 
     Columns of nodes: id, sig (array of longs); the masks may name any word, the
-    first ``words`` are compared and no others travel.  A run of more than
-    ``max_run`` rows isn't held: its rows come back as members of an overflow
+    first ``words`` are compared and no others travel.  With ``alike`` nodes
+    have a ``size`` too, and pairs whose sizes rule out that similarity don't
+    link; sizes travel behind the words.  A run of more than ``max_run`` rows isn't held: its rows come back as members of an overflow
     and are dealt anew, so that none of its links is lost.
     """
     parts = [F.struct(F.lit(k).alias("probe"), _key(p).alias("key")) for k, p in enumerate(probes)]
-    rows = nodes.select("id", F.slice("sig", 1, words).alias("sig"), F.explode(F.array(*parts)).alias("p")).select("p.probe", "p.key", "id", "sig")
+    compared, width = (F.concat(F.slice("sig", 1, words), F.array("size")), words + 1) if alike > 0 else (F.slice("sig", 1, words), words)
+    rows = nodes.select("id", compared.alias("sig"), F.explode(F.array(*parts)).alias("p")).select("p.probe", "p.key", "id", "sig")
     dealt = rows.repartition("probe", "key").sortWithinPartitions("probe", "key")
     kind = dict(nodes.dtypes)["id"]
 
@@ -368,7 +407,7 @@ def probed_links(nodes: DataFrame, probes: list[Probe], words: int, most: int, m
                 return None
             probe, key = (np.asarray(table.column(c).combine_chunks()) for c in ("probe", "key"))
             run = np.cumsum(np.concatenate([[False], (probe[1:] != probe[:-1]) | (key[1:] != key[:-1])]))
-            u, v, w = _links(run, _signatures(table.column("sig").combine_chunks(), words), most, tight)
+            u, v, w = _links(run, _signatures(table.column("sig").combine_chunks(), width), most, tight, alike)
             ids = table.column("id").combine_chunks()
             nothing = pa.nulls(len(u), pa.int64()), pa.nulls(len(u), pa.list_(pa.int64()))
             return pa.RecordBatch.from_arrays([ids.take(pa.array(u)), ids.take(pa.array(v)), pa.array(w, pa.int32()), pa.array(np.full(len(u), -1), pa.int32()), *nothing], names)
@@ -413,7 +452,7 @@ def probed_links(nodes: DataFrame, probes: list[Probe], words: int, most: int, m
     over = found.where("probe >= 0")
     if over.isEmpty():
         return found.select("a", "b", "distance")
-    return found.where("probe < 0").select("a", "b", "distance").unionByName(_overflow_links(over, words, most, max_run))
+    return found.where("probe < 0").select("a", "b", "distance").unionByName(_overflow_links(over, words, most, max_run, alike))
 
 
 def _key(probe: Probe) -> Column:
@@ -421,7 +460,7 @@ def _key(probe: Probe) -> Column:
     return masked[0] if len(masked) == 1 else F.xxhash64(*masked)
 
 
-def _overflow_links(rows: DataFrame, words: int, most: int, max_run: int) -> DataFrame:
+def _overflow_links(rows: DataFrame, words: int, most: int, max_run: int, alike: float = 0.0) -> DataFrame:
     """Links of runs too long to hold; columns of rows: a, probe, key, sig.
 
     One word: rows that agree after leaving out ``most`` bits are all within
@@ -430,17 +469,17 @@ def _overflow_links(rows: DataFrame, words: int, most: int, max_run: int) -> Dat
     different fingerprints of a run are compared block by block.
     """
     every = (1 << 64) - 1
-    if words == 1:
+    if words == 1 and not alike:
         exact = [(Mask(0, every & ~sum(1 << b for b in out)),) for out in itertools.combinations(range(64), most)]
         dealt = rows.select("a", F.posexplode(F.array(*map(_key, exact))).alias("which", "key"))
         low = dealt.groupBy("which", "key").agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
         return dealt.join(low, ["which", "key"]).where("a <> b").select("a", "b").distinct().withColumn("distance", F.lit(most))
     low = rows.groupBy("sig").agg(F.min("a").alias("b"))
     same = rows.select("a", "sig").distinct().join(low, "sig").where("a <> b").select("a", "b", F.lit(0).alias("distance"))
-    return same.unionByName(_block_links(rows, words, most, max(1, max_run // _RUN_BLOCKS)))
+    return same.unionByName(_block_links(rows, words + (alike > 0), most, max(1, max_run // _RUN_BLOCKS), alike))
 
 
-def _block_links(rows: DataFrame, words: int, most: int, block: int) -> DataFrame:
+def _block_links(rows: DataFrame, width: int, most: int, block: int, alike: float = 0.0) -> DataFrame:
     """Links within ``most`` bits of the different fingerprints of each run, the smallest ``a`` standing for those of one.
 
     A run is cut into blocks of about ``block`` rows, and every two of them
@@ -465,14 +504,14 @@ def _block_links(rows: DataFrame, words: int, most: int, block: int) -> DataFram
             return np.cumsum(np.concatenate([[False], np.any([c[1:] != c[:-1] for c in columns], axis=0)]))
 
         def links(table: pa.Table, run: np.ndarray) -> pa.RecordBatch:
-            sigs, own = _signatures(table.column("sig").combine_chunks(), words), np.asarray(table.column("own").combine_chunks())
+            sigs, own = _signatures(table.column("sig").combine_chunks(), width), np.asarray(table.column("own").combine_chunks())
             diagonal, begins = np.asarray(table.column("same").combine_chunks()), np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
             found = [np.zeros((3, 0), np.int64)]
             for a, b in zip(begins, np.append(begins[1:], len(run))):
                 first = int(np.searchsorted(own[a:b], own[b - 1]))
                 if first == 0 and not diagonal[a]:
                     continue  # one of the two blocks is empty
-                u, v, w = _stars(sigs[a:b], most, first=first or None)
+                u, v, w = _stars(sigs[a:b], most, first=first or None, alike=alike)
                 found.append(np.stack([u + a, v + a, w]))
             u, v, w = np.concatenate(found, axis=1)
             ids = table.column("id").combine_chunks()
@@ -574,7 +613,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, m
     n, width = nodes.count(), max(words, CHECK_WORDS)
     probes = recall_plan(joint_bits(nodes, width)[:words], n, parts, similarity, miss)
     tight, most = _most_bits(CHECK_WORDS, similarity)
-    found = probed_links(nodes, probes, CHECK_WORDS, most, max_run, tight)
+    found = probed_links(nodes, probes, CHECK_WORDS, most, max_run, tight, similarity)
     links = saved(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance").groupBy("a", "b").agg(F.min("distance").alias("distance")), "candidates")
     removed(found)
     groups = saved(_similar_components(docs, rows, nodes, n, links, shingle, similarity, key, text, block), "groups", n)

@@ -203,6 +203,41 @@ def test_left_out_pairs_under_a_plan_of_many_words(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in decided.collect()} == dict(zip((k for k, _ in docs), want))
 
 
+def test_unrelated_fingerprints_stay_apart():
+    """Links by chance would grow into one family of everything as tables grow: 7000 unrelated fingerprints have none."""
+    sigs = np.random.default_rng(5).integers(0, 1 << 64, (7000, simhash_dedup.CHECK_WORDS), dtype=np.uint64)
+    tight, most = simhash_dedup._most_bits(simhash_dedup.CHECK_WORDS, 0.8)
+    assert len(simhash_dedup._stars(sigs, most, tight)[0]) == 0
+
+
+def test_small_sets_at_the_limit_stay_near():
+    """Four of five shingles: ties of the majority make more bits differ than large sets of that similarity have."""
+    assert simhash_dedup.widest_share(0.8) == pytest.approx(0.1875)
+    _, most = simhash_dedup._most_bits(simhash_dedup.CHECK_WORDS, 0.8)
+    hashes = np.random.default_rng(6).integers(0, 1 << 64, (3000, 5), dtype=np.uint64)
+    x, y = (np.array([simhash_dedup.fingerprint(h[:k], simhash_dedup.CHECK_WORDS) for h in hashes]) for k in (4, 5))
+    bits = np.bitwise_count(x ^ y).sum(1)
+    assert bits.mean() == pytest.approx(64 * simhash_dedup.CHECK_WORDS * 0.1875, rel=0.02) and bits.max() <= most
+
+
+@pytest.mark.parametrize("max_run", [1_000_000, 40])
+def test_sizes_rule_pairs_out(spark, max_run):
+    """Short, long and overflowing runs: no link between sets of too different sizes, all others as brute force has them."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(-(1 << 63), 1 << 63, (30, 2))
+    sigs = base[rng.integers(0, 30, 400)] ^ (1 << rng.integers(16, 63, (400, 2)))
+    size = rng.integers(5, 60, 400)
+    distance = np.bitwise_count((sigs[:, None] ^ sigs[None]).view(np.uint64)).sum(2)
+    pairs = [(i, int(j)) for i in range(400) for j in np.flatnonzero(distance[i] <= 4) if j > i and min(size[i], size[j]) >= 0.8 * max(size[i], size[j])]
+    want = labels(400, pairs, list(range(400)))
+    assert 60 < len(set(want)) < 250
+    nodes = spark.createDataFrame([(k, s, int(z)) for k, (s, z) in enumerate(zip(sigs.tolist(), size))], "id long, sig array<long>, size long")
+    probes = [(simhash_dedup.Mask(0, 0xF),), (simhash_dedup.Mask(0, 0),)]
+    links = simhash_dedup.probed_links(nodes, probes, 2, 4, max_run, alike=0.8)
+    got = {r.node: r.component for r in components.connected_components(links).collect()}
+    assert [got.get(k, k) for k in range(400)] == want
+
+
 def test_deduplicated_edges(spark):
     table = spark.createDataFrame([(*d, k) for k, d in enumerate(EDGES)], "doc_id long, text string, _node int")
     left = simhash_dedup.deduplicated(table)
