@@ -1,5 +1,6 @@
 """Every registered query with SQL, against DuckDB on the smallest tables."""
 
+import duckdb
 import harness
 import pytest
 
@@ -57,3 +58,14 @@ def test_entry(spark):
 def test_filters_reach_the_scan(spark, small):
     plan = catalog_queries.queries()["filter_gt"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(o_totalprice,400000.0)" in plan and "o_orderdate" not in plan.split("ReadSchema")[1]
+
+
+@pytest.mark.parametrize("name", ["text_boolean", "text_match"])
+def test_equal_rounded_scores_at_the_limit(spark, tmp_path, name):
+    """1300 matches whose scores differ only behind the fourth digit: the SQL takes the 1000 smallest ids of each rounded score."""
+    rows = [(k, f"the and der {'word ' * (k * 7 % 13)}") for k in range(1300)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = connection.execute(catalog_queries.oracle_sql()[name]).fetchall()
+    assert [tuple(r) for r in catalog_queries.queries()[name](spark, str(tmp_path)).collect()] == want
