@@ -69,3 +69,15 @@ def test_equal_rounded_scores_at_the_limit(spark, tmp_path, name):
     connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     want = connection.execute(catalog_queries.oracle_sql()[name]).fetchall()
     assert [tuple(r) for r in catalog_queries.queries()[name](spark, str(tmp_path)).collect()] == want
+
+
+def test_equal_rounded_scores_above_a_least_score(spark, tmp_path):
+    """Long texts of nearly one length: 40 of 100 match with scores that differ behind the fourth digit, and 20 are wanted."""
+    rows = [(k, f"{'und der ' if k < 40 else ''}{'word ' * (9000 + k * 7 % 5)}") for k in range(100)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = connection.execute(SQL["text_match_min_score"].replace("LIMIT 1000", "LIMIT 20")).fetchall()
+    assert len(want) == 20 and len({score for _, score in want}) < 5 and want[0][1] >= 1
+    found = catalog_queries._text(ir.TextMatch("text", "und der", 1.0, "precise"), 20)(spark, str(tmp_path))
+    assert [tuple(r) for r in found.collect()] == want
