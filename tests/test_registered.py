@@ -81,3 +81,16 @@ def test_equal_rounded_scores_above_a_least_score(spark, tmp_path):
     assert len(want) == 20 and len({score for _, score in want}) < 5 and want[0][1] >= 1
     found = catalog_queries._text(ir.TextMatch("text", "und der", 1.0, "precise"), 20)(spark, str(tmp_path))
     assert [tuple(r) for r in found.collect()] == want
+
+
+@pytest.mark.parametrize("name", ["text_match_min_score", "text_phrase", "text_tokens", "text_postings"])
+def test_missing_texts_and_letters_with_two_small_forms(spark, tmp_path, name):
+    """Null texts count as documents but not in the mean length; a dotted I and a final sigma are one letter each."""
+    rows = [(k, None if k % 3 == 0 else f"{'und der of the' if k % 5 == 1 else ''} DİL ΟΔΟΣ {'İki ' * (k % 7)}{'word ' * (k % 11)}") for k in range(90)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = connection.execute(SQL[name])
+    columns, want = [c[0] for c in found.description], found.fetchall()
+    got = catalog_queries.queries()[name](spark, str(tmp_path)).select(*columns).collect()
+    assert len(want) > 10 and sorted(tuple(r) for r in got) == sorted(want)
