@@ -35,15 +35,19 @@ linear time; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import html as entities
+import itertools
 import re
 from collections import defaultdict
 from collections.abc import Container, Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from entigraph.llm.common import SALTS, map_batches
 from entigraph.plans.workspace import saved
@@ -80,7 +84,12 @@ _BLOCK = frozenset(
 )
 _ENDS_PARAGRAPH = _BLOCK - frozenset("body head html legend tbody tfoot thead title tr".split())
 #: Elements that a start of the same kind closes, up to the container named.
-_CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
+_CLOSES = {
+    tag: (frozenset(same.split()), frozenset(within.split()))
+    for tag, same, within in (("li", "li", "ul ol menu"), ("dt", "dt dd", "dl"), ("dd", "dt dd", "dl"), ("tr", "tr td th", "table"), ("td", "td th", "tr table"), ("th", "td th", "tr table"), ("option", "option", "select"))
+}
+_PARAGRAPH, _NO_PARAGRAPH = frozenset({"p"}), _BLOCK - {"p"}
+_RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>?", re.IGNORECASE) for tag in _RAW}
 _OUT = frozenset("script style noscript template iframe object embed svg math canvas nav aside footer header form button select option textarea input dialog menu title head audio video map".split())
 _OUT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox banner sidebar sidenav menu nav navbar navigation footer header masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay comment comments commentlist disqus reply replies respond social share sharing related recommended recommendations promo promotion sponsor sponsored subscribe subscription newsletter signup login breadcrumb breadcrumbs pagination pager widget toolbar skip search".split()
@@ -100,6 +109,7 @@ START, END, TEXT, BREAK, VOID = range(5)
 #: What an element is: bits of a token.
 BLOCK, CELL, OUT, OUT_NAME, MAIN, LINK, ROOT = (1 << k for k in range(7))
 _SIGN, _ONES = 1 << 63, (1 << 64) - 1
+#: Positive numbers below the sign, so that signed paths stay in range.
 _END_MARK, _VOID_MARK = 0x5DEECE66D2F1B3C7, 0x2545F4914F6CDD1D
 
 
@@ -118,8 +128,6 @@ def _signed(n: int) -> int:
 
 
 def _hash(data: bytes, seed: int = 0) -> int:
-    from xxhash import xxh64_intdigest
-
     return _signed(xxh64_intdigest(data, seed & _ONES))
 
 
@@ -148,36 +156,44 @@ def _described(tag: str, attributes: str) -> tuple[str, int]:
     return label, bits & ~MAIN if bits & OUT else bits
 
 
+def _element(tag: str, attributes: str, parent: int) -> tuple[int, int]:
+    """Path of an element within its parent's, and its bits."""
+    label, bits = _described(tag, attributes)
+    return _hash(label.encode("utf-8", "surrogatepass"), parent), bits
+
+
+#: Elements met lately, for most starts repeat; those with long attributes aren't held.
+_known_element = functools.lru_cache(maxsize=1 << 15)(_element)
+_LONG_ATTRIBUTES = 256
+
+
 def parse(html: str | None) -> Page:
     """Tokens of a page in order, with the ends that html leaves out."""
     text, at = html or "", 0
-    page = Page([], [], [], [], [])
+    rows: list[tuple[int, int, str, int, int | None]] = []
     stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, path, bits
     open_tags: dict[str, int] = defaultdict(int)
 
-    def add(kind: int, path: int, words: str, bits: int) -> None:
-        page.kinds.append(kind)
-        page.paths.append(path)
-        page.texts.append(words)
-        page.bits.append(bits)
-        page.tokens.append(token(kind, path, words))
-
     def close(k: int) -> None:
         while len(stack) > k:
             tag, path, bits = stack.pop()
             open_tags[tag] -= 1
-            add(END, path, "", bits)
-
-    def piece(a: int, b: int) -> None:
-        if a < b:
-            raw = entities.unescape(text[a:b])
-            words = " ".join(raw.split())
-            pad = (" " if raw[:1].isspace() else "") + words + (" " if raw[-1:].isspace() and words else "")
-            if pad:
-                _, path, bits = stack[-1]
-                add(TEXT, path, pad, bits)
-
-    def last(tags: frozenset[str] | set[str], within: frozenset[str] | set[str] = frozenset()) -> int:
+            rows.append((END, path, "", bits, path ^ _END_MARK))
+
+    def piece(raw: str) -> None:
+        if "&" in raw:
+            raw = entities.unescape(raw)
+        if not raw:
+            return
+        _, path, bits = stack[-1]
+        words = " ".join(raw.split())
+        if not words:
+            rows.append((TEXT, path, " ", bits, None))
+            return
+        pad = (" " if raw[0].isspace() else "") + words + (" " if raw[-1].isspace() else "")
+        rows.append((TEXT, path, pad, bits, _hash(words.encode("utf-8", "surrogatepass"), path)))
+
+    def last(tags: frozenset[str], within: frozenset[str]) -> int:
         """Place of the innermost open element of ``tags``, if none of ``within`` stands above it."""
         if any(open_tags[t] for t in tags):
             for k in range(len(stack) - 1, 0, -1):
@@ -188,36 +204,40 @@ def parse(html: str | None) -> Page:
         return 0
 
     while m := _TOKEN.search(text, at):
-        piece(at, m.start())
+        start = m.start()
+        if at < start:
+            piece(text[at:start])
         at = m.end()
-        tag = (m["tag"] or m["tag2"] or "").lower()
+        end, tag, attributes, end2, tag2 = m.groups()
+        tag = (tag or tag2 or "").lower()
         if not tag:
             continue
-        if m["end"] or m["end2"]:
-            if k := last({tag}):
-                close(k)
+        if end or end2:
+            if stack[-1][0] == tag:
+                close(len(stack) - 1)
+            elif open_tags[tag]:
+                close(last(frozenset((tag,)), frozenset()))
             continue
-        if tag in _ENDS_PARAGRAPH and (k := last({"p"}, _BLOCK - {"p"})):
+        if open_tags["p"] and tag in _ENDS_PARAGRAPH and (k := last(_PARAGRAPH, _NO_PARAGRAPH)):
+            close(k)
+        if tag in _CLOSES and (k := last(*_CLOSES[tag])):
             close(k)
-        if tag in _CLOSES:
-            same, within = (set(x.split()) for x in _CLOSES[tag])
-            if k := last(same, within):
-                close(k)
-        label, bits = _described(tag, m["attributes"] or "")
-        path = _hash(label.encode("utf-8", "surrogatepass"), stack[-1][1])
+        attributes = attributes or ""
+        path, bits = (_known_element if len(attributes) <= _LONG_ATTRIBUTES else _element)(tag, attributes, stack[-1][1])
         if tag in _VOID:
-            add(BREAK if tag in ("br", "hr") else VOID, path, "", bits)
+            rows.append((BREAK if tag in ("br", "hr") else VOID, path, "", bits, path ^ _VOID_MARK))
             continue
         stack.append((tag, path, bits))
         open_tags[tag] += 1
-        add(START, path, "", bits)
+        rows.append((START, path, "", bits, path))
         if tag in _RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.IGNORECASE).search(text, at)
-            at = end.end() if end else len(text)
+            found = _RAW_END[tag].search(text, at)
+            at = found.end() if found else len(text)
             close(len(stack) - 1)
-    piece(at, len(text))
+    if at < len(text):
+        piece(text[at:])
     close(1)
-    return page
+    return Page(*map(list, zip(*rows))) if rows else Page([], [], [], [], [])
 
 
 def token(kind: int, path: int, text: str) -> int | None:
@@ -278,7 +298,8 @@ def _parsed(pages: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = [parse(x) for x in batch.column(3).to_pylist()]
-            columns = [pa.array([p[k] for p in done], t) for k, t in enumerate(_PAGE_TYPES)]
+            offsets = pa.array([0, *itertools.accumulate(len(p.kinds) for p in done)], pa.int32())
+            columns = [pa.ListArray.from_arrays(offsets, pa.array(list(itertools.chain.from_iterable(p[k] for p in done)), t.value_type)) for k, t in enumerate(_PAGE_TYPES)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], ["page_id", "url", "_host", *Page._fields])
 
     kind = dict(pages.dtypes)["page_id"]
@@ -287,7 +308,16 @@ def _parsed(pages: DataFrame) -> DataFrame:
 
 
 def _pages_of(batch: pa.RecordBatch) -> Iterator[Page]:
-    return (Page(*p) for p in zip(*(batch.column(c).to_pylist() for c in Page._fields)))
+    """Pages of a batch, whose columns are turned into Python values all at once: the lists have equal lengths."""
+    flat, offsets = [], batch.column("kinds").offsets.to_pylist()
+    for values in (batch.column(c).flatten() for c in Page._fields):
+        blanks = np.flatnonzero(values.is_null().to_numpy(zero_copy_only=False)).tolist() if values.null_count else ()
+        flat.append((values.fill_null(0) if blanks else values).to_numpy(zero_copy_only=False).tolist())
+        for k in blanks:
+            flat[-1][k] = None
+    for a, b in itertools.pairwise(offsets):
+        a, b = a - offsets[0], b - offsets[0]
+        yield Page(*(values[a:b] for values in flat))
 
 
 _SUMS = ("pages", "n", "low", "high", "place", "kept", "plain", "named")
@@ -323,11 +353,20 @@ def _statistics(parsed: DataFrame) -> DataFrame:
                     if mark is None:
                         mark = marks[n] = _hash(b"%d %d" % (row, n)) & _ONES
                     for h in (host, EVERY) if kind != TEXT else (host,):
-                        v = sums.get((h, t, kind, bits, depth))
+                        key = h, t, kind, bits, depth
+                        v = sums.get(key)
                         if v is None:
-                            v = sums[h, t, kind, bits, depth] = [0] * len(_SUMS)
-                        for k, x in enumerate((1, n, mark & 0xFFFFFFFF, mark >> 32, place, *size)):
-                            v[k] += x
+                            sums[key] = [1, n, mark & 0xFFFFFFFF, mark >> 32, place, *size]
+                            continue
+                        v[0] += 1
+                        v[1] += n
+                        v[2] += mark & 0xFFFFFFFF
+                        v[3] += mark >> 32
+                        v[4] += place
+                        if kind <= START:  # only elements and pages hold characters
+                            v[5] += size[0]
+                            v[6] += size[1]
+                            v[7] += size[2]
                 if len(sums) > _FLUSH:
                     yield flush()
         yield flush()

@@ -2,6 +2,7 @@
 
 import time
 
+import pyarrow as pa
 import pytest
 
 from entigraph.llm import html_extract
@@ -74,6 +75,26 @@ def test_pages_that_are_all_copies(spark):
     assert {r.text for r in html_extract.main_text(frame(spark, rows)).collect()} == {"One title\nThe same article on all pages of the host"}
 
 
+def test_an_element_is_described_once_for_all_pages_of_a_layout(monkeypatch):
+    """Starts with the same attributes in the same place are looked up; long attributes are read every time."""
+    seen, described = [], html_extract._described
+    monkeypatch.setattr(html_extract, "_described", lambda tag, attributes: seen.append(tag) or described(tag, attributes))
+    for k in range(40):
+        html_extract.parse(f"<section class=met-once-{"ab"[k % 2]}><p>Text {k}<p>More</section>")
+    assert len(seen) == 4
+    for _ in range(3):
+        html_extract.parse(f"<div class='{'long ' * 100}'>x</div>")
+    assert len(seen) == 7
+
+
+def test_pages_come_back_from_slices_of_a_batch():
+    pages = [html_extract.parse(x) for x in [None, *(r[2] for r in site(5)), "", "<p> </p>\n<!-- x -->", "&#1; a"]]
+    batch = pa.RecordBatch.from_arrays([pa.array([p[k] for p in pages], t) for k, t in enumerate(html_extract._PAGE_TYPES)], list(html_extract.Page._fields))
+    for a in range(0, len(pages), 2):
+        assert list(html_extract._pages_of(batch.slice(a, 3))) == pages[a : a + 3]
+    assert list(html_extract._pages_of(batch.slice(0, 0))) == []
+
+
 def slow_valid(pages, template):
     """Classes whose occurrences on a page are whole, in turn, and within one gap, by comparing all spans."""
     bad = set()
